@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from canopy.llm.bpe import op2_bpe_roundtrip
+from canopy.llm.packing import op6_cost_balanced_packing
+from canopy.llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op6_cost_balanced_packing": op6_cost_balanced_packing,
+    "op8_wavelet_shards": op8_wavelet_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
