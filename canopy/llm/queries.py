@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from canopy.llm.bpe import op2_bpe_roundtrip
+from canopy.llm.media import op3_iso_media
 from canopy.llm.packing import op6_cost_balanced_packing
 from canopy.llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_iso_media": op3_iso_media,
     "op6_cost_balanced_packing": op6_cost_balanced_packing,
     "op8_wavelet_shards": op8_wavelet_shards,
 }
