@@ -26,7 +26,7 @@ from canopy.llm import pretokens
 from canopy.llm.common import blank_null, chunks
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory is emptied, which costs time only.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 #: Pre-tokens longer than this are encoded one by one.
 LOCKSTEP_BYTES = 48
 _NONE = np.int32(-1)
@@ -74,8 +74,8 @@ class PairMap:
         return out
 
 
-class PrefixEncoder:
-    """Tables of one vocabulary whose ids are merge ranks."""
+class Vocabulary:
+    """The tokens of a file of merge ranks, for decoding."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -87,6 +87,21 @@ class PrefixEncoder:
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.at = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, and the end of each id's bytes."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(self.at[ids] - (ends - sizes), sizes) + np.arange(total)
+        return self.bytes[place], ends
+
+
+class PrefixEncoder(Vocabulary):
+    """Tables for encoding with one vocabulary whose ids are merge ranks."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         self._splits()
         self._trie()
 
@@ -252,13 +267,10 @@ class PrefixEncoder:
             out[start[word + 1] - 1 - step] = token
         return out, counts
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all ids, and the end of each id's bytes."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.repeat(self.at[ids] - (ends - sizes), sizes) + np.arange(total)
-        return self.bytes[place], ends
+
+@functools.cache
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 @functools.cache
@@ -392,7 +404,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     schema = encoded.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = vocabulary(path)
         for part in chunks(batches, ids_col):
             column = part.column(ids_col).fill_null(b"").cast(pa.large_binary())
             ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
