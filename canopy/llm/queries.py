@@ -5,10 +5,12 @@ from __future__ import annotations
 from canopy.llm.bpe import op2_bpe_roundtrip
 from canopy.llm.media import op3_iso_media
 from canopy.llm.packing import op6_cost_balanced_packing
+from canopy.llm.simhash import op1_simhash_groups
 from canopy.llm.sketch import op4_scaled_sketch
 from canopy.llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
+    "op1_simhash_groups": op1_simhash_groups,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_iso_media": op3_iso_media,
     "op4_scaled_sketch": op4_scaled_sketch,
