@@ -5,6 +5,7 @@ from __future__ import annotations
 from canopy.llm.bpe import op2_bpe_roundtrip
 from canopy.llm.media import op3_iso_media
 from canopy.llm.packing import op6_cost_balanced_packing
+from canopy.llm.quality import op5_quality_cnn
 from canopy.llm.simhash import op1_simhash_groups
 from canopy.llm.sketch import op4_scaled_sketch
 from canopy.llm.wavelet import op8_wavelet_shards
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_iso_media": op3_iso_media,
     "op4_scaled_sketch": op4_scaled_sketch,
+    "op5_quality_cnn": op5_quality_cnn,
     "op6_cost_balanced_packing": op6_cost_balanced_packing,
     "op8_wavelet_shards": op8_wavelet_shards,
 }
