@@ -8,6 +8,7 @@ from canopy.llm.packing import op6_cost_balanced_packing
 from canopy.llm.quality import op5_quality_cnn
 from canopy.llm.simhash import op1_simhash_groups
 from canopy.llm.sketch import op4_scaled_sketch
+from canopy.llm.toxicity import op10_toxicity_bigru
 from canopy.llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_cnn": op5_quality_cnn,
     "op6_cost_balanced_packing": op6_cost_balanced_packing,
     "op8_wavelet_shards": op8_wavelet_shards,
+    "op10_toxicity_bigru": op10_toxicity_bigru,
 }
 
 ORACLE_SQL: dict[str, str] = {}
