@@ -9,6 +9,7 @@ from canopy.llm.quality import op5_quality_cnn
 from canopy.llm.simhash import op1_simhash_groups
 from canopy.llm.sketch import op4_scaled_sketch
 from canopy.llm.toxicity import op10_toxicity_bigru
+from canopy.llm.urls import op9_url_association_rules
 from canopy.llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_quality_cnn": op5_quality_cnn,
     "op6_cost_balanced_packing": op6_cost_balanced_packing,
     "op8_wavelet_shards": op8_wavelet_shards,
+    "op9_url_association_rules": op9_url_association_rules,
     "op10_toxicity_bigru": op10_toxicity_bigru,
 }
 
