@@ -6,6 +6,7 @@ from canopy.llm.bpe import op2_bpe_roundtrip
 from canopy.llm.media import op3_iso_media
 from canopy.llm.packing import op6_cost_balanced_packing
 from canopy.llm.quality import op5_quality_cnn
+from canopy.llm.rollup import OP7_SQL, op7_token_rollup
 from canopy.llm.simhash import op1_simhash_groups
 from canopy.llm.sketch import op4_scaled_sketch
 from canopy.llm.toxicity import op10_toxicity_bigru
@@ -19,9 +20,12 @@ QUERIES = {
     "op4_scaled_sketch": op4_scaled_sketch,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_cost_balanced_packing": op6_cost_balanced_packing,
+    "op7_token_rollup": op7_token_rollup,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_url_association_rules": op9_url_association_rules,
     "op10_toxicity_bigru": op10_toxicity_bigru,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_token_rollup": OP7_SQL,
+}
