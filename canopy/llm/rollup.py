@@ -100,7 +100,7 @@ OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
      kept AS (SELECT min(doc_id) AS doc_id FROM d GROUP BY text),
      s AS (SELECT d.source, d.lang,
-                  len(list_filter(regexp_split_to_array(d.text, '[ \t\n\x0B\f\r]+'), x -> x <> '')) AS words,
+                  len(list_filter(regexp_split_to_array(d.text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS words,
                   (strlen(d.text) + 3) // 4 AS quads
            FROM d JOIN kept USING (doc_id))
 SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM s GROUP BY source, lang
