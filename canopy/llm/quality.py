@@ -186,7 +186,8 @@ class ByteNetwork:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", modulus: int = MODULUS, held: int = HELD) -> ByteNetwork:
-    return ByteNetwork.new().fit(*learn.training_rows(docs, labels, target, modulus, held))
+    texts, known, _ = learn.training_rows(docs, labels, target, modulus, held)
+    return ByteNetwork.new().fit(texts, known)
 
 
 def score(docs: DataFrame, network: ByteNetwork, text_col: str = "text", name: str = "score") -> DataFrame:
