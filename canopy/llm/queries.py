@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from canopy.llm.bpe import op2_bpe_roundtrip
 from canopy.llm.media import op3_iso_media
 from canopy.llm.packing import op6_cost_balanced_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_url_association_rules": op9_url_association_rules,
     "op10_toxicity_bigru": op10_toxicity_bigru,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -194,6 +194,132 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return fps.join(every, "fp").select(id_col, "fp", "component_id")
 
 
+#: Fingerprints of a text's distinct words, and the different bits of all of them that near copies stay below.
+PARTS, WIDE_APART = 4, 26
+
+
+def wide_fingerprints_of(texts: list[str]) -> np.ndarray:
+    """``PARTS`` unsigned 64-bit SimHashes of each text's distinct words, one row per text."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    raw: list[bytes] = []
+    counts = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        words = set(text.encode("utf-8", "surrogatepass").lower().split())
+        raw += [digest(w, 1) + digest(w, 2) for w in words]
+        counts[k] = len(words)
+    hashes = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, PARTS)
+    return np.stack([majority(np.ascontiguousarray(hashes[:, p]), counts) for p in range(PARTS)], axis=1) if len(texts) else np.zeros((0, PARTS), np.uint64)
+
+
+def _wide_links(keys: np.ndarray, part: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Row pairs of the sorted posting lists that are near in the list's part and in all parts; a spanning forest per list."""
+
+    def linked(i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        ok = near(wide[i, part[i]], wide[j, part[j]])
+        ok[ok] = np.bitwise_count(wide[i[ok]] ^ (wide[j[ok]] if isinstance(j, np.ndarray) else wide[j])).sum(axis=1) <= WIDE_APART
+        return ok
+
+    found = []
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    size_at = np.repeat(sizes, sizes)
+    for step in range(1, SHORT_LIST):
+        i = np.flatnonzero((keys[:-step] == keys[step:]) & (size_at[:-step] <= SHORT_LIST)) if len(keys) > step else np.zeros(0, np.int64)
+        if len(i):
+            i = i[linked(i, i + step)]
+            found.append(np.stack([i, i + step], axis=1))
+    for k in np.flatnonzero(sizes > SHORT_LIST):
+        open_ = np.arange(starts[k], starts[k] + sizes[k])
+        while len(open_):
+            front, open_ = [int(open_[0])], open_[1:]
+            while front and len(open_):
+                node = front.pop()
+                hit = linked(open_, node)
+                reached = open_[hit]
+                if len(reached):
+                    found.append(np.stack([np.full(len(reached), node), reached], axis=1))
+                    front += reached.tolist()
+                    open_ = open_[~hit]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the ``node`` ids of distinct wide fingerprints (f0, f1, ...).
+
+    Each 64-bit part has its own byte-position index, as in ``links``; a pair
+    that passes a part's count filter is verified on all parts.
+    """
+    share = POSITIONS - BITS_APART - 1
+    names = [f"f{p}" for p in range(PARTS)]
+    keys = []
+    for p, name in enumerate(names):
+        for number, places in enumerate(combinations(range(BITS_APART + share), share)):
+            key = F.lit(p * 64 + number).cast("long")
+            for k in places:
+                key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(name, 8 * k).bitwiseAND(F.lit(255)))
+            keys.append(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts)
+            keys = rows.column("key").to_numpy()
+            wide = np.stack([rows.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+            pairs = _wide_links(keys, (keys >> (8 * share)) // 64, wide)
+            node = rows.column("node").to_numpy()
+            return pa.record_batch([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
+
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            if not len(keys):
+                continue
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                yield out([*held, batch.slice(0, last)])
+                held = []
+            elif held and held[-1].column("key")[-1].as_py() != keys[0]:
+                yield out(held)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield out(held)
+
+    postings = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *names)
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row of the least id stays.
+
+    Texts are near copies if the SimHashes of their distinct words, 256 bits in
+    all, differ in at most ``WIDE_APART`` bits.  Replaced words change that many
+    bits about where five-word shingles reach a similarity of 0.8; the
+    fingerprint of the shingles themselves would then differ in ten of 64 bits,
+    which share no bytes.  Rows of equal id and text stay once each id; rows
+    without id are kept.  Texts without words are copies of each other.
+    """
+    names = [f"f{p}" for p in range(PARTS)]
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            wide = wide_fingerprints_of(part.column("text").to_pylist()).view(np.int64)
+            yield pa.record_batch([part.column("id"), *(pa.array(np.ascontiguousarray(wide[:, p])) for p in range(PARTS))], ["id", *names])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), blank_null(text_col).alias("text"))
+    made = rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} bigint" for n in names)]))
+    nodes = cut(made.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", F.xxhash64(*names)))
+    parts = connected_components(wide_links(nodes.drop("least")))
+    # the least id of every group, and of every fingerprint that has no links
+    named = nodes.join(parts, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
+    keep = named.groupBy("component").agg(F.min("least").alias("_keep")).select("_keep")
+    kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op1_simhash_groups(spark, sf_dir: str) -> DataFrame:
     rows = near_duplicate_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
