@@ -194,31 +194,68 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return fps.join(every, "fp").select(id_col, "fp", "component_id")
 
 
-#: Fingerprints of a text's distinct words, and the different bits of all of them that near copies stay below.
-PARTS, WIDE_APART = 4, 26
+#: 64-bit parts of the wide fingerprints; the different bits that near copies stay within, of words and of shingles.
+PARTS, WORDS_APART, SHINGLES_APART = 4, 29, 48
+WIDE_SHINGLE = 5
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well-mixed 64-bit hash of each value, one column per part."""
+    x = x[:, None] ^ _SEEDS
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
+
+
+def _distinct_majority(doc: np.ndarray, hashes: np.ndarray, texts: int) -> np.ndarray:
+    """SimHash parts of each text over its distinct hashes."""
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])]) if len(doc) else np.zeros(0, bool)
+    doc, parts = doc[new], _mixed(hashes[new])
+    counts = np.bincount(doc, minlength=texts)
+    return np.stack([majority(np.ascontiguousarray(parts[:, p]), counts) for p in range(PARTS)], axis=1)
 
 
 def wide_fingerprints_of(texts: list[str]) -> np.ndarray:
-    """``PARTS`` unsigned 64-bit SimHashes of each text's distinct words, one row per text."""
+    """``PARTS`` SimHashes of each text's distinct words, then as many of its distinct five-word shingles."""
     import xxhash
 
-    digest = xxhash.xxh3_128_digest
-    raw: list[bytes] = []
+    if not texts:
+        return np.zeros((0, 2 * PARTS), np.uint64)
+    seen: dict[bytes, int] = {}
+    index: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        words = set(text.encode("utf-8", "surrogatepass").lower().split())
-        raw += [digest(w, 1) + digest(w, 2) for w in words]
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        index += [seen.setdefault(w, len(seen)) for w in words]
         counts[k] = len(words)
-    hashes = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, PARTS)
-    return np.stack([majority(np.ascontiguousarray(hashes[:, p]), counts) for p in range(PARTS)], axis=1) if len(texts) else np.zeros((0, PARTS), np.uint64)
-
-
-def _wide_links(keys: np.ndarray, part: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """Row pairs of the sorted posting lists that are near in the list's part and in all parts; a spanning forest per list."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))[np.array(index, np.int64)]
+    doc = np.repeat(np.arange(len(texts)), counts)
+    # a shingle's hash, at its first word; a shorter text is one shingle from its first word on
+    size = np.minimum(counts, WIDE_SHINGLE)
+    first = np.cumsum(counts) - counts
+    at = np.arange(len(doc))
+    begins = at - first[doc] <= (counts - size)[doc]
+    rolled = np.zeros(len(doc), np.uint64)
+    for k in range(WIDE_SHINGLE):
+        there = np.minimum(at + k, len(doc) - 1) if len(doc) else at
+        value = np.where(k < size[doc], hashes[there], np.uint64(0))
+        rolled = (rolled ^ value) * np.uint64(0x9FB21C651E98DF25)
+        rolled ^= rolled >> np.uint64(32)
+    return np.concatenate([_distinct_majority(doc, hashes, len(texts)), _distinct_majority(doc[begins], rolled[begins], len(texts))], axis=1)
+
+
+def _wide_links(keys: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Row pairs of the sorted posting lists that are near copies; a spanning forest per list."""
 
     def linked(i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
-        ok = near(wide[i, part[i]], wide[j, part[j]])
-        ok[ok] = np.bitwise_count(wide[i[ok]] ^ (wide[j[ok]] if isinstance(j, np.ndarray) else wide[j])).sum(axis=1) <= WIDE_APART
+        differ = wide[i] ^ wide[j]
+        # count filter: so few different bits leave that many of the words' bytes equal
+        ok = (differ[:, :PARTS].copy().view(np.uint8) == 0).sum(axis=1) >= POSITIONS * PARTS - WORDS_APART
+        bits = np.bitwise_count(differ[ok])
+        ok[ok] = (bits[:, :PARTS].sum(axis=1) <= WORDS_APART) & (bits[:, PARTS:].sum(axis=1) <= SHINGLES_APART)
         return ok
 
     found = []
@@ -245,20 +282,23 @@ def _wide_links(keys: np.ndarray, part: np.ndarray, wide: np.ndarray) -> np.ndar
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
+_WIDE = [*(f"w{p}" for p in range(PARTS)), *(f"s{p}" for p in range(PARTS))]
+
+
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between the ``node`` ids of distinct wide fingerprints (f0, f1, ...).
+    """Edges (a, b) between the ``node`` ids of distinct wide fingerprints that are near copies.
 
-    Each 64-bit part has its own byte-position index, as in ``links``; a pair
-    that passes a part's count filter is verified on all parts.
+    The bytes of the words' 256 bits are indexed in four groups, by three
+    positions of a group at a time: bytes of near copies are equal so often that
+    a pair has three equal ones in one group all but surely.
     """
-    share = POSITIONS - BITS_APART - 1
-    names = [f"f{p}" for p in range(PARTS)]
+    share, positions = 3, 7
     keys = []
-    for p, name in enumerate(names):
-        for number, places in enumerate(combinations(range(BITS_APART + share), share)):
+    for p in range(PARTS):
+        for number, places in enumerate(combinations(range(positions), share)):
             key = F.lit(p * 64 + number).cast("long")
             for k in places:
-                key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(name, 8 * k).bitwiseAND(F.lit(255)))
+                key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(f"w{p}", 8 * k).bitwiseAND(F.lit(255)))
             keys.append(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +306,8 @@ def wide_links(nodes: DataFrame) -> DataFrame:
 
         def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts)
-            keys = rows.column("key").to_numpy()
-            wide = np.stack([rows.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-            pairs = _wide_links(keys, (keys >> (8 * share)) // 64, wide)
+            wide = np.stack([rows.column(n).to_numpy() for n in _WIDE], axis=1).view(np.uint64)
+            pairs = _wide_links(rows.column("key").to_numpy(), wide)
             node = rows.column("node").to_numpy()
             return pa.record_batch([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
 
@@ -287,31 +326,31 @@ def wide_links(nodes: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    postings = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *names)
+    postings = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *_WIDE)
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row of the least id stays.
 
-    Texts are near copies if the SimHashes of their distinct words, 256 bits in
-    all, differ in at most ``WIDE_APART`` bits.  Replaced words change that many
-    bits about where five-word shingles reach a similarity of 0.8; the
-    fingerprint of the shingles themselves would then differ in ten of 64 bits,
-    which share no bytes.  Rows of equal id and text stay once each id; rows
-    without id are kept.  Texts without words are copies of each other.
+    Near copies have five-word shingles of a similarity of 0.8 or more, as told
+    by two wide SimHashes: 256 bits of the distinct words, which differ in few
+    bits and so share many bytes, are indexed and count-filtered; 256 bits of the
+    distinct shingles verify a pair.  (The shingles' own bits differ in every
+    seventh place at that similarity, which leaves too few equal bytes for an
+    index.)  Rows of equal id and text stay once each id; rows without id are
+    kept.  Texts without words are copies of each other.
     """
-    names = [f"f{p}" for p in range(PARTS)]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             wide = wide_fingerprints_of(part.column("text").to_pylist()).view(np.int64)
-            yield pa.record_batch([part.column("id"), *(pa.array(np.ascontiguousarray(wide[:, p])) for p in range(PARTS))], ["id", *names])
+            yield pa.record_batch([part.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in wide.T)], ["id", *_WIDE])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), blank_null(text_col).alias("text"))
-    made = rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} bigint" for n in names)]))
-    nodes = cut(made.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", F.xxhash64(*names)))
+    made = rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} bigint" for n in _WIDE)]))
+    nodes = cut(made.groupBy(*_WIDE).agg(F.min("id").alias("least")).withColumn("node", F.xxhash64(*_WIDE)))
     parts = connected_components(wide_links(nodes.drop("least")))
     # the least id of every group, and of every fingerprint that has no links
     named = nodes.join(parts, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
