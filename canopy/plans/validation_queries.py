@@ -133,7 +133,7 @@ def parent_rank(spark, sf_dir):
 
 def reference_metadata(spark, sf_dir):
     o = _tables(spark, sf_dir)["orders"]
-    o = o.select("o_orderkey", F.lit("cited").alias("citation"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise("A" + F.col("o_custkey").cast("string")).alias("author") if False else F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.concat(F.lit("A"), "o_custkey")).alias("author"), F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("issued"))
+    o = o.select("o_orderkey", F.lit("cited").alias("citation"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.concat(F.lit("A"), "o_custkey")).alias("author"), F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("issued"))
     no_a, no_i = X.empty(F.col("author")), X.empty(F.col("issued"))
     missing = F.when(no_a & no_i, "author and issued").when(no_a, "author").otherwise("issued")
     return o.where(~X.empty(F.col("citation")) & (no_a | no_i)).select("o_orderkey", missing.alias("missing"))
@@ -187,10 +187,9 @@ def _digit_sql(kind):
 
 def _store(found):
     """An earlier snapshot: some issues known and acknowledged, and some that no longer fire."""
-    n = F.xxhash64 if False else F.char_length
     known = found.where(F.substring("record_id", -1, 1).isin("1", "2", "3"))
     old = known.select(*V.IDENTITY, F.lit("2025-06-01T00:00:00Z").alias("created_at"), F.when(F.substring("record_id", -1, 1) == "2", "2025-07-01T00:00:00Z").otherwise("").alias("acknowledged_at"))
-    gone = known.where(n("record_id") == 2).select(F.lit("gone").alias("table_name"), "record_id", "rule_id", "field_name", F.lit("2025-06-01T00:00:00Z").alias("created_at"), F.lit("").alias("acknowledged_at"))
+    gone = known.where(F.char_length("record_id") == 2).select(F.lit("gone").alias("table_name"), "record_id", "rule_id", "field_name", F.lit("2025-06-01T00:00:00Z").alias("created_at"), F.lit("").alias("acknowledged_at"))
     return old.union(gone)
 
 
