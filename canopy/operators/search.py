@@ -56,14 +56,14 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, Dat
 
 def bm25(terms: DataFrame, lengths: DataFrame, prefixes: list[str]) -> DataFrame:
     """(id, score) of texts with a token for every prefix; higher is better, rounded to six digits."""
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    texts, mean = lengths.agg(F.count("*"), F.avg("length")).first()  # two numbers
     parts = F.array(*[F.lit(p.lower()) for p in dict.fromkeys(prefixes)])
     hits = terms.select("term", "id", "tf", F.explode(F.filter(parts, lambda p: F.col("term").startswith(p))).alias("prefix"))
     per = hits.groupBy("prefix", "id").agg(F.sum("tf").alias("tf"))
     df = per.groupBy("prefix").agg(F.count("*").alias("df"))  # one row per prefix
-    full = per.join(F.broadcast(df), "prefix").join(lengths, "id").crossJoin(F.broadcast(corpus))
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    full = per.join(F.broadcast(df), "prefix").join(lengths, "id")
+    idf = F.log(F.lit(1.0) + (texts - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
     score = full.groupBy("id").agg(F.count("*").alias("_found"), F.sum(idf * weight).alias("score"))
     return score.where(F.col("_found") == F.size(parts)).select("id", F.round("score", 6).alias("score"))
 

@@ -55,7 +55,8 @@ def descendant_counts(spark, sf_dir):
 def is_descendant(spark, sf_dir):
     archive = Archive.derive(spark, sf_dir)
     tree = archive["tree"]
-    pairs = tree.where("rank in ('SUPPLIER', 'NATION')").select(F.col("id").alias("node")).join(F.broadcast(tree.where("rank = 'REGION'").select(F.col("id").alias("top"))), F.lit(True))
+    tops = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.concat(F.lit("R"), k))  # the five regions
+    pairs = tree.where("rank in ('SUPPLIER', 'NATION')").select(F.col("id").alias("node"), F.explode(tops).alias("top"))
     return H.is_descendant(pairs, H.closure(tree))
 
 
