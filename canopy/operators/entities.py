@@ -98,3 +98,22 @@ def dependencies(names: DataFrame, taxa: DataFrame, synonym_rows: DataFrame, rel
     for counts in (count(taxa, "name_id", "taxa"), count(synonym_rows, "name_id", "synonyms"), count(sides, "n", "relations")):
         out = out.join(counts, "id", "left")
     return out.na.fill(0)
+
+
+def single_owner(names: DataFrame, taxa: DataFrame) -> DataFrame:
+    """The taxon of each name (id) that has exactly one, else null: where an issue of the name leads to."""
+    owners = taxa.groupBy(F.col("name_id").alias("id")).agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
+    return names.join(owners, "id", "left").withColumn("taxon_id", F.when(F.col("_n") == 1, F.col("_first"))).drop("_first", "_n")
+
+
+def label_issues(issues: DataFrame, names: DataFrame, taxa: DataFrame) -> DataFrame:
+    """A page of issues with the label of their record and the taxon that they lead to.
+
+    ``names`` (id, label), ``taxa`` (id, name_id).  A name leads to its only
+    taxon, a taxon to itself; records of other tables have their id as label.
+    """
+    of_name = single_owner(names.select("id", "label"), taxa).select(F.lit("name").alias("table_name"), F.col("id").alias("record_id"), "label", "taxon_id")
+    labels = names.select(F.col("id").alias("name_id"), "label")
+    of_taxon = taxa.join(labels, "name_id", "left").select(F.lit("taxon").alias("table_name"), F.col("id").alias("record_id"), "label", F.col("id").alias("taxon_id"))
+    joined = issues.join(of_name.unionByName(of_taxon), ["table_name", "record_id"], "left")
+    return joined.withColumn("label", F.coalesce("label", "record_id"))

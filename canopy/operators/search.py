@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.functions.parsers import MARKERS, NAME
+
 MODES = ("prefix", "partial", "fuzzy")
 #: BM25 constants of common full-text engines.
 K1, B = 1.2, 0.75
@@ -18,6 +20,15 @@ HEAD, TAIL = 7, 8
 DEFAULT_LIMIT = 50
 
 
+def strip_authorship(query: str) -> str:
+    """A query of two or more name words without its authorship and markers; other queries as they are."""
+    import regex
+
+    found = regex.match(NAME, query)
+    words = [w for w in regex.sub(r" \([^)]*\)", "", found[1]).split() if w not in MARKERS] if found else []
+    return " ".join(words) if len(words) >= 2 else query
+
+
 def prefix_hits(names: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """Names whose canonical form starts with the query, wildcards ignored, without regard to case."""
     plain = query.replace("%", "").replace("_", "").lower()
@@ -92,8 +103,11 @@ def fuzzy_hits(names: DataFrame, queries: DataFrame, least: int = 1) -> DataFram
     return shared.join(names.select("id", "canonical"), "canonical").select("query_id", "id", "canonical", "shared")
 
 
-def rerank_score(query: Column, matched: Column, is_synonym: Column, fuzzy: bool) -> Column:
-    """Composite score of a hit, as double; case of the query decides which of the two shape bonuses applies."""
+def rerank_score(query: Column, matched: Column, is_synonym: Column, fuzzy: bool, authorship: Column | None = None, author: Column | None = None) -> Column:
+    """Composite score of a hit, as double; case of the query decides which of the two shape bonuses applies.
+
+    A hit whose ``authorship`` starts with the ``author`` asked for gets a bonus.
+    """
     q, m = F.lower(query), F.lower(matched)
     first = F.substring(query, 1, 1)
     last = F.element_at(F.split(m, " "), -1)
@@ -103,9 +117,20 @@ def rerank_score(query: Column, matched: Column, is_synonym: Column, fuzzy: bool
     )
     a, b = F.octet_length(q), F.octet_length(m)
     score = F.when(m.startswith(q), 8.0).otherwise(0.0) + shape + 4.0 * F.least(a, b) / F.greatest(a, b, F.lit(1)) - F.when(is_synonym, 2.0).otherwise(0.0)
+    if authorship is not None and author is not None:
+        known = (F.coalesce(author, F.lit("")) != "") & F.coalesce(authorship, F.lit("")).startswith(author)
+        score = score + F.when(known, 3.0).otherwise(0.0)
     return score - 0.5 * F.levenshtein(q, m) if fuzzy else score
 
 
+def with_context(hits: DataFrame, tree: DataFrame) -> DataFrame:
+    """The cut hits (taxon_id) with the parent's id and name, and whether there are children."""
+    own = hits.join(tree.select(F.col("id").alias("taxon_id"), "parent_id"), "taxon_id", "left")
+    named = own.join(tree.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name")), "parent_id", "left")
+    parents = tree.select(F.col("parent_id").alias("_p")).where("_p is not null and _p <> ''").distinct()
+    return named.join(parents, F.col("taxon_id") == F.col("_p"), "left").withColumn("has_children", F.col("_p").isNotNull()).drop("_p")
+
+
 def search(names: DataFrame, aliases: DataFrame, query: str, mode: str = "prefix", include_synonyms: bool = True, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Rows (taxon_id, matched_name, is_synonym, score), best first."""
     if mode not in MODES:
@@ -113,6 +138,8 @@ def search(names: DataFrame, aliases: DataFrame, query: str, mode: str = "prefix
     if mode == "fuzzy" and len(query) < 3:
         mode = "prefix"
     spark = names.sparkSession
+    if mode != "prefix":
+        query = strip_authorship(query)
     if mode == "prefix":
         hits = resolve(names, aliases if include_synonyms else aliases.limit(0), query, limit)
         return hits.withColumn("score", F.lit(0.0))

@@ -110,3 +110,11 @@ def test_lists_page_hot_owners(spark):
     assert [r["id"] for r in got] == [4321, 0, 1]
     plan = E.vernaculars(rows, limit=3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_issue_labels(spark):
+    names = spark.createDataFrame([("n1", "One"), ("n2", "Two"), ("n3", "Three")], "id string, label string")
+    taxa = spark.createDataFrame([("t1", "n1"), ("t2", "n2"), ("t3", "n2")], "id string, name_id string")
+    issues = spark.createDataFrame([("name", "n1"), ("name", "n2"), ("name", "n3"), ("taxon", "t3"), ("reference", "r")], "table_name string, record_id string")
+    rows = {(r["table_name"], r["record_id"]): (r["label"], r["taxon_id"]) for r in E.label_issues(issues, names, taxa).collect()}
+    assert rows == {("name", "n1"): ("One", "t1"), ("name", "n2"): ("Two", None), ("name", "n3"): ("Three", None), ("taxon", "t3"): ("Two", "t3"), ("reference", "r"): ("r", None)}

@@ -20,7 +20,7 @@ def found(data, query, mode, **more):
 def test_modes(data):
     assert "Panthera leo" not in found(data, "leo", "prefix")
     assert "Panthera leo" in found(data, "leo", "partial", include_synonyms=False)
-    for query in ("Panth leo", "leo Panth", "Panthera leo"):
+    for query in ("Panth leo", "leo Panth", "Panthera leo", "Panthera leo (Linnaeus, 1758)"):
         assert found(data, query, "partial", include_synonyms=False) == ["Panthera leo"]
     assert "Ceroplastes" in found(data, "Cerpolastes", "fuzzy")
     assert found(data, "Pa", "fuzzy")  # too short: prefix
@@ -43,3 +43,12 @@ def test_trigrams(spark):
     assert {r["t"]: r["g"] for r in rows} == cases
     long = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz",)], "t string").select(S.query_trigrams(F.col("t")).alias("g")).first()["g"]
     assert len(long) == 15 and long[6:8] == ["ghi", "qrs"] and long[-1] == "xyz"
+
+
+def test_context_and_author_bonus(spark, data):
+    tree = spark.createDataFrame([("t1", "t5", "Panthera leo"), ("t5", None, "Panthera")], "id string, parent_id string, name string")
+    rows = {r["taxon_id"]: (r["parent_id"], r["parent_name"], r["has_children"]) for r in S.with_context(S.search(*data, "Panthera", "prefix"), tree).collect()}
+    assert rows == {"t1": ("t5", "Panthera", False), "t5": (None, None, True)}
+    score = lambda author: S.rerank_score(F.lit("leo"), F.lit("Panthera leo"), F.lit(False), False, F.lit("Linnaeus, 1758"), F.lit(author))
+    row = spark.range(1).select(score("Linn").alias("a"), score("Smith").alias("b"), score("").alias("c")).first()
+    assert row["a"] == row["b"] + 3 == row["c"] + 3
