@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -60,3 +61,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
 
 def blank_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; Spark uses the same workers for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only where the C library has it
+        pass

@@ -16,7 +16,6 @@ packed once each.  Other columns, also of clashing names, are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm import library_tokens
-from canopy.llm.bpe import encode_texts
-from canopy.llm.common import blank_null, chunks, table
+from canopy.llm.bpe import encode_texts, packed
+from canopy.llm.common import blank_null, chunks, release, table
 
 CAPACITY = 2048
 #: Cost per token, and per pair of tokens of one document.
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 END_ID = 1
 #: Documents of a packing group, and the tokens that close a group earlier.
-GROUP_DOCS, GROUP_TOKENS = 4096, 6_000_000
+GROUP_DOCS, GROUP_TOKENS = 4096, 2_000_000
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -87,7 +86,7 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, in
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: id, start, length, doc_tokens, sequence_id, offset and ``ids`` (array of the piece's token ids)."""
+    """One row per piece: id, start, length, doc_tokens, sequence_id, offset and ``ids`` (little-endian unsigned 32-bit)."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
@@ -96,8 +95,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         pieces = pack(np.array([len(x) for x in ids], np.int64), capacity)
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces))
         parts = [ids[d][s : s + n] for d, s, n, _, _ in pieces]
-        values = np.concatenate(parts).astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(length)])
         tokens = np.array([len(x) for x in ids], np.int64)
         batch = pa.record_batch(
             [
@@ -107,7 +105,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 pa.array(tokens[doc]),
                 pa.array(first + sequence),
                 pa.array(offset),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                packed(np.concatenate(parts), ends),
             ],
             names,
         )
@@ -118,7 +116,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         next_id = TaskContext.get().partitionId() << 32
         group: list[tuple[object, np.ndarray]] = []
         tokens = 0
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", 1 << 20):
             flat, ends = encode_texts(part.column("text"), memory)
             for k, key in enumerate(part.column("id").to_pylist()):
                 if group and (len(group) >= GROUP_DOCS or tokens >= GROUP_TOKENS):
@@ -129,26 +127,17 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 tokens += len(group[-1][1])
         if group:
             yield emit(group, next_id)[0]
+        group.clear()
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), blank_null(text_col).alias("text"))
-    schema = f"id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>"
+    schema = f"id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def with_crc32(pieces: DataFrame) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32`` of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(memoryview(values[a:b])) for a, b in zip(ends, ends[1:])]
-            yield pa.record_batch([*batch.drop_columns(["ids"]).columns, pa.array(crc, pa.int64())], [*rest, "ids_crc32"])
-
-    rest = [c for c in pieces.columns if c != "ids"]
-    pieces = pieces.select(*rest, "ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "ids")
-    return pieces.mapInArrow(run, f"{schema}, ids_crc32 bigint")
+    """``ids`` replaced by ``ids_crc32``."""
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_cost_balanced_packing(spark, sf_dir: str) -> DataFrame:
