@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm import learn, pretokens
-from canopy.llm.common import blank_null, chunks, table
+from canopy.llm.common import blank_null, chunks, release, table
 
 HOP = 256  # half a chunk
 WIDTH, STRIDE, CHANNELS, FILTERS, HIDDEN = 12, 4, 8, 16, 16
@@ -187,7 +187,9 @@ class ByteNetwork:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", modulus: int = MODULUS, held: int = HELD) -> ByteNetwork:
     texts, known, _ = learn.training_rows(docs, labels, target, modulus, held)
-    return ByteNetwork.new().fit(texts, known)
+    network = ByteNetwork.new().fit(texts, known)
+    release()
+    return network
 
 
 def score(docs: DataFrame, network: ByteNetwork, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -200,6 +202,7 @@ def score(docs: DataFrame, network: ByteNetwork, text_col: str = "text", name: s
         for part in chunks(batches, "_text", 2 << 20):
             found = model.scores(*pretokens.text_buffers(part.column("_text")))
             yield pa.record_batch([*part.columns[:-1], pa.array(found.astype(np.float64))], [*names, "_score"])
+        release()
 
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], blank_null(text_col).alias("_text"))
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
