@@ -30,8 +30,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 SUPPORT, CONFIDENCE = 0.001, 0.9
-#: Distinct token sets that rules are mined from at most, the most frequent first by weight: a documented bound of the fit.
-MOST_TOKENS = 4
+#: Tokens of a mined rule at most, and the tokens of a labelled URL that are mined; matching sees all tokens of all URLs.
+MOST_TOKENS, MINED_TOKENS = 4, 64
 ALLOW, BLOCK = "allow", "block"
 _LABEL = "label="
 
@@ -74,7 +74,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     counts them per partition before it shuffles.
     """
     spark = labelled.sparkSession
-    baskets = labelled.select(F.array_union(F.slice("tokens", 1, 64), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
+    baskets = labelled.select(F.array_union(F.slice("tokens", 1, MINED_TOKENS), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
     if baskets.isEmpty():
         return spark.createDataFrame([], "rule_tokens array<string>, verdict string, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
