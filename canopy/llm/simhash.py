@@ -194,43 +194,27 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return fps.join(every, "fp").select(id_col, "fp", "component_id")
 
 
-#: 64-bit parts of the wide fingerprints; the different bits that near copies stay within, of words and of shingles.
-PARTS, WORDS_APART, SHINGLES_APART = 4, 29, 51
-#: Byte positions of the words' bits that are one key of the index: from each position, and from every second one.
-TRIPLES = [(i, (i + 1) % 32, (i + 3) % 32) for i in range(32)] + [(i, (i + 5) % 32, (i + 14) % 32) for i in range(0, 32, 2)]
 WIDE_SHINGLE = 5
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A well-mixed 64-bit hash of each value, one column per part."""
-    x = x[:, None] ^ _SEEDS
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(33))
-
-
-def _distinct_majority(doc: np.ndarray, hashes: np.ndarray, texts: int) -> np.ndarray:
-    """SimHash parts of each text over its distinct hashes."""
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])]) if len(doc) else np.zeros(0, bool)
-    doc, parts = doc[new], _mixed(hashes[new])
-    counts = np.bincount(doc, minlength=texts)
-    return np.stack([majority(np.ascontiguousarray(parts[:, p]), counts) for p in range(PARTS)], axis=1)
-
-
-def wide_fingerprints_of(texts: list[str]) -> np.ndarray:
-    """``PARTS`` SimHashes of each text's distinct words, then as many of its distinct five-word shingles."""
+#: Near copies have at least NEAR / WHOLE of the shingles of both in common: 4 / 5.
+NEAR, WHOLE = 4, 5
+#: Texts that tell which shingles are frequent, the texts of these that have such a one, and the shingles known as such.
+#: They only order the shingles, so that no result depends on them.
+SAMPLE, FREQUENT, KNOWN = 20_000, 4, 200_000
+#: Members of a long posting list that all others are compared with first.
+PIVOTS = 3
+#: So few nodes are sent to all executors to look up their texts.
+SENT_NODES = 100_000
+
+
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct five-word shingles as ascending hashes, and the text of each; a shorter text is one shingle."""
     import xxhash
 
-    if not texts:
-        return np.zeros((0, 2 * PARTS), np.uint64)
     seen: dict[bytes, int] = {}
     index: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        words = text.encode("utf-8", "surrogatepass").lower().split()
+        words = text.encode("utf-8", "surrogatepass").lower().split() or [b""]
         index += [seen.setdefault(w, len(seen)) for w in words]
         counts[k] = len(words)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))[np.array(index, np.int64)]
@@ -246,118 +230,200 @@ def wide_fingerprints_of(texts: list[str]) -> np.ndarray:
         value = np.where(k < size[doc], hashes[there], np.uint64(0))
         rolled = (rolled ^ value) * np.uint64(0x9FB21C651E98DF25)
         rolled ^= rolled >> np.uint64(32)
-    return np.concatenate([_distinct_majority(doc, hashes, len(texts)), _distinct_majority(doc[begins], rolled[begins], len(texts))], axis=1)
-
+    doc, rolled = doc[begins], rolled[begins]
+    order = np.lexsort((rolled, doc))
+    doc, rolled = doc[order], rolled[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (rolled[1:] != rolled[:-1])
+    return rolled[new], doc[new]
 
-def _wide_links(keys: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """Row pairs of the sorted posting lists that are near copies; a spanning forest per list."""
 
-    def linked(i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
-        differ = wide[i] ^ wide[j]
-        # count filter: so few different bits leave that many of the words' bytes equal
-        ok = (differ[:, :PARTS].copy().view(np.uint8) == 0).sum(axis=1) >= POSITIONS * PARTS - WORDS_APART
-        bits = np.bitwise_count(differ[ok])
-        ok[ok] = (bits[:, :PARTS].sum(axis=1) <= WORDS_APART) & (bits[:, PARTS:].sum(axis=1) <= SHINGLES_APART)
-        return ok
+def prefixes(hashes: np.ndarray, doc: np.ndarray, texts: int, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each set the shingles that are indexed: key, text, size of the set and place, in one order for all sets.
 
-    found = []
+    Of two sets in the same order that have 4/5 of their union in common, the
+    first n // 5 + 1 shingles have one in common.  Frequent shingles come last.
+    """
+    late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes if len(frequent) else np.zeros(len(hashes), bool)
+    order = np.lexsort((hashes, late, doc))
+    hashes, doc = hashes[order], doc[order]
+    counts = np.bincount(doc, minlength=texts)
+    place = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
+    size = counts[doc]
+    some = place < size * (WHOLE - NEAR) // WHOLE + 1
+    return hashes[some], doc[some], size[some], place[some]
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole posting lists of batches in key order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1]))  # the last list may go on
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        elif held and held[-1].column("key")[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(starts, len(keys)))
-    size_at = np.repeat(sizes, sizes)
-    for step in range(1, SHORT_LIST):
-        i = np.flatnonzero((keys[:-step] == keys[step:]) & (size_at[:-step] <= SHORT_LIST)) if len(keys) > step else np.zeros(0, np.int64)
-        if len(i):
-            i = i[linked(i, i + step)]
-            found.append(np.stack([i, i + step], axis=1))
-    for k in np.flatnonzero(sizes > SHORT_LIST):
-        open_ = np.arange(starts[k], starts[k] + sizes[k])
-        while len(open_):
-            front, open_ = [int(open_[0])], open_[1:]
-            while front and len(open_):
-                node = front.pop()
-                hit = linked(open_, node)
-                reached = open_[hit]
-                if len(reached):
-                    found.append(np.stack([np.full(len(reached), node), reached], axis=1))
-                    front += reached.tolist()
-                    open_ = open_[~hit]
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-
-
-_WIDE = [*(f"w{p}" for p in range(PARTS)), *(f"s{p}" for p in range(PARTS))]
-
-
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between the nodes (xxhash64 of all parts) of distinct wide fingerprints that are near copies.
-
-    The bytes of the words' 256 bits are indexed by the triples of positions
-    above: bytes of near copies are equal so often that a pair has an equal
-    triple all but surely (measured: all pairs below 20 different bits, 96 of
-    100 from 20 to 29).
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
+def _possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets whose first common shingle is at these places can have 4/5 of their union in common."""
+    most = np.minimum(size[i] - place[i], size[j] - place[j])
+    return (NEAR + WHOLE) * most >= NEAR * (size[i] + size[j])
+
+
+def first_pairs(postings: DataFrame) -> DataFrame:
+    """Rows (key, a, b, size, place): pairs of nodes to be compared (key null), and the members ``a`` of long lists.
+
+    Short lists give all their pairs, long ones those with their first members and of neighbours.
     """
-    keys = []
-    for number, places in enumerate(TRIPLES):
-        key = F.lit(number).cast("long")
-        for k in places:
-            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(f"w{k // 8}", 8 * (k % 8)).bitwiseAND(F.lit(255)))
-        keys.append(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for rows in _lists(batches):
+            key, node, size, place = (rows.column(n).to_numpy() for n in ("key", "node", "size", "place"))
+            new = np.ones(len(key), bool)  # equal texts of several tasks
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node, size, place = key[new], node[new], size[new], place[new]
+            starts, sizes = _runs(key)
+            size_at = np.repeat(sizes, sizes)
+            within = np.arange(len(key)) - np.repeat(starts, sizes)
+            left, right = [], []
+            for step in range(1, SHORT_LIST):
+                i = np.flatnonzero((size_at > step) & (within + step < size_at) & ((size_at <= SHORT_LIST) | (step == 1)))
+                left.append(i)
+                right.append(i + step)
+            long = size_at > SHORT_LIST
+            for pivot in range(PIVOTS):
+                j = np.flatnonzero(long & (within > pivot))
+                left.append(j - within[j] + pivot)
+                right.append(j)
+            i, j = np.concatenate(left), np.concatenate(right)
+            ok = _possible(size, place, i, j)
+            pairs = np.unique(np.stack([node[i[ok]], node[j[ok]]], axis=1), axis=0)
+            if len(pairs):
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.record_batch([none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none, none], names)
+            if long.any():
+                yield pa.record_batch([pa.array(key[long]), pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(size[long]), pa.array(place[long])], names)
+
+    names = ["key", "a", "b", "size", "place"]
+    tasks = 4 * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an index is larger than its rows
+    return postings.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def other_pairs(members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the long lists' ``members`` (key, node, size, place, component) that are in no component together."""
 
-        def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(parts)
-            wide = np.stack([rows.column(n).to_numpy() for n in _WIDE], axis=1).view(np.uint64)
-            pairs = _wide_links(rows.column("key").to_numpy(), wide)
-            return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in wide[pairs].reshape(-1, 4 * PARTS).view(np.int64).T], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _lists(batches):
+            key, node, size, place, component = (rows.column(n).to_numpy() for n in ("key", "node", "size", "place", "component"))
+            for start, many in zip(*_runs(key)):
+                if (component[start : start + many] == component[start]).all():
+                    continue
+                by_size = start + np.argsort(size[start : start + many], kind="stable")
+                # sizes of near copies are within 4/5
+                ends = np.searchsorted(size[by_size], size[by_size] * WHOLE // NEAR, side="right")
+                for k in range(many):
+                    j = by_size[k + 1 : ends[k]]
+                    j = j[component[j] != component[by_size[k]]]
+                    i = np.full(len(j), by_size[k])
+                    ok = _possible(size, place, i, j)
+                    if ok.any():
+                        a, b = node[i[ok]], node[j[ok]]
+                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ``texts`` (node, text) have 4/5 of their shingles in common, counted exactly."""
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = F.broadcast(ends) if ends.count() <= SENT_NODES else ends
 
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last:
-                yield out([*held, batch.slice(0, last)])
-                held = []
-            elif held and held[-1].column("key")[-1].as_py() != keys[0]:
-                yield out(held)
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield out(held)
-
-    names = [f"{side}_{n}" for side in "ab" for n in _WIDE]
-    postings = nodes.select(F.explode(F.array(*keys)).alias("key"), *_WIDE)
-    tasks = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an index is larger than its rows
-    found = postings.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
-    return found.select(*[F.xxhash64(*[f"{side}_{n}" for n in _WIDE]).alias(side) for side in "ab"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            hashes, doc = shingle_sets(part.column("text").to_pylist())
+            offsets = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.record_batch([part.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
 
+    made = texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+    sets = cut(made.dropDuplicates(["node"]))
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where((NEAR + WHOLE) * common >= NEAR * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the row of the least id stays.
 
-    Near copies have five-word shingles of a similarity of 0.8 or more, as told
-    by two wide SimHashes: 256 bits of the distinct words, which differ in few
-    bits and so share many bytes, are indexed and count-filtered; 256 bits of the
-    distinct shingles verify a pair.  (The shingles' own bits differ in every
-    seventh place at that similarity, which leaves too few equal bytes for an
-    index.)  Rows of equal id and text stay once each id; rows without id are
-    kept.  Texts without words are copies of each other.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def frequent_shingles(texts: DataFrame, count: int) -> np.ndarray:
+    """Shingles that several texts of a sample have, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            wide = wide_fingerprints_of(part.column("text").to_pylist()).view(np.int64)
-            yield pa.record_batch([part.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in wide.T)], ["id", *_WIDE])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), blank_null(text_col).alias("text"))
-    made = rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} bigint" for n in _WIDE)]))
-    nodes = cut(made.groupBy(*_WIDE).agg(F.min("id").alias("least")).withColumn("node", F.xxhash64(*_WIDE)))
-    parts = connected_components(wide_links(nodes.drop("least", "node")))
-    # the least id of every group, and of every fingerprint that has no links
-    named = nodes.join(parts, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
-    keep = named.groupBy("component").agg(F.min("least").alias("_keep")).select("_keep")
+            yield pa.record_batch([pa.array(shingle_sets(part.column("text").to_pylist())[0].view(np.int64))], ["shingle"])
+
+    share = max(1, count // SAMPLE)
+    counted = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("text").mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"))
+    often = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n")).limit(KNOWN).select("shingle")
+    return np.sort(np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def near_copy_links(texts: DataFrame, count: int) -> DataFrame:
+    """Edges (a, b) that join all ``texts`` (node, text; ``count`` nodes) with a shingle similarity of 0.8 or more."""
+    frequent = frequent_shingles(texts, count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in chunks(batches, "text"):
+            nodes = part.column("node").to_numpy()
+            new = [k for k, n in enumerate(nodes.tolist()) if not (n in seen or seen.add(n))]  # equal texts once a task
+            some, nodes = part.column("text").take(pa.array(new, pa.int64())), nodes[new]
+            hashes, doc = shingle_sets(some.to_pylist())
+            key, doc, size, place = prefixes(hashes, doc, len(new), frequent)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(nodes[doc]), pa.array(size), pa.array(place)], ["key", "node", "size", "place"])
+
+    made = cut(first_pairs(texts.mapInArrow(run, "key bigint, node bigint, size bigint, place bigint")))
+    first = cut(made.where("key is null").select("a", "b").distinct())
+    edges = cut(verified(first, texts))
+    long = made.where("key is not null").select("key", F.col("a").alias("node"), "size", "place")
+    if long.isEmpty():
+        return edges
+    members = long.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = cut(other_pairs(members).distinct().join(first, ["a", "b"], "left_anti"))
+    return edges if more.isEmpty() else edges.union(verified(more, texts))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row of the least id stays.
+
+    Near copies have five-word shingles of a Jaccard similarity of 0.8 or more,
+    whatever the edit was.  The shingles of every text are put into one order,
+    frequent ones last, and the first n // 5 + 1 of n are indexed: two near copies
+    always have one of these in common.  Size and places drop pairs that can't
+    reach 0.8, and the shingles of the others are compared exactly.  A long
+    posting list first compares its members with a few, and then all pairs that
+    no chain of near copies joins yet.  Rows of equal id and text stay once each
+    id; rows without id are kept.  Texts without words are copies of each other.
+    """
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), blank_null(text_col).alias("text"))
+    texts = named.select(F.xxhash64("text").alias("node"), "text")
+    nodes = cut(named.groupBy(F.xxhash64("text").alias("node")).agg(F.min("id").alias("least")))
+    parts = connected_components(near_copy_links(texts, nodes.count()))
+    # the least id of every group, and of every text that has no links
+    groups = nodes.join(parts, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
+    keep = groups.groupBy("component").agg(F.min("least").alias("_keep")).select("_keep")
     kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
