@@ -2,6 +2,7 @@
 
 Each word is the sum of a learned vector of the word and the mean of learned
 vectors of its character n-grams (3 to 5, with word borders), both by hashing.
+A run of letters of more than 24 bytes is a word for each of its overlapping pieces.
 Windows of 32 words, each overlapping the next by 8, cover the whole text; a
 window's states in both directions are pooled by attention to one logit, and the highest
 logits of all windows give the text's probability.
@@ -28,8 +29,8 @@ SIZES = (3, 4, 5)
 #: Buckets that n-grams are hashed to; training texts that a word and an n-gram must be in to get a vector.
 BUCKETS = 1 << 20
 WORD_TEXTS, GRAM_TEXTS = 12, 15
-#: Bytes of a longer word that its n-grams come from: its first and last ones; the word's own bucket sees all.
-WORD_BYTES = 24
+#: Bytes of a word at most, and from one piece of a longer run of letters to the next: any 13 bytes of it are in one piece.
+WORD_BYTES, PIECE_STEP = 24, 12
 #: Texts of average toxicity that are added to the counts of each word and n-gram.
 PRIOR = 10
 #: Plain learning rate of the vectors.
@@ -52,8 +53,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def gram_buckets(words: list[bytes]) -> np.ndarray:
     """Hash buckets of each lower-case word's n-grams; 0 fills the rows."""
-    cut = WORD_BYTES // 2
-    spelled = [b"\x02" + (w if len(w) <= WORD_BYTES else w[:cut] + w[-cut:]) + b"\x03" for w in words]
+    spelled = [b"\x02" + w + b"\x03" for w in words]
     width = max(max(map(len, spelled), default=0), max(SIZES))
     return np.concatenate([_gram_block(spelled[a : a + WORDS_AT_ONCE], width) for a in range(0, max(1, len(words)), WORDS_AT_ONCE)])
 
@@ -299,18 +299,33 @@ def top_logits(logits: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """The word, or the overlapping pieces that a longer run of letters is read by."""
+    if len(word) <= WORD_BYTES:
+        return [word]
+    return [word[a : a + WORD_BYTES] for a in range(0, len(word) - WORD_BYTES + PIECE_STEP, PIECE_STEP)]
+
+
 def text_words(data: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct lower-case words, and for each word of the texts its index there and its text."""
     starts = pretokens.split(data, ends)
     tokens, index = pretokens.words_of(data, starts)
     place: dict[bytes, int] = {}
-    row = np.empty(len(tokens), np.int64)
+    rows: list[int] = []
+    many = np.zeros(len(tokens), np.int64)
     for k, token in enumerate(tokens.to_pylist()):
         word = token.decode().strip().strip("'").lower()
-        row[k] = place.setdefault(word.encode(), len(place)) if word.isalnum() else -1
-    at = row[index] if len(index) else np.zeros(0, np.int64)
+        if word.isalnum():
+            parts = pieces(word.encode())
+            rows += [place.setdefault(p, len(place)) for p in parts]
+            many[k] = len(parts)
+    if not len(index):
+        return [b""], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    count = many[index]
+    within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at = np.array(rows, np.int64)[np.repeat((np.cumsum(many) - many)[index], count) + within]
     doc = np.searchsorted(ends, starts, side="right") - 1
-    return list(place) or [b""], at[at >= 0], doc[at >= 0]
+    return list(place) or [b""], at, np.repeat(doc, count)
 
 
 def windows_of(index: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:

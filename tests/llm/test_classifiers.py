@@ -110,3 +110,28 @@ def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         windows, owner = toxicity.windows_of(np.arange(n), np.zeros(n, np.int64), 1)
         assert set(windows[windows >= 0].tolist()) == set(range(n)) and len(owner) >= 1
+
+
+def test_long_runs_of_letters_are_read_whole():
+    """Every byte of a run without spaces is in a piece, and toxic words in its middle raise the score."""
+    for n in (1, 24, 25, 36, 37, 48, 49, 1000):
+        run = "".join(chr(97 + k * k % 23) for k in range(n)).encode()
+        parts = toxicity.pieces(run)
+        assert max(map(len, parts)) <= toxicity.WORD_BYTES
+        assert all(any(run[a : a + 13] in p for p in parts) for a in range(max(1, n - 12)))
+    words, index, doc = toxicity.text_words(*pretokens.text_buffers(pa.array(["an " + "x" * 70_000 + " end", "", "an"])))
+    assert doc.tolist() == [0] * (len(index) - 1) + [2] and len(index) > 70_000 // toxicity.WORD_BYTES and words[index[-2]] == b"end" and words[index[-1]] == b"an"
+    random = np.random.default_rng(2)
+    clean = [f"{a}{b}lo" for a in "bdfgkm" for b in "aeiou"]
+    texts, labels = [], []
+    for k in range(240):
+        said = list(random.choice(clean, 120))
+        if k % 2:
+            at = int(random.integers(0, 100))
+            said[at : at + 3] = list(random.choice(["vile", "scum", "filth"], 3))
+        texts.append(" ".join(said))
+        labels.append(k % 2)
+    model = toxicity.Recurrent.new().fit(texts, np.array(labels, np.float32), 0.5)
+    run = "".join(random.choice(clean, 10_000))
+    found = toxicity.Scorer(model).scores(*pretokens.text_buffers(pa.array([run, run[:20_000] + "vilescumfilth" * 3 + run[20_000:]])))
+    assert found[0] < found[1]
