@@ -350,21 +350,27 @@ def other_pairs(members: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ``texts`` (node, text) have 4/5 of their shingles in common, counted exactly."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = F.broadcast(ends) if ends.count() <= SENT_NODES else ends
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
-            hashes, doc = shingle_sets(part.column("text").to_pylist())
-            offsets = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.record_batch([part.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
-
-    made = texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
-    sets = cut(made.dropDuplicates(["node"]))
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
+        for part in chunks(batches, "text_a"):
+            (of_a, row_a), (of_b, row_b) = (shingle_sets(part.column(n).to_pylist()) for n in ("text_a", "text_b"))
+            shingle, row = np.concatenate([of_a, of_b]), np.concatenate([row_a, row_b])
+            order = np.lexsort((shingle, row))
+            shingle, row = shingle[order], row[order]
+            twice = (row[1:] == row[:-1]) & (shingle[1:] == shingle[:-1])
+            common = np.bincount(row[1:][twice], minlength=part.num_rows)
+            near = (NEAR + WHOLE) * common >= NEAR * np.bincount(row, minlength=part.num_rows)
+            yield part.select(["a", "b"]).filter(pa.array(near))
+
+    def side(end: str) -> DataFrame:
+        ends = cut(pairs.select(F.col(end).alias("node")).distinct())
+        wanted = F.broadcast(ends) if ends.count() <= SENT_NODES else ends
+        found = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        return found.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+
+    # texts take less room in a shuffle than their shingles
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where((NEAR + WHOLE) * common >= NEAR * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def frequent_shingles(texts: DataFrame, count: int) -> np.ndarray:

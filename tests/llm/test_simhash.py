@@ -167,3 +167,21 @@ def test_long_lists_of_near_copies(spark):
                 up[y] = x
     kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
     assert kept == {top(i) for i in texts} and 1 < len(kept) < 150
+
+
+def test_index_covers_every_near_copy():
+    """Two sets of 4/5 always share an indexed shingle that their sizes and places let through, whichever are frequent."""
+    random = np.random.default_rng(8)
+    for _ in range(300):
+        common = int(random.integers(1, 300))
+        extra = common // 4  # as many as 4/5 allows
+        left = int(random.integers(0, extra + 1))
+        pool = np.unique(random.integers(0, 2**63, common + extra, dtype=np.uint64))
+        random.shuffle(pool)
+        one, other = pool[: common + left], np.concatenate([pool[:common], pool[common + left :]])
+        frequent = np.sort(random.choice(pool, int(random.integers(0, len(pool) + 1)), replace=False))
+        sets = [np.sort(one), np.sort(other)]
+        key, doc, size, place = simhash.prefixes(np.concatenate(sets), np.repeat([0, 1], [len(one), len(other)]), 2, frequent)
+        shared, i, j = np.intersect1d(np.where(doc == 0, key, 0), np.where(doc == 1, key, 0), return_indices=True)
+        real = shared > 0
+        assert real.any() and simhash._possible(size, place, i[real], j[real]).any()
