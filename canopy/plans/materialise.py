@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from canopy.sources.shared import base, folder
 
-
-def _base(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a session without that setting (as in tests) gets a temporary folder."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="canopy-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return base if "://" in base or base.startswith("file:") else "file://" + os.path.abspath(base)
+__all__ = ["folder", "materialise"]
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """The rows from a checkpoint; a lost executor costs no recomputation of the plan above."""
-    _base(df.sparkSession)
+    base(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the shared place."""
-    return f"{_base(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
