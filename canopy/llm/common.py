@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.sources import shared
+
 #: Text bytes that a Python worker handles at once.  A longer single text is handled alone.
 CHUNK_BYTES = 4 << 20
 
@@ -22,26 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session has no such setting (as in tests) a temporary folder is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="canopy-")
-            spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
+    return shared.folder(spark, purpose)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint, so that a lost executor costs no recomputation of the plan above."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+    shared.base(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

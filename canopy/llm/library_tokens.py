@@ -3,14 +3,23 @@
 The library encodes each pre-token on its own, so a pre-token's ids don't depend
 on its neighbours.  Texts are split with ``pretokens``; what a worker hasn't seen
 yet goes to the library in a few long strings.
+
+A file's added tokens (marks such as the end of a text) are found before that,
+wherever a text spells them, and have one id each; the parts between them are
+encoded as texts of their own.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from canopy.llm import bpe
 from canopy.llm.bpe import WordIds
 
 #: Pre-tokens joined to one string for the library.
@@ -66,3 +75,35 @@ def encode_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
 @functools.cache
 def memory(path: str) -> WordIds:
     return WordIds(functools.partial(encode_words, path))
+
+
+@functools.cache
+def added_tokens(path: str) -> dict[str, int]:
+    """Spelling and id of the file's added tokens, the longest first; those that depend on their neighbours are refused."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens that look at their neighbours aren't supported")
+    return {t["content"]: t["id"] for t in sorted(found, key=lambda t: -len(t["content"]))}
+
+
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in order, and the ``n + 1`` ends of the texts in them; null is empty."""
+    marks = added_tokens(path)
+    if not any(pc.any(pc.match_substring(texts, m)).as_py() for m in marks):
+        return bpe.encode_texts(texts, memory(path))
+    pattern = re.compile("(" + "|".join(map(re.escape, marks)) + ")")
+    parts: list[str] = []
+    owner: list[int] = []
+    after: list[int] = []  # id of the mark that follows a part, -1 at a text's end
+    for k, text in enumerate(texts.to_pylist()):
+        split = pattern.split(text or "")
+        parts += split[::2]
+        owner += [k] * len(split[::2])
+        after += [*(marks[m] for m in split[1::2]), -1]
+    flat, ends = bpe.encode_texts(pa.array(parts, pa.large_string()), memory(path))
+    mark = np.array(after, np.int64)
+    marked = mark >= 0
+    ids = np.insert(flat, ends[1:][marked], mark[marked])
+    counts = np.bincount(np.array(owner), np.diff(ends) + marked, minlength=len(texts)).astype(np.int64)
+    return ids, np.concatenate([[0], np.cumsum(counts)])

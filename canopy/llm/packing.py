@@ -10,7 +10,8 @@ a partition's documents, so nothing is shuffled and no group grows with the
 input.  Sequence ids hold the partition, the group and the sequence; a task that
 runs again gives the same rows.
 
-Nulls and empty texts are a document of the end token alone.  Repeated rows are
+Nulls and empty texts are a document of the end token alone.  The file's added
+tokens are one id wherever a text spells them, as in the library.  Repeated rows are
 packed once each.  Other columns, also of clashing names, are ignored.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm import library_tokens
-from canopy.llm.bpe import encode_texts, packed
+from canopy.llm.bpe import packed
 from canopy.llm.common import blank_null, chunks, release, table
 
 CAPACITY = 2048
@@ -112,12 +113,11 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return batch, first + int(sequence.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = library_tokens.memory(path)
         next_id = TaskContext.get().partitionId() << 32
         group: list[tuple[object, np.ndarray]] = []
         tokens = 0
         for part in chunks(batches, "text", 1 << 20):
-            flat, ends = encode_texts(part.column("text"), memory)
+            flat, ends = library_tokens.encode_texts(part.column("text"), path)
             for k, key in enumerate(part.column("id").to_pylist()):
                 if group and (len(group) >= GROUP_DOCS or tokens >= GROUP_TOKENS):
                     batch, next_id = emit(group, next_id)

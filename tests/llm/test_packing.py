@@ -71,3 +71,10 @@ def test_odd_rows(odd, nothing, tokenizer):
     want = sum(len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
     assert sum(r["length"] for r in rows) == want == sum(len(r["ids"]) // 4 for r in rows)
     assert packing.pack_documents(nothing, PATH).collect() == []
+
+
+def test_added_tokens_of_the_file(spark, tokenizer):
+    mark = "<|endoftext|>"
+    texts = [mark, f"z{mark}", f"{mark} z", f"a {mark} b{mark}{mark}c", "plain"]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), PATH).collect()}
+    assert got == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
