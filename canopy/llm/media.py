@@ -8,7 +8,10 @@ the key frames; the media data itself is never read for that.
 
 Nulls and empty texts are one frame of blanks.  Equal payloads give equal bytes.
 Bytes that hold no readable track give a null codec and no ranges instead of an
-error.  Repeated rows repeat; other columns are ignored.
+error: broken boxes, boxes nested deeper than ``DEEPEST``, and sample tables that
+count more samples than the file has bytes (or a million, in a file without its
+media data).  A duration that a file calls unknown is null.  Repeated rows
+repeat; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ RATE, KEY_EVERY = 25, 12
 PER_CHUNK = 64
 PAD = b" "
 
+#: Levels of nested boxes (the format's own tables need six), and samples that any file may have.
+DEEPEST, FEW_SAMPLES = 64, 1 << 20
+
 #: Boxes that hold other boxes; fixed by the format.
 CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"})
 
@@ -92,25 +98,30 @@ def mux(payload: bytes) -> bytes:
     return head + moov(size) + _box(b"mdat", payload)
 
 
-def boxes(data: bytes, start: int = 0, stop: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Path, body start and end of every box, parents first; sizes that leave their parent end the walk."""
-    stop = len(data) if stop is None else stop
-    while start + 8 <= stop:
+def boxes(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """Path, body start and end of every box, parents first; sizes that leave their parent end its walk."""
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]  # path, place and end of the parents at hand
+    while open_:
+        path, start, stop = open_.pop()
+        if start + 8 > stop:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
             if body + 8 > stop:
-                return
+                continue
             (size,) = struct.unpack_from(">Q", data, body)
             body += 8
         elif size == 0:
             size = stop - start
         if size < body - start or start + size > stop:
-            return
+            continue
         yield (*path, kind), body, start + size
+        open_.append((path, start + size, stop))
         if kind in CONTAINERS:
-            yield from boxes(data, body, start + size, (*path, kind))
-        start += size
+            if len(path) >= DEEPEST:
+                raise ValueError("boxes are nested too deep")
+            open_.append(((*path, kind), body, start + size))
 
 
 @dataclass
@@ -121,7 +132,7 @@ class Track:
     width: int = 0
     height: int = 0
     timescale: int = 0
-    duration: int = 0
+    duration: int | None = 0
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -129,10 +140,20 @@ class Track:
 
 
 def _numbers(data: bytes, at: int, stop: int, columns: int, kind: str = ">u4") -> np.ndarray:
+    """Rows of a counted table that lie within its box."""
     (n,) = struct.unpack_from(">I", data, at)
     width = np.dtype(kind).itemsize * columns
-    n = min(n, (stop - at - 4) // width)
-    return np.frombuffer(data, kind, n * columns, at + 4).reshape(n, columns).astype(np.int64)
+    n = max(0, min(n, (stop - at - 4) // width))
+    found = np.frombuffer(data, kind, n * columns, at + 4).reshape(n, columns)
+    if len(found) and found.max() > np.iinfo(np.int64).max:
+        raise ValueError("a number that no file reaches")
+    return found.astype(np.int64)
+
+
+def _spread(values: np.ndarray, times: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of the values repeated so many times each, without making the others."""
+    upto = np.minimum(np.cumsum(np.minimum(times.clip(0), most)), most)
+    return np.repeat(values, np.diff(upto, prepend=0))
 
 
 def tracks(data: bytes) -> list[Track]:
@@ -149,7 +170,10 @@ def tracks(data: bytes) -> list[Track]:
         track = Track()
         if b"mdhd" in parts:
             at = parts[b"mdhd"][0]
-            track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+            wide = data[at] == 1
+            track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if wide else struct.unpack_from(">II", data, at + 12)
+            if track.duration >= (1 << 63 if wide else 0xFFFFFFFF):
+                track.duration = None
         if b"stsd" in parts and parts[b"stsd"][1] >= parts[b"stsd"][0] + 16:
             at, stop = parts[b"stsd"]
             track.codec = data[at + 12 : at + 16].decode("latin-1")
@@ -160,13 +184,16 @@ def tracks(data: bytes) -> list[Track]:
             continue
         at, stop = parts[b"stsz"]
         one, n = struct.unpack_from(">II", data, at + 4)
+        if n > max(len(data), FEW_SAMPLES):
+            raise ValueError("more samples than bytes")
         sizes = np.full(n, one, np.int64) if one else _numbers(data, at + 8, stop, 1)[:, 0]
         at, stop = parts[b"stsc"]
         runs = _numbers(data, at + 4, stop, 3)
         where, stop = parts.get(b"co64") or parts[b"stco"]
         chunk = _numbers(data, where + 4, stop, 1, ">u8" if b"co64" in parts else ">u4")[:, 0]
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk) + 1)).clip(0))[: len(chunk)]
-        owner = np.repeat(np.arange(len(per)), per)[: len(sizes)]
+        begins = np.append(runs[:, 0].clip(1, len(chunk) + 1), len(chunk) + 1)
+        per = _spread(runs[:, 1], np.diff(begins), len(chunk))
+        owner = _spread(np.arange(len(per)), per, len(sizes))
         sizes = sizes[: len(owner)]
         before = np.cumsum(sizes) - sizes
         first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
@@ -174,7 +201,8 @@ def tracks(data: bytes) -> list[Track]:
         track.sizes, track.offsets = sizes, chunk[owner] + before - base
         at, stop = parts[b"stts"]
         steps = _numbers(data, at + 4, stop, 2)
-        delta = np.repeat(steps[:, 1], steps[:, 0].clip(0, len(sizes)))[: len(sizes)]
+        delta = _spread(steps[:, 1], steps[:, 0], len(sizes))
+        delta = np.append(delta, np.zeros(len(sizes) - len(delta), np.int64))  # a short table's last samples take no time
         track.times = np.cumsum(delta) - delta
         if b"stss" in parts:
             at, stop = parts[b"stss"]
@@ -211,7 +239,7 @@ def describe(media: DataFrame, media_col: str = "media") -> DataFrame:
                 if value.is_valid:
                     try:
                         got = next(iter(tracks(value.as_buffer().to_pybytes())), None)
-                    except (struct.error, ValueError, IndexError):
+                    except (struct.error, ValueError, IndexError, OverflowError):
                         got = None
                 rows.append((got.codec, got.width, got.height, got.timescale, got.duration, len(got.sizes)) if got else (None,) * 6)
                 keys = got.keys if got else np.zeros(0, np.int64)

@@ -1,14 +1,17 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions only.
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash
-range, and always the least hash, so that a text with words never has an empty
-sketch.  Its size follows the text's, so the sketches of a short and a very long
-text still estimate how much of the one is contained in the other, and the
-sketch of joined parts is the union of theirs (``merge``).
+range, and no other.  Its size follows the text's, so the sketches of a short and
+a very long text still estimate how much of the one is contained in the other,
+and the sketch of a union of shingle sets is the union of theirs (``merge``).
 
 Words are runs without ASCII white space; a shingle is five words in a row, or
-all words of a shorter text.  Null and empty texts have no shingles and an empty
-fingerprint; two empty ones are alike (1.0), an empty and another aren't (0.0).
+all words of a shorter text.  Null and empty texts have no shingles.
+
+A sketch without hashes (a short text, or one without words) says nothing about
+likeness.  The fingerprint of such a text is a digest of all its shingles
+instead of the kept hashes, and its likeness is 1 to an equal fingerprint and 0
+to all others.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from canopy.llm.common import table
 
 SHINGLE = 5
 #: One hash of so many is kept.
-SCALE = 8
+SCALE = 4
 #: Rows of a document range in ``with_next``; bounds the rows that a window holds.
 RANGE_ROWS = 2000
 #: Most ranges whose bounds are held as constants; larger tables have larger ranges.
@@ -30,7 +33,8 @@ RANGES = 20_000
 def sketch(text: Column, size: int = SHINGLE, scale: int = SCALE) -> list[tuple[str, Column]]:
     """Named steps of a text column's sketch, each to be added with ``withColumn`` before the next.
 
-    The steps end in ``_sketch``, the ascending array of kept hashes.
+    They end in ``_sketch``, the ascending array of kept hashes, and ``_bare``, which
+    is null but for a text without kept hashes: there it is a digest of its shingles.
     """
     top = -(2**63) + 2**64 // scale
     words = F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
@@ -39,39 +43,40 @@ def sketch(text: Column, size: int = SHINGLE, scale: int = SCALE) -> list[tuple[
         F.size("_words") >= size,
         F.transform(F.sequence(F.lit(0), F.size("_words") - size), lambda i: F.xxhash64(*[at(i, k) for k in range(size)])),
     ).when(F.size("_words") > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
-    kept = F.filter("_hashes", lambda h: h < F.lit(top))
-    least = F.when(F.size("_hashes") > 0, F.array(F.array_min("_hashes"))).otherwise(F.array().cast("array<bigint>"))
     return [
         ("_words", F.transform(words, lambda w: F.xxhash64(w))),
         ("_hashes", rows),
-        ("_sketch", F.sort_array(F.array_distinct(F.concat(kept, least)))),
+        ("_sketch", F.sort_array(F.array_distinct(F.filter("_hashes", lambda h: h < F.lit(top))))),
+        ("_bare", F.when(F.size("_sketch") == 0, F.xxhash64(F.sort_array(F.array_distinct("_hashes"))))),
     ]
 
 
 def add_sketch(df: DataFrame, text: str, name: str, size: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+    """``df`` with the sketch as ``name`` and the digest of a text without kept hashes as ``name`` + ``_bare``."""
     for step, column in sketch(F.coalesce(F.col(text), F.lit("")), size, scale):
         df = df.withColumn(step, column)
-    return df.drop("_words", "_hashes").withColumnRenamed("_sketch", name)
+    return df.drop("_words", "_hashes").withColumnsRenamed({"_sketch": name, "_bare": f"{name}_bare"})
 
 
-def fingerprint(hashes: Column) -> Column:
-    """A sketch as text: its hashes as 16 hex digits each."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def fingerprint(hashes: Column, bare: Column) -> Column:
+    """A sketch as text: its hashes as 16 hex digits each, or ``-`` and the digest of a text without kept hashes."""
+    digits = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
+    return F.when(F.size(hashes) == 0, F.concat(F.lit("-"), digits(bare))).otherwise(F.array_join(F.transform(hashes, digits), ""))
 
 
-def resemblance(a: Column, b: Column) -> Column:
+def resemblance(a: Column, b: Column, bare_a: Column, bare_b: Column) -> Column:
     """Estimated share of the joint shingles that both texts have."""
     union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return F.when(union == 0, bare_a.eqNullSafe(bare_b).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second has."""
-    return F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of the first text's shingles that the second has; null if none of its hashes is kept."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def merge(a: Column, b: Column) -> Column:
-    """Sketch of two parts of a text, but for the shingles over their border."""
+    """Sketch of the union of two shingle sets."""
     return F.sort_array(F.array_union(a, b))
 
 
@@ -94,7 +99,8 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], finish) -> DataF
     Each range also holds a copy of the first rows of the range after it (the
     first after the last), so the next row is always at hand and one shuffle
     does.  Only one bound per range comes to the driver.  Rows of equal id are
-    ordered by their other columns; rows without id come first.
+    ordered by their other columns; rows without id come first.  Ids are whole
+    numbers; rows of one id lie in one range.
     """
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_order"), F.col(id_col).alias("_id"), *columns)
     n = max(1, min(RANGES, rows.count() // RANGE_ROWS))
@@ -123,7 +129,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def finish(dealt: DataFrame, window) -> DataFrame:
         dealt = add_sketch(dealt, "text", "sketch")
-        dealt = dealt.withColumn("_next", F.lead("text").over(window)).withColumn("next_sketch", F.lead("sketch").over(window))
+        dealt = dealt.withColumn("_next", F.lead("text").over(window)).withColumn("_far", F.lead(F.struct("sketch", "sketch_bare")).over(window))
+        dealt = dealt.withColumn("next_sketch", F.col("_far.sketch")).withColumn("next_sketch_bare", F.col("_far.sketch_bare")).drop("_far")
         dealt = dealt.where("ghost = 0").withColumn("n_chars", F.char_length("text").cast("long"))
         cut = F.floor(F.col("n_chars") / 4).cast("int")
         edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("_next", F.lit(1), cut))
@@ -131,8 +138,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     made = with_next(rows, id_col, ["text"], finish)
     return (
-        made.withColumn("near_edited", resemblance(F.col("sketch"), F.col("edited_sketch")))
-        .withColumn("near_next", resemblance(F.col("sketch"), F.col("next_sketch")))
+        made.withColumn("near_edited", resemblance(*map(F.col, ("sketch", "edited_sketch", "sketch_bare", "edited_sketch_bare"))))
+        .withColumn("near_next", resemblance(*map(F.col, ("sketch", "next_sketch", "sketch_bare", "next_sketch_bare"))))
         .withColumn("contained_edited", containment(F.col("sketch"), F.col("edited_sketch")))
         .withColumn("contained_next", containment(F.col("sketch"), F.col("next_sketch")))
     )
@@ -144,8 +151,8 @@ def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("sketch")).alias("fingerprint"),
-        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint(F.col("sketch"), F.col("sketch_bare")).alias("fingerprint"),
+        fingerprint(F.col("edited_sketch"), F.col("edited_sketch_bare")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
         "contained_edited",

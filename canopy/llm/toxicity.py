@@ -2,7 +2,8 @@
 
 Each word is the sum of a learned vector of the word and the mean of learned
 vectors of its character n-grams (3 to 5, with word borders), both by hashing.
-A run of letters of more than 24 bytes is a word for each of its overlapping pieces.
+Every pre-token but white space is a word: letters, numbers, marks and signs.
+One of more than 24 bytes is a word for each of its overlapping pieces.
 Windows of 32 words, each overlapping the next by 8, cover the whole text; a
 window's states in both directions are pooled by attention to one logit, and the highest
 logits of all windows give the text's probability.
@@ -29,7 +30,7 @@ SIZES = (3, 4, 5)
 #: Buckets that n-grams are hashed to; training texts that a word and an n-gram must be in to get a vector.
 BUCKETS = 1 << 20
 WORD_TEXTS, GRAM_TEXTS = 12, 15
-#: Bytes of a word at most, and from one piece of a longer run of letters to the next: any 13 bytes of it are in one piece.
+#: Bytes of a word at most, and from one piece of a longer pre-token to the next: any 13 bytes of it are in one piece.
 WORD_BYTES, PIECE_STEP = 24, 12
 #: Texts of average toxicity that are added to the counts of each word and n-gram.
 PRIOR = 10
@@ -300,7 +301,7 @@ def top_logits(logits: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
 
 
 def pieces(word: bytes) -> list[bytes]:
-    """The word, or the overlapping pieces that a longer run of letters is read by."""
+    """The word, or the overlapping pieces that a longer pre-token is read by."""
     if len(word) <= WORD_BYTES:
         return [word]
     return [word[a : a + WORD_BYTES] for a in range(0, len(word) - WORD_BYTES + PIECE_STEP, PIECE_STEP)]
@@ -314,8 +315,8 @@ def text_words(data: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndar
     rows: list[int] = []
     many = np.zeros(len(tokens), np.int64)
     for k, token in enumerate(tokens.to_pylist()):
-        word = token.decode().strip().strip("'").lower()
-        if word.isalnum():
+        word = token.decode().strip().lower()
+        if word:
             parts = pieces(word.encode())
             rows += [place.setdefault(p, len(place)) for p in parts]
             many[k] = len(parts)

@@ -74,6 +74,74 @@ def test_unreadable_media(spark, value):
     assert row["keyframes"] == [] and not row["codec"]
 
 
+def nested(depth):
+    inner = b""
+    for _ in range(depth):
+        inner = box(b"moov", inner)
+    return inner
+
+
+def hostile(**tables):
+    """A track whose sample tables promise far more than the file holds."""
+    parts = {"stsd": struct.pack(">I", 1) + box(b"raw ", b"\0" * 78), "stts": struct.pack(">III", 1, 1, 1), "stsc": struct.pack(">IIII", 1, 1, 1, 1), "stsz": struct.pack(">II", 10, 1), "stco": struct.pack(">II", 1, 8)}
+    stbl = box(b"stbl", b"".join(full(k.encode(), v) for k, v in (parts | tables).items()))
+    return box(b"moov", box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 25, 1, 0, 0)) + box(b"minf", stbl))))
+
+
+BIG = 2**32 - 1
+
+
+@pytest.mark.parametrize(
+    "value",
+    [
+        nested(3000),
+        nested(70),
+        hostile(stsz=struct.pack(">II", 1, BIG)),
+        hostile(stsz=struct.pack(">II", 1, 1 << 20), stsc=struct.pack(">IIII", 1, 1, BIG, 1)),
+        hostile(stsc=struct.pack(">IIIIIII", 2, 1, 1, 1, BIG, BIG, 1)),
+        hostile(stts=struct.pack(">IIIII", 2, BIG, BIG, BIG, BIG)),
+        hostile(stsz=struct.pack(">II", 0, BIG)),
+        hostile(stsz=b"", stco=b""),
+        hostile(stsc=struct.pack(">I", BIG)),
+        hostile(co64=struct.pack(">IQ", 1, 2**64 - 1)),
+    ],
+)
+def test_hostile_media_costs_little_memory(value):
+    """Counts and depths that the bytes don't bear out neither crash nor take memory."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        media.tracks(value)
+    except (struct.error, ValueError, IndexError, OverflowError):  # what ``describe`` makes a null codec of
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=40), st.integers(0, 700), st.integers(0, 255))
+def test_damaged_media_never_crash(noise, at, byte):
+    whole = bytearray(media.mux(media.padded(b"some text")))
+    whole[at : at + len(noise)] = noise
+    whole[-at - 1] = byte
+    try:
+        media.tracks(bytes(whole))
+    except (struct.error, ValueError, IndexError, OverflowError):
+        pass
+
+
+def test_hostile_rows_are_described(spark):
+    unknown = bytearray(media.mux(media.padded(b"x")))
+    place = bytes(unknown).index(b"mdhd") + 4 + 16
+    unknown[place : place + 4] = b"\xff" * 4
+    df = spark.createDataFrame([(1, bytearray(nested(3000))), (2, bytearray(hostile(stsz=struct.pack(">II", 1, BIG)))), (3, unknown)], "id int, media binary")
+    rows = {r["id"]: r for r in media.describe(df).collect()}
+    assert rows[1]["codec"] is None and rows[2]["codec"] is None and rows[2]["keyframes"] == []
+    assert rows[3]["codec"] == "raw " and rows[3]["duration"] is None
+
+
 def test_odd_rows(odd, nothing):
     rows = media.store(odd).collect()
     assert sorted(bytes(r["payload"]) for r in rows) == sorted(media.padded((r["text"] or "").encode()) for r in odd.collect())

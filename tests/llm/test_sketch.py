@@ -56,6 +56,36 @@ def test_containment_of_unequal_texts_and_merge(spark):
     assert row["in_long"] == 1.0 and abs(row["in_part"] - 1500 / 20_000) < 0.03 and row["more"] == 0
 
 
+def test_short_texts_within_a_long_one(spark):
+    """Whenever a hash of a contained text is kept, its containment is 1; nothing else is ever kept."""
+    words = [f"w{i}" for i in range(20_000)]
+    rows = [(k, " ".join(words[97 * k : 97 * k + 7])) for k in range(200)]
+    long = sketch.add_sketch(spark.createDataFrame([(" ".join(words),)], "text string"), "text", "y").drop("text")
+    df = sketch.add_sketch(spark.createDataFrame(rows, "k int, text string"), "text", "x").join(long, F.lit(True))
+    got = df.select("x", "x_bare", sketch.containment(F.col("x"), F.col("y")).alias("c")).collect()
+    assert {r["c"] for r in got if r["x"]} == {1.0} and {r["c"] for r in got if not r["x"]} == {None}
+    assert all((r["x_bare"] is None) == bool(r["x"]) for r in got)
+    kept = sum(len(r["x"]) for r in got)
+    assert abs(kept - 600 / sketch.SCALE) < 60  # three shingles a text, of which a fixed share is kept
+
+
+def test_merge_is_the_sketch_of_the_union(spark):
+    parts = [" ".join(f"a{i}" for i in range(900)), " ".join(f"b{i}" for i in range(700))]
+    df = spark.createDataFrame([(*parts, " ".join(parts))], "a string, b string, whole string")
+    for name in ("a", "b", "whole"):
+        df = sketch.add_sketch(df, name, f"{name}_s")
+    row = df.select(sketch.merge(F.col("a_s"), F.col("b_s")).alias("m"), "whole_s").first()
+    assert set(row["m"]) <= set(row["whole_s"]) and len(set(row["whole_s"]) - set(row["m"])) <= 4  # the shingles over the border
+
+
+def test_texts_without_kept_hashes(spark):
+    rows = [(k, t) for k, t in enumerate([None, "", " ", "one", "one", "two", "three", "four", "five", "six"])]
+    got = {r["doc_id"]: r for r in sketch.edited_likeness(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[k]["near_next"] for k in (0, 1, 3)] == [1.0, 1.0, 1.0]
+    assert [got[k]["near_next"] for k in (2, 4, 5, 6, 7, 8, 9)] == [0.0] * 7
+    assert got[3]["near_edited"] == 1.0  # three letters: nothing is replaced
+
+
 def test_odd_rows(odd, nothing):
     rows = sketch.edited_likeness(odd).collect()
     assert len(rows) == 11

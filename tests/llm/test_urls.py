@@ -1,5 +1,6 @@
 """URL rules against plain Python, and mining against brute-force counting."""
 
+import re
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ def test_query_rules(spark, sf_dir):
 
 
 def brute(rows, support, confidence):
-    """Association rules of token sets of up to ``MOST_TOKENS``, counted one by one."""
+    """Association rules of all token sets, counted one by one."""
     n, found = len(rows), {}
-    seen = {c for tokens, _ in rows for k in range(1, urls.MOST_TOKENS + 1) for c in combinations(sorted(tokens), k)}
+    seen = {c for tokens, _ in rows for k in range(1, len(tokens) + 1) for c in combinations(sorted(tokens), k)}
     for c in seen:
         with_c = [v for t, v in rows if set(c) <= set(t)]
         for verdict in set(with_c):
@@ -97,3 +98,72 @@ def test_odd_urls(spark):
     assert urls.judge(pages.limit(0), labels).collect() == []
     no_labels = urls.judge(pages.where(F.col("page_id") < 5), labels.limit(0)).collect()
     assert {r["verdict"] for r in no_labels} == {"allow"}
+
+
+def test_long_rules_and_late_tokens_are_mined(spark):
+    """A verdict that only six steps together give, and one that hangs on the 80th token of a URL."""
+    rows = []
+    for k in range(64):
+        steps = [f"s{'abcdef'[b]}{'ny'[(k >> b) & 1]}" for b in range(6)]
+        rows += [("http://a.org/" + "/".join(steps), "block" if k == 63 else "allow")] * 3
+    deep = "/".join(f"d{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(80))
+    rows += [(f"http://b.org/{deep}/{'bad' if k % 2 else 'good'}", "block" if k % 2 else "allow") for k in range(40)]
+    labels = spark.createDataFrame(rows, "url string, verdict string")
+    pages = labels.select(F.col("url"), F.monotonically_increasing_id().alias("page_id"))
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, labels, rules=[]).collect()}
+    want = {r["page_id"]: dict(rows)[r["url"]] for r in pages.collect()}
+    assert got == want
+
+
+def test_a_path_that_always_comes_whole_is_one_item(spark):
+    """Thirty steps of one path give one item, not 2^30 item sets; a URL with some of them has it too."""
+    path = "/".join(f"step{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30))
+    rows = [(f"http://x.org/{path}", "block")] * 40 + [(f"http://y{k}.org/z", "allow") for k in range(60)]
+    labels = spark.createDataFrame(rows, "url string, verdict string")
+    rules, names = urls.learn(labels)
+    assert rules.count() < 100 and names.count() > 30
+    pages = spark.createDataFrame([(1, "http://q.org/stepc/other"), (2, "http://q.org/none")], "page_id int, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, labels, rules=[]).collect()} == {1: "block", 2: "allow"}
+
+
+def tokens(host, path):
+    labels = host.split(".")[::-1]
+    found = [f"h{i}:{x}" for i, x in enumerate(labels)] + ["w:" + w for w in re.findall("[a-z0-9]+", host)]
+    return frozenset(found + ["p:" + re.sub("[0-9]+", "0", p) for p in path.split("/") if p])
+
+
+def test_query_verdicts_equal_brute_force(spark, sf_dir):
+    """The mined verdict of every page that no fixed rule decides, from rules counted in plain Python."""
+    pages = {r["page_id"]: parse(r["url"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()}
+    known = [(tokens(*p), fixed(*p)[1]) for p in pages.values() if fixed(*p)[1]]
+    least, where = urls.SUPPORT * len(known), {}
+    for k, (some, _) in enumerate(known):
+        for t in some:
+            where.setdefault(t, set()).add(k)
+    groups = {}
+    for t, rows in where.items():
+        if len(rows) >= least:
+            groups.setdefault(frozenset(rows), []).append(t)
+    name = {t: min(group) for group in groups.values() for t in group}
+    rows_of = {min(group): rows for rows, group in groups.items()}
+    blocked = {k for k, (_, v) in enumerate(known) if v == "block"}
+    found, level = {}, {frozenset([t]): rows for t, rows in rows_of.items()}
+    while level:  # item sets one item larger each time
+        for items, rows in level.items():
+            for verdict, good in (("block", len(rows & blocked)), ("allow", len(rows - blocked))):
+                if good >= least and good / len(rows) >= urls.CONFIDENCE:
+                    found[tuple(sorted(items)), verdict] = (good / len(rows), good / len(known))
+        larger = {}
+        for items, rows in level.items():
+            for t, more in rows_of.items():
+                if t > max(items) and len(rows & more) >= least:
+                    larger[items | {t}] = rows & more
+        level = larger
+    left = pruned({k: c for k, (c, _) in found.items()})
+    got = {r["page_id"]: r for r in urls.op9_url_association_rules(spark, sf_dir).collect()}
+    for i, p in pages.items():
+        if fixed(*p)[1] is None:
+            items = {name[t] for t in tokens(*p) if t in name}
+            fired = [(*found[k], len(k[0]), k[1], " ".join(k[0])) for k in left if set(k[0]) <= items]
+            best = max(fired, default=(0, 0, 0, "allow", None))
+            assert (got[i]["verdict"], got[i]["mined_rule"]) == best[3:]
