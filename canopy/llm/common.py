@@ -49,6 +49,14 @@ def blank_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system; Spark uses the same workers for the next task."""
     pa.default_memory_pool().release_unused()

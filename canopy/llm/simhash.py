@@ -1,15 +1,20 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most four bits share at least four of
-their eight positional bytes.  The index lists fingerprints by their bytes at
-three positions; as four of eight shared positions always leave three among any
-seven, the 35 triples of the first seven positions miss no such pair.  In each
-posting list the shared positional bytes of a pair are counted, pairs below four
-are dropped and the rest is verified bit by bit.
+their eight positional bytes, hence at least four of the 56 triples of
+positional bytes.  The inverted index lists fingerprints by such triples (single
+bytes have 256 lists a position, which grow with the corpus).  A pair's lists are
+tallied over the whole index: pairs with fewer than four in common, the
+guaranteed minimum, are dropped, the rest is verified bit by bit.
 
-Equal fingerprints are one entry of the index.  A posting list gives a spanning
-forest of its links and not all of its pairs: a fingerprint that has been
-reached is compared no more.  Components then follow from the forests' union.
+A list that is longer than a few entries doesn't give its pairs.  Its entries are
+listed again by a fourth positional byte; who still meets there has reached the
+guaranteed minimum, and the list gives a spanning forest of its verified links.
+A linked pair is found either way: if one of the lists that it shares is long, it
+meets again by a fourth byte, and if none is, the tally reaches the minimum.
+
+Equal fingerprints are one entry of the index.  Components follow from the union
+of all links.
 
 Words are runs without ASCII white space of the ASCII-lower-cased text; texts
 shorter than a shingle are one shingle; texts without words and nulls have
@@ -21,20 +26,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import blank_null, chunks, cut, table
+from canopy.llm.common import blank_null, chunks, cut, table, unused
 from canopy.llm.components import connected_components
 
 SHINGLE, BITS_APART = 4, 4
 SEED = 42
 POSITIONS = 8
-#: Lists up to this size are compared pair by pair in lockstep with others.
+#: Lists up to this size give their pairs to the tally.
 SHORT_LIST = 8
+#: Bytes of an index key at most.
+KEY_BYTES = 3
+#: Rows of one fingerprint that are looked up apart from the others, and the share of all rows from which they are:
+#: at most this many fingerprints are that frequent.
+HOT_ROWS, HOT_SHARE = 100, 10_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -97,12 +108,8 @@ def add_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near(one: np.ndarray, other: np.ndarray, apart: int = BITS_APART) -> np.ndarray:
-    """Count filter and verification: enough equal positional bytes, then few enough different bits."""
-    differ = np.atleast_1d(one ^ other)
-    shared = POSITIONS - np.count_nonzero(differ.view(np.uint8).reshape(-1, POSITIONS), axis=1)
-    ok = shared >= POSITIONS - apart
-    ok[ok] = np.bitwise_count(differ[ok]) <= apart
-    return ok
+    """Verification: few enough different bits."""
+    return np.bitwise_count(np.atleast_1d(one ^ other)) <= apart
 
 
 def forest(members: np.ndarray, apart: int = BITS_APART) -> np.ndarray:
@@ -122,76 +129,123 @@ def forest(members: np.ndarray, apart: int = BITS_APART) -> np.ndarray:
     return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, apart: int) -> np.ndarray:
-    """Linked fingerprints of the posting lists in sorted ``keys``."""
-    found = []
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(starts, len(keys)))
+def _byte(position: int):
+    return F.shiftrightunsigned("fp", 8 * position).bitwiseAND(F.lit(255))
+
+
+def _pairs_within(keys: np.ndarray, values: np.ndarray, most: int) -> np.ndarray:
+    """All pairs of the runs of equal keys that have at most so many entries."""
+    starts, sizes = _runs(keys)
     size_at = np.repeat(sizes, sizes)
-    for step in range(1, SHORT_LIST):
-        i = np.flatnonzero((keys[:-step] == keys[step:]) & (size_at[:-step] <= SHORT_LIST)) if len(keys) > step else np.zeros(0, np.int64)
-        i = i[near(fps[i], fps[i + step], apart)] if len(i) else i
-        found.append(np.stack([fps[i], fps[i + step]], axis=1))
-    for k in np.flatnonzero(sizes > SHORT_LIST):
-        members = fps[starts[k] : starts[k] + sizes[k]]
-        found.append(members[forest(members, apart)])
-    return np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+    within = np.arange(len(keys)) - np.repeat(starts, sizes)
+    found = []
+    for step in range(1, most):
+        i = np.flatnonzero((size_at <= most) & (within + step < size_at))
+        found.append(np.stack([values[i], values[i + step]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), values.dtype)
 
 
-def links(nodes: DataFrame, apart: int = BITS_APART) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that join all that are ``apart`` bits or fewer apart.
+def tallied(postings: DataFrame) -> DataFrame:
+    """Rows (key, a, b) of ``postings`` (key, fp): the pairs of short lists (b set), and the entries ``a`` of long ones (b null).
 
-    ``apart`` is at most five.  A task streams its posting lists in key order
-    and holds one list of 16 bytes an entry besides the batch at hand.
+    A task streams its lists in key order; of a long list it holds no more than the batch at hand.
     """
-    share = min(3, POSITIONS - apart)
-    positions = apart + share  # any so many positions hold ``share`` equal ones
-    byte = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))
-    keys = []
-    for number, places in enumerate(combinations(range(positions), share)):
-        key = F.lit(number).cast("long")
-        for k in places:
-            key = F.shiftleft(key, 8).bitwiseOR(byte(k))
-        keys.append(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = [], []
+        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        long: int | None = None  # key of the list that is known to be long
 
-        def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            pairs = _links(keys, fps, apart).view(np.int64)
-            return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        def out(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts, sizes = _runs(keys)
+            size_at = np.repeat(sizes, sizes)
+            whole = (size_at > SHORT_LIST) | (keys == long if long is not None else False)
+            pairs = _pairs_within(keys[~whole], fps[~whole], SHORT_LIST)
+            if len(pairs):
+                yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["key", "a", "b"])
+            if whole.any():
+                yield pa.record_batch([pa.array(keys[whole]), pa.array(fps[whole]), pa.nulls(int(whole.sum()), pa.int64())], ["key", "a", "b"])
 
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
+            keys = np.concatenate([held_k, batch.column("key").to_numpy()])
+            fps = np.concatenate([held_f, batch.column("fp").to_numpy()])
             last = int(np.searchsorted(keys, keys[-1]))  # the last list may go on
-            if last:
-                yield out(np.concatenate([*held_k, keys[:last]]), np.concatenate([*held_f, fps[:last]]))
-                held_k, held_f = [], []
-            elif held_k and held_k[-1][-1] != keys[0]:
-                yield out(np.concatenate(held_k), np.concatenate(held_f))
-                held_k, held_f = [], []
-            held_k.append(keys[last:])
-            held_f.append(fps[last:])
-        if held_k:
-            yield out(np.concatenate(held_k), np.concatenate(held_f))
-
-    postings = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+            if len(keys) - last > SHORT_LIST or keys[-1] == long:
+                yield from out(keys, fps)
+                long, last = int(keys[-1]), len(keys)
+            else:
+                yield from out(keys[:last], fps[:last])
+            held_k, held_f = keys[last:], fps[last:]
+        yield from out(held_k, held_f)
+
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, a bigint, b bigint")
+
+
+def _forests(postings: DataFrame, apart: int) -> DataFrame:
+    """Links (a, b) that span each list of ``postings`` (key, fp); a task holds one list, of 16 bytes an entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _lists(batches):
+            keys, fps = rows.column("key").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
+            pairs = _pairs_within(keys, fps, SHORT_LIST)
+            found = [pairs[near(pairs[:, 0], pairs[:, 1], apart)]] if len(pairs) else []
+            for start, many in zip(*_runs(keys)):
+                if many > SHORT_LIST:
+                    members = np.unique(fps[start : start + many])
+                    found.append(members[forest(members, apart)])
+            if found:
+                links_ = np.concatenate(found).view(np.int64)
+                yield pa.record_batch([pa.array(links_[:, 0].copy()), pa.array(links_[:, 1].copy())], ["a", "b"])
+
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
+def links(nodes: DataFrame, apart: int = BITS_APART) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` that join all that are ``apart`` bits or fewer apart.
+
+    ``apart`` is at most six.
+    """
+    share = POSITIONS - apart  # equal positional bytes of a linked pair at least
+    width = min(KEY_BYTES, share - 1)
+    least = comb(share, width)  # lists that such a pair has in common at least
+    keys = []
+    for number, places in enumerate(combinations(range(POSITIONS), width)):
+        key = F.lit(number).cast("long")
+        for k in places:
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(k))
+        keys.append(key)
+    found = cut(tallied(nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")))
+    pairs = found.where("key is null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    counted = pairs.where((F.col("n") >= least) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= apart)).select("a", "b")
+    # entries of long lists, by each further positional byte
+    number = F.shiftright("key", 8 * width).cast("int")
+    free = F.array(*[F.array(*[F.lit(p) for p in range(POSITIONS) if p not in places]) for places in combinations(range(POSITIONS), width)])
+    bytes_ = F.array(*[_byte(k) for k in range(POSITIONS)])
+    more = found.where("key is not null").select("key", F.col("a").alias("fp"))
+    more = more.select("key", "fp", F.explode(F.get(free, number)).alias("place")).withColumn("byte", F.get(bytes_, F.col("place")))
+    finer = F.shiftleft("key", 11).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 8)).bitwiseOR(F.col("byte"))
+    return counted.union(_forests(more.select(finer.alias("key"), "fp"), apart))
+
+
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, apart: int = BITS_APART) -> DataFrame:
-    """id, fp and component_id of every row."""
+    """id, fp and component_id of every row.
+
+    Fingerprints of very many rows, of which there are at most ``HOT_SHARE``, are
+    looked up by a broadcast and not by a shuffle of their rows.
+    """
     fps = cut(add_fingerprint(docs, id_col, text_col, size))
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    nodes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("rows")))
     parts = connected_components(links(nodes.select("fp"), apart)).withColumnRenamed("node", "fp")
     named = parts.join(nodes, "fp")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = parts.join(ids, "component").select("fp", "component_id")
-    every = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(every, "fp").select(id_col, "fp", "component_id")
+    every = cut(nodes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")))
+    hot_from = max(HOT_ROWS, -(-fps.count() // HOT_SHARE))
+    hot = every.where(F.col("rows") > hot_from).select("fp", "component_id")
+    often = fps.join(F.broadcast(hot), "fp").select(id_col, "fp", "component_id")
+    rest = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(every.where(F.col("rows") <= hot_from), "fp").select(id_col, "fp", "component_id")
+    return often.union(rest)
 
 
 WIDE_SHINGLE = 5
@@ -202,6 +256,9 @@ NEAR, WHOLE = 4, 5
 SAMPLE, FREQUENT, KNOWN = 20_000, 4, 200_000
 #: Members of a long posting list that all others are compared with first.
 PIVOTS = 3
+#: Longer sets are compared by their wide SimHash of so many words first: near copies share that many of its positional
+#: bytes and differ in that many bits at most (of two sets that have just 4/5 in common the mean is 8.6 of 32 bytes and 39 of 256 bits).
+WIDE, WIDE_FROM, WIDE_BYTES, WIDE_APART = 4, 32, 2, 64
 #: So few nodes are sent to all executors to look up their texts.
 SENT_NODES = 100_000
 
@@ -373,6 +430,42 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def wide_fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's number of distinct five-word shingles, and the words of their SimHash as columns."""
+    hashes, doc = shingle_sets(texts)
+    counts = np.bincount(doc, minlength=len(texts))
+    words = []
+    for k in range(WIDE):
+        mixed = (hashes + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        words.append(majority(mixed ^ (mixed >> np.uint64(29)), counts))
+    return counts, np.stack(words, axis=1)
+
+
+def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of short texts, and of others those whose wide SimHashes share enough bytes and differ in few bits."""
+    names = [f"w{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            size, words = wide_fingerprints(part.column("text").to_pylist())
+            yield pa.record_batch([part.column("node"), pa.array(size), *(pa.array(w.view(np.int64)) for w in np.ascontiguousarray(words.T))], ["node", "size", *names])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    made = texts.join(ends, "node", "left_semi").mapInArrow(run, ", ".join(f"{n} bigint" for n in ("node", "size", *names)))
+    marks = cut(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *names)]))
+    side = lambda end: marks.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("size", *names)])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared, apart = F.lit(0), F.lit(0)
+    for n in names:
+        differ = F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))
+        apart = apart + F.bit_count(differ)
+        for k in range(POSITIONS):
+            shared = shared + (F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int")
+    short = F.least("a_size", "b_size") < WIDE_FROM
+    return both.where(short | ((shared >= WIDE_BYTES) & (apart <= WIDE_APART))).select("a", "b")
+
+
 def frequent_shingles(texts: DataFrame, count: int) -> np.ndarray:
     """Shingles that several texts of a sample have, ascending."""
 
@@ -402,13 +495,13 @@ def near_copy_links(texts: DataFrame, count: int) -> DataFrame:
 
     made = cut(first_pairs(texts.mapInArrow(run, "key bigint, node bigint, size bigint, place bigint")))
     first = cut(made.where("key is null").select("a", "b").distinct())
-    edges = cut(verified(first, texts))
+    edges = cut(verified(cut(likely(first, texts)), texts))
     long = made.where("key is not null").select("key", F.col("a").alias("node"), "size", "place")
     if long.isEmpty():
         return edges
     members = long.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = cut(other_pairs(members).distinct().join(first, ["a", "b"], "left_anti"))
-    return edges if more.isEmpty() else edges.union(verified(more, texts))
+    return edges if more.isEmpty() else edges.union(verified(cut(likely(more, texts)), texts))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,18 +513,26 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     always have one of these in common.  Size and places drop pairs that can't
     reach 0.8, and the shingles of the others are compared exactly.  A long
     posting list first compares its members with a few, and then all pairs that
-    no chain of near copies joins yet.  Rows of equal id and text stay once each
-    id; rows without id are kept.  Texts without words are copies of each other.
+    no chain of near copies joins yet.  Of rows of equal id and text one stays, of
+    equal ids with other texts that of the group's kept text; rows without id are
+    kept.  Texts without words are copies of each other.
     """
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), blank_null(text_col).alias("text"))
     texts = named.select(F.xxhash64("text").alias("node"), "text")
-    nodes = cut(named.groupBy(F.xxhash64("text").alias("node")).agg(F.min("id").alias("least")))
+    rows = named.groupBy(F.xxhash64("text").alias("node"), "id").agg(F.count("*").alias("times"))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "times")).alias("least")))
     parts = connected_components(near_copy_links(texts, nodes.count()))
-    # the least id of every group, and of every text that has no links
-    groups = nodes.join(parts, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
-    keep = groups.groupBy("component").agg(F.min("least").alias("_keep")).select("_keep")
-    kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    # the least id of every group, and of every text that has no links; of several texts of that id the least
+    groups = nodes.join(parts, "node", "left").select("least", "node", F.coalesce("component", "node").alias("component"))
+    of, by, node, times = (unused(docs, n) for n in ("_of", "_keep", "_node", "_times"))
+    first = groups.groupBy("component").agg(F.min(F.struct("least.id", "node", "least.times")).alias("k"))
+    keep = cut(first.select(F.col("k.id").alias(by), F.col("k.node").alias(node), F.col("k.times").alias(times)))
+    kept = docs.withColumn(of, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(keep, (F.col(id_col) == F.col(by)) & (F.col(of) == F.col(node)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # of rows of equal id and text that whose columns have the least hash
+    several = kept.where(F.col(times) > 1).groupBy(by, node).agg(F.min_by(row, F.xxhash64(row)).alias(of))
+    once = kept.where(F.col(times) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(several.select(f"{of}.*")).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op1_simhash_groups(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from canopy.llm import simhash
 
@@ -75,6 +76,31 @@ def test_odd_rows(odd, nothing):
     assert simhash.near_duplicate_components(nothing).collect() == []
 
 
+def test_kept_rows_are_rows(spark):
+    """Which row stays is told by id and text together, and repeated rows stay once."""
+    text = " ".join(f"w{i}" for i in range(20))
+    other = " ".join(f"v{i}" for i in range(20))
+    rows = [(0, text, "x"), (1, text, "x"), (1, other, "y"), (7, "c d", "b"), (7, "c d", "a"), (7, "c d", "a")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _keep string").withColumn("_of", F.lit(1))
+    kept = simhash.drop_near_copies(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, text), (1, other), (7, "c d")]
+
+
+def test_tally_needs_the_guaranteed_minimum(spark):
+    """Three shared bytes give a pair one list, four give four of them; only the latter is a candidate, in lists of any length."""
+    base = 0x0102030405060708
+    far = [base ^ (0xFF << 8 * k) ^ (0xFF << 8 * j) ^ (0xFF << 8 * i) ^ (0xFF << 8 * m) ^ (0xFF << 8 * n) for k, j, i, m, n in ((0, 1, 2, 3, 4), (3, 4, 5, 6, 7))]
+    near_ = [base ^ 1 ^ (1 << 8) ^ (1 << 16) ^ (1 << 24)]
+    crowd = [base ^ (x << 32) for x in range(1, 40)]  # they share six bytes: long lists
+    for some in (far + near_, far + near_ + crowd):
+        nodes = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in [base, *some]], "fp bigint")
+        found = {frozenset(r) for r in simhash.links(nodes).collect()}
+        assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in found)
+        assert any(base in pair for pair in found)
+        assert not any(f - 2**64 in pair or f in pair for f in far for pair in found)
+
+
 def similarity(a: str, b: str) -> float:
     def shingles(t):
         w = t.lower().split()
@@ -105,7 +131,7 @@ def test_near_copies_go_and_others_stay(spark):
 def test_near_copies_odd_rows(odd, nothing):
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 4), (False, 6), (False, 7), (False, 8), (True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 6), (False, 7), (False, 8), (True, 0)]
     assert simhash.drop_near_copies(nothing).collect() == []
 
 
