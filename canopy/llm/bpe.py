@@ -370,7 +370,7 @@ def encode_texts(texts: pa.Array, memory: WordIds) -> tuple[np.ndarray, np.ndarr
 
 
 @functools.cache
-def _memory(path: str) -> WordIds:
+def memory(path: str) -> WordIds:
     return WordIds(encoder(path).encode_words)
 
 
@@ -389,9 +389,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _memory(path)
+        words = memory(path)
         for part in chunks(batches, "text"):
-            ids, ends = encode_texts(part.column("text"), memory)
+            ids, ends = encode_texts(part.column("text"), words)
             yield pa.record_batch([part.column("id"), pa.array(np.diff(ends)), packed(ids, ends)], ["id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), blank_null(text_col).alias("text"))
