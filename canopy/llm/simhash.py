@@ -254,11 +254,9 @@ NEAR, WHOLE = 4, 5
 #: Texts that tell which shingles are frequent, the texts of these that have such a one, and the shingles known as such.
 #: They only order the shingles, so that no result depends on them.
 SAMPLE, FREQUENT, KNOWN = 20_000, 4, 200_000
-#: Members of a long posting list that all others are compared with first.
-PIVOTS = 3
-#: Longer sets are compared by their wide SimHash of so many words first: near copies share that many of its positional
-#: bytes and differ in that many bits at most (of two sets that have just 4/5 in common the mean is 8.6 of 32 bytes and 39 of 256 bits).
-WIDE, WIDE_FROM, WIDE_BYTES, WIDE_APART = 4, 32, 2, 64
+#: Words of the wide SimHash of longer sets, and how many of its bits may differ: two sets that have just 4/5 in common
+#: differ in 78 of 512 on the mean, with a deviation of 8.  Shorter sets are compared exactly.
+WIDE, WIDE_APART, WIDE_FROM = 8, 100, 32
 #: So few nodes are sent to all executors to look up their texts.
 SENT_NODES = 100_000
 
@@ -343,10 +341,7 @@ def _possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray)
 
 
 def first_pairs(postings: DataFrame) -> DataFrame:
-    """Rows (key, a, b, size, place): pairs of nodes to be compared (key null), and the members ``a`` of long lists.
-
-    Short lists give all their pairs, long ones those with their first members and of neighbours.
-    """
+    """Rows (key, a, b): all pairs of nodes within short lists (key null), and the members ``a`` of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches):
@@ -356,53 +351,77 @@ def first_pairs(postings: DataFrame) -> DataFrame:
             key, node, size, place = key[new], node[new], size[new], place[new]
             starts, sizes = _runs(key)
             size_at = np.repeat(sizes, sizes)
-            within = np.arange(len(key)) - np.repeat(starts, sizes)
-            left, right = [], []
-            for step in range(1, SHORT_LIST):
-                i = np.flatnonzero((size_at > step) & (within + step < size_at) & ((size_at <= SHORT_LIST) | (step == 1)))
-                left.append(i)
-                right.append(i + step)
+            pairs = _pairs_within(key, np.arange(len(key)), SHORT_LIST)
+            pairs = pairs[_possible(size, place, pairs[:, 0], pairs[:, 1])]
+            made = np.unique(node[pairs], axis=0) if len(pairs) else pairs
+            if len(made):
+                yield pa.record_batch([pa.nulls(len(made), pa.int64()), pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names)
             long = size_at > SHORT_LIST
-            for pivot in range(PIVOTS):
-                j = np.flatnonzero(long & (within > pivot))
-                left.append(j - within[j] + pivot)
-                right.append(j)
-            i, j = np.concatenate(left), np.concatenate(right)
-            ok = _possible(size, place, i, j)
-            pairs = np.unique(np.stack([node[i[ok]], node[j[ok]]], axis=1), axis=0)
-            if len(pairs):
-                none = pa.nulls(len(pairs), pa.int64())
-                yield pa.record_batch([none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none, none], names)
             if long.any():
-                yield pa.record_batch([pa.array(key[long]), pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(size[long]), pa.array(place[long])], names)
+                yield pa.record_batch([pa.array(key[long]), pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64())], names)
 
-    names = ["key", "a", "b", "size", "place"]
+    names = ["key", "a", "b"]
     tasks = 4 * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an index is larger than its rows
     return postings.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def other_pairs(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the long lists' ``members`` (key, node, size, place, component) that are in no component together."""
+def _alike(at: int, others: np.ndarray, size: np.ndarray, words: np.ndarray, sets: list[np.ndarray | None], shingle: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which of the ``others`` may be near copies of the member ``at``: told exactly for short sets, by the wide SimHash for others."""
+    low, high = np.minimum(size[others], size[at]), np.maximum(size[others], size[at])
+    ok = WHOLE * low >= NEAR * high
+    short = ok & (low < WIDE_FROM)
+    if short.any() and sets[at] is not None:
+        common = np.bincount(owner[np.isin(shingle, sets[at])], minlength=len(size))[others]
+        ok &= ~short | ((NEAR + WHOLE) * common >= NEAR * (size[others] + size[at]))
+    wide = np.flatnonzero(ok & ~short)
+    ok[wide] = np.bitwise_count(words[others[wide]] ^ words[at]).sum(axis=1) <= WIDE_APART
+    return ok
+
+
+def long_list_pairs(members: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of nodes that may be near copies, from long lists of ``members`` (key, node, component, size, w0.., shingles).
+
+    A list gives a spanning forest of its alike members (``spanning``), or all
+    alike pairs that are in no component together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches):
-            key, node, size, place, component = (rows.column(n).to_numpy() for n in ("key", "node", "size", "place", "component"))
+            key, node, component, size = (rows.column(n).to_numpy() for n in ("key", "node", "component", "size"))
+            words = np.stack([rows.column(f"w{k}").to_numpy() for k in range(WIDE)], axis=1).view(np.uint64)
+            column = rows.column("shingles").combine_chunks()
             for start, many in zip(*_runs(key)):
-                if (component[start : start + many] == component[start]).all():
+                part = slice(start, start + many)
+                if (component[part] == component[start]).all() and not spanning:
                     continue
-                by_size = start + np.argsort(size[start : start + many], kind="stable")
-                # sizes of near copies are within 4/5
-                ends = np.searchsorted(size[by_size], size[by_size] * WHOLE // NEAR, side="right")
-                for k in range(many):
-                    j = by_size[k + 1 : ends[k]]
-                    j = j[component[j] != component[by_size[k]]]
-                    i = np.full(len(j), by_size[k])
-                    ok = _possible(size, place, i, j)
-                    if ok.any():
-                        a, b = node[i[ok]], node[j[ok]]
-                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+                sets = [None if not x.is_valid else np.array(x.values) for x in column.slice(start, many)]
+                there = [k for k, x in enumerate(sets) if x is not None]
+                shingle = np.concatenate([sets[k] for k in there]) if there else np.zeros(0, np.int64)
+                owner = np.repeat(np.array(there, np.int64), [len(sets[k]) for k in there]) if there else np.zeros(0, np.int64)
+                args = (size[part], words[part], sets, shingle, owner)
+                left, right = [], []
+                if spanning:
+                    open_ = np.arange(many)
+                    while len(open_):
+                        front, open_ = [int(open_[0])], open_[1:]
+                        while front and len(open_):
+                            at = front.pop()
+                            hit = _alike(at, open_, *args)
+                            left += [at] * int(hit.sum())
+                            right += open_[hit].tolist()
+                            front += open_[hit].tolist()
+                            open_ = open_[~hit]
+                else:
+                    for at in range(many):
+                        others = at + 1 + np.flatnonzero(component[part][at + 1 :] != component[part][at])
+                        hit = others[_alike(at, others, *args)]
+                        left += [at] * len(hit)
+                        right += hit.tolist()
+                if left:
+                    a, b = node[part][left], node[part][right]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -430,40 +449,49 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def wide_fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's number of distinct five-word shingles, and the words of their SimHash as columns."""
-    hashes, doc = shingle_sets(texts)
-    counts = np.bincount(doc, minlength=len(texts))
+def wide_fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The SimHash words of consecutive sets of shingle hashes, one row a set."""
     words = []
     for k in range(WIDE):
         mixed = (hashes + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         words.append(majority(mixed ^ (mixed >> np.uint64(29)), counts))
-    return counts, np.stack(words, axis=1)
+    return np.stack(words, axis=1)
 
 
-def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of short texts, and of others those whose wide SimHashes share enough bytes and differ in few bits."""
-    names = [f"w{k}" for k in range(WIDE)]
+_MARK = ["size", *(f"w{k}" for k in range(WIDE))]
+
+
+def marks(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (node, size, w0.., shingles) of the ``nodes`` (node): size and wide SimHash of the shingle set, and a short set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            size, words = wide_fingerprints(part.column("text").to_pylist())
-            yield pa.record_batch([part.column("node"), pa.array(size), *(pa.array(w.view(np.int64)) for w in np.ascontiguousarray(words.T))], ["node", "size", *names])
+            hashes, doc = shingle_sets(part.column("text").to_pylist())
+            counts = np.bincount(doc, minlength=part.num_rows)
+            words = np.ascontiguousarray(wide_fingerprints(hashes, counts).view(np.int64).T)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            short = counts < WIDE_FROM * WHOLE // NEAR + 1  # whatever a set below ``WIDE_FROM`` can be a near copy of
+            sets = pa.array([hashes[a:b].view(np.int64) if s else None for a, b, s in zip(ends, ends[1:], short)], pa.list_(pa.int64()))
+            yield pa.record_batch([part.column("node"), pa.array(counts), *map(pa.array, words), sets], ["node", *_MARK, "shingles"])
 
+    made = texts.join(nodes, "node", "left_semi").mapInArrow(run, ", ".join(f"{n} bigint" for n in ("node", *_MARK)) + ", shingles array<bigint>")
+    return cut(made.groupBy("node").agg(*[F.first(c).alias(c) for c in (*_MARK, "shingles")]))
+
+
+def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of short sets that have 4/5 in common, and of longer ones whose wide SimHashes differ in few bits."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    made = texts.join(ends, "node", "left_semi").mapInArrow(run, ", ".join(f"{n} bigint" for n in ("node", "size", *names)))
-    marks = cut(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *names)]))
-    side = lambda end: marks.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("size", *names)])
+    found = marks(texts, ends)
+    side = lambda end: found.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in (*_MARK, "shingles")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared, apart = F.lit(0), F.lit(0)
-    for n in names:
-        differ = F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))
-        apart = apart + F.bit_count(differ)
-        for k in range(POSITIONS):
-            shared = shared + (F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int")
-    short = F.least("a_size", "b_size") < WIDE_FROM
-    return both.where(short | ((shared >= WIDE_BYTES) & (apart <= WIDE_APART))).select("a", "b")
+    apart = F.lit(0)
+    for n in _MARK[1:]:
+        apart = apart + F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}")))
+    low, sizes = F.least("a_size", "b_size"), F.col("a_size") + F.col("b_size")
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    fits = F.when(low < WIDE_FROM, (NEAR + WHOLE) * common >= NEAR * sizes).otherwise(apart <= WIDE_APART)
+    return both.where((WHOLE * low >= NEAR * (sizes - low)) & fits).select("a", "b")
 
 
 def frequent_shingles(texts: DataFrame, count: int) -> np.ndarray:
@@ -494,26 +522,31 @@ def near_copy_links(texts: DataFrame, count: int) -> DataFrame:
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(nodes[doc]), pa.array(size), pa.array(place)], ["key", "node", "size", "place"])
 
     made = cut(first_pairs(texts.mapInArrow(run, "key bigint, node bigint, size bigint, place bigint")))
-    first = cut(made.where("key is null").select("a", "b").distinct())
-    edges = cut(verified(cut(likely(first, texts)), texts))
-    long = made.where("key is not null").select("key", F.col("a").alias("node"), "size", "place")
-    if long.isEmpty():
+    long = made.where("key is not null").select("key", F.col("a").alias("node"))
+    marked = cut(long.join(marks(texts, long.select("node").distinct()), "node").withColumn("component", F.col("node")))
+    pairs = likely(made.where("key is null").select("a", "b").distinct(), texts)
+    first = cut(pairs.union(long_list_pairs(marked, True)).distinct())
+    edges = cut(verified(first, texts))
+    if marked.isEmpty():
         return edges
-    members = long.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = cut(other_pairs(members).distinct().join(first, ["a", "b"], "left_anti"))
-    return edges if more.isEmpty() else edges.union(verified(cut(likely(more, texts)), texts))
+    named = marked.drop("component").join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = cut(long_list_pairs(named, False).distinct().join(first, ["a", "b"], "left_anti"))
+    return edges if more.isEmpty() else edges.union(verified(more, texts))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row of the least id stays.
 
     Near copies have five-word shingles of a Jaccard similarity of 0.8 or more,
-    whatever the edit was.  The shingles of every text are put into one order,
-    frequent ones last, and the first n // 5 + 1 of n are indexed: two near copies
-    always have one of these in common.  Size and places drop pairs that can't
-    reach 0.8, and the shingles of the others are compared exactly.  A long
-    posting list first compares its members with a few, and then all pairs that
-    no chain of near copies joins yet.  Of rows of equal id and text one stays, of
+    whatever the edit was.  Two such texts share 27 % of the bytes of a SimHash
+    on the mean, too few for an index of bytes, so candidates come from the shingles:
+    those of every text are put into one order, frequent ones last, and the first
+    n // 5 + 1 of n are indexed, of which two near copies always have one in
+    common.  Candidates of which neither is short go on if their wide SimHashes
+    differ in at most ``WIDE_APART`` of 512 bits, and what is left is compared by
+    the shingles themselves.  A long
+    posting list gives a spanning forest of its candidates, and then those that no
+    chain of near copies joins yet.  Of rows of equal id and text one stays, of
     equal ids with other texts that of the group's kept text; rows without id are
     kept.  Texts without words are copies of each other.
     """
