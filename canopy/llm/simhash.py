@@ -255,8 +255,10 @@ NEAR, WHOLE = 4, 5
 #: They only order the shingles, so that no result depends on them.
 SAMPLE, FREQUENT, KNOWN = 20_000, 4, 200_000
 #: Words of the wide SimHash of longer sets, and how many of its bits may differ: two sets that have just 4/5 in common
-#: differ in 78 of 512 on the mean, with a deviation of 8.  Shorter sets are compared exactly.
-WIDE, WIDE_APART, WIDE_FROM = 8, 100, 32
+#: differ in 155 of 1024 on the mean, with a deviation of 11.  Shorter sets are compared exactly.
+WIDE, WIDE_APART, WIDE_FROM = 16, 195, 32
+#: A long list joins its closest members first.
+LEVELS = (WIDE_APART - 60, WIDE_APART - 30, WIDE_APART)
 #: So few nodes are sent to all executors to look up their texts.
 SENT_NODES = 100_000
 
@@ -341,7 +343,7 @@ def _possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray)
 
 
 def first_pairs(postings: DataFrame) -> DataFrame:
-    """Rows (key, a, b): all pairs of nodes within short lists (key null), and the members ``a`` of long ones."""
+    """Rows (key, a, b, place): all pairs of nodes within short lists (key null), and the members ``a`` of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches):
@@ -355,31 +357,87 @@ def first_pairs(postings: DataFrame) -> DataFrame:
             pairs = pairs[_possible(size, place, pairs[:, 0], pairs[:, 1])]
             made = np.unique(node[pairs], axis=0) if len(pairs) else pairs
             if len(made):
-                yield pa.record_batch([pa.nulls(len(made), pa.int64()), pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names)
+                none = pa.nulls(len(made), pa.int64())
+                yield pa.record_batch([none, pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy()), none], names)
             long = size_at > SHORT_LIST
             if long.any():
-                yield pa.record_batch([pa.array(key[long]), pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64())], names)
+                yield pa.record_batch([pa.array(key[long]), pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(place[long])], names)
 
-    names = ["key", "a", "b"]
+    names = ["key", "a", "b", "place"]
     tasks = 4 * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an index is larger than its rows
     return postings.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def _alike(at: int, others: np.ndarray, size: np.ndarray, words: np.ndarray, sets: list[np.ndarray | None], shingle: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which of the ``others`` may be near copies of the member ``at``: told exactly for short sets, by the wide SimHash for others."""
-    low, high = np.minimum(size[others], size[at]), np.maximum(size[others], size[at])
-    ok = WHOLE * low >= NEAR * high
-    short = ok & (low < WIDE_FROM)
-    if short.any() and sets[at] is not None:
-        common = np.bincount(owner[np.isin(shingle, sets[at])], minlength=len(size))[others]
-        ok &= ~short | ((NEAR + WHOLE) * common >= NEAR * (size[others] + size[at]))
-    wide = np.flatnonzero(ok & ~short)
-    ok[wide] = np.bitwise_count(words[others[wide]] ^ words[at]).sum(axis=1) <= WIDE_APART
-    return ok
+class _Members:
+    """The members of one long list: sizes, wide SimHashes and short sets."""
+
+    def __init__(self, size: np.ndarray, place: np.ndarray, words: np.ndarray, sets: pa.ListArray):
+        self.size, self.left, self.words = size, size - place, words
+        held = [np.array(x.values) if x.is_valid else None for x in sets]
+        length = np.array([0 if x is None else len(x) for x in held])
+        flat = np.concatenate([x for x in held if x is not None]) if length.any() else np.zeros(0, np.int64)
+        self.shingle = np.unique(flat, return_inverse=True)[1]
+        self.owner, self.ends = np.repeat(np.arange(len(held)), length), np.concatenate([[0], np.cumsum(length)])
+        self.mark = np.zeros(len(self.shingle), bool)
+
+    def central(self) -> np.ndarray:
+        """All members, those next to the bits that most members set first."""
+        bits = np.unpackbits(np.ascontiguousarray(self.words).view(np.uint8).reshape(len(self.size), -1), axis=1)
+        middle = np.packbits(bits.mean(axis=0) > 0.5).view(np.uint64)
+        return np.argsort(np.bitwise_count(self.words ^ middle).sum(axis=1), kind="stable")
+
+    def alike(self, at: int, others: np.ndarray, apart: int) -> np.ndarray:
+        """Which of the ``others`` may be near copies of ``at``: told exactly if one set is short, by the wide SimHash otherwise."""
+        low, high = np.minimum(self.size[others], self.size[at]), np.maximum(self.size[others], self.size[at])
+        # the list of their first common shingle lets a near copy through
+        ok = (WHOLE * low >= NEAR * high) & ((NEAR + WHOLE) * np.minimum(self.left[others], self.left[at]) >= NEAR * (low + high))
+        short = ok & (low < WIDE_FROM)
+        if short.any():
+            own = self.shingle[self.ends[at] : self.ends[at + 1]]
+            self.mark[own] = True
+            common = np.bincount(self.owner, self.mark[self.shingle], len(self.size))[others]
+            self.mark[own] = False
+            ok &= ~short | ((NEAR + WHOLE) * common >= NEAR * (low + high))
+        wide = np.flatnonzero(ok & ~short)
+        ok[wide] = np.bitwise_count(self.words[others[wide]] ^ self.words[at]).sum(axis=1) <= apart
+        return ok
+
+    def forest(self) -> tuple[list[int], list[int]]:
+        """Spanning forest of the alike members, the closest joined first."""
+        left, right = [], []
+        label = np.arange(len(self.size))
+        order = self.central()
+        for apart in LEVELS:
+            open_ = order
+            while len(open_):
+                front, open_ = [int(open_[0])], open_[1:]
+                while front and len(open_):
+                    at = front.pop()
+                    hit = self.alike(at, open_, apart)
+                    reached = open_[hit]
+                    front += reached.tolist()
+                    open_ = open_[~hit]
+                    others, first = np.unique(label[reached], return_index=True)
+                    new = others != label[at]
+                    if new.any():
+                        left += [at] * int(new.sum())
+                        right += reached[first[new]].tolist()
+                        label[np.isin(label, others[new])] = label[at]
+        return left, right
+
+    def between(self, component: np.ndarray) -> tuple[list[int], list[int]]:
+        """All alike pairs of different components."""
+        left, right = [], []
+        for at in range(len(self.size)):
+            others = at + 1 + np.flatnonzero(component[at + 1 :] != component[at])
+            hit = others[self.alike(at, others, WIDE_APART)]
+            left += [at] * len(hit)
+            right += hit.tolist()
+        return left, right
 
 
 def long_list_pairs(members: DataFrame, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of nodes that may be near copies, from long lists of ``members`` (key, node, component, size, w0.., shingles).
+    """Pairs (a, b) of nodes that may be near copies, from long lists of ``members`` (key, node, place, component, size, w0.., shingles).
 
     A list gives a spanning forest of its alike members (``spanning``), or all
     alike pairs that are in no component together.
@@ -387,36 +445,15 @@ def long_list_pairs(members: DataFrame, spanning: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches):
-            key, node, component, size = (rows.column(n).to_numpy() for n in ("key", "node", "component", "size"))
+            key, node, place, component, size = (rows.column(n).to_numpy() for n in ("key", "node", "place", "component", "size"))
             words = np.stack([rows.column(f"w{k}").to_numpy() for k in range(WIDE)], axis=1).view(np.uint64)
             column = rows.column("shingles").combine_chunks()
             for start, many in zip(*_runs(key)):
                 part = slice(start, start + many)
                 if (component[part] == component[start]).all() and not spanning:
                     continue
-                sets = [None if not x.is_valid else np.array(x.values) for x in column.slice(start, many)]
-                there = [k for k, x in enumerate(sets) if x is not None]
-                shingle = np.concatenate([sets[k] for k in there]) if there else np.zeros(0, np.int64)
-                owner = np.repeat(np.array(there, np.int64), [len(sets[k]) for k in there]) if there else np.zeros(0, np.int64)
-                args = (size[part], words[part], sets, shingle, owner)
-                left, right = [], []
-                if spanning:
-                    open_ = np.arange(many)
-                    while len(open_):
-                        front, open_ = [int(open_[0])], open_[1:]
-                        while front and len(open_):
-                            at = front.pop()
-                            hit = _alike(at, open_, *args)
-                            left += [at] * int(hit.sum())
-                            right += open_[hit].tolist()
-                            front += open_[hit].tolist()
-                            open_ = open_[~hit]
-                else:
-                    for at in range(many):
-                        others = at + 1 + np.flatnonzero(component[part][at + 1 :] != component[part][at])
-                        hit = others[_alike(at, others, *args)]
-                        left += [at] * len(hit)
-                        right += hit.tolist()
+                some = _Members(size[part], place[part], words[part], column.slice(start, many))
+                left, right = some.forest() if spanning else some.between(component[part])
                 if left:
                     a, b = node[part][left], node[part][right]
                     yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -522,7 +559,7 @@ def near_copy_links(texts: DataFrame, count: int) -> DataFrame:
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(nodes[doc]), pa.array(size), pa.array(place)], ["key", "node", "size", "place"])
 
     made = cut(first_pairs(texts.mapInArrow(run, "key bigint, node bigint, size bigint, place bigint")))
-    long = made.where("key is not null").select("key", F.col("a").alias("node"))
+    long = made.where("key is not null").select("key", F.col("a").alias("node"), "place")
     marked = cut(long.join(marks(texts, long.select("node").distinct()), "node").withColumn("component", F.col("node")))
     pairs = likely(made.where("key is null").select("a", "b").distinct(), texts)
     first = cut(pairs.union(long_list_pairs(marked, True)).distinct())
@@ -543,7 +580,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     those of every text are put into one order, frequent ones last, and the first
     n // 5 + 1 of n are indexed, of which two near copies always have one in
     common.  Candidates of which neither is short go on if their wide SimHashes
-    differ in at most ``WIDE_APART`` of 512 bits, and what is left is compared by
+    differ in at most ``WIDE_APART`` of 1024 bits, and what is left is compared by
     the shingles themselves.  A long
     posting list gives a spanning forest of its candidates, and then those that no
     chain of near copies joins yet.  Of rows of equal id and text one stays, of
