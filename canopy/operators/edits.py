@@ -5,16 +5,21 @@ values and the ``expected`` modification stamp of the row that it was made
 from.  A batch is checked set-wise; each change is applied or gets a reason:
 exists, missing, conflict, in_use or repeated (a key that occurs twice in the
 batch; none of its changes is applied).  The new snapshot is another version
-folder; a reader of an older version isn't disturbed.
+folder; a reader of an older version isn't disturbed.  A version is published by
+a log entry that is only ever created: of two writers that start from the same
+version the second checks its batch again, on what the first has written.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions.scalars import empty, text
+from canopy.sources import shared
 
 APPLIED = "applied"
 
@@ -42,15 +47,21 @@ def check(current: DataFrame, changes: DataFrame, key: str = "id", in_use: DataF
 
 
 def apply(current: DataFrame, checked: DataFrame, actor: str, now: str, key: str = "id") -> DataFrame:
-    """The snapshot after the applied changes; null values of an update keep the old ones."""
+    """The snapshot after the applied changes.
+
+    A change may name the fields that it sets in ``fields`` (an array): these take
+    its values, also null, and all others stay.  Without ``fields`` null values of an
+    update keep the old ones.
+    """
     values = [c for c in current.columns if c not in (key, "modified", "modified_by")]
     good = checked.where(F.col("outcome") == APPLIED)
-    changed = good.select(F.col(key).alias("_key"), F.col("op").alias("_op"), *[F.col(c).alias(f"_{c}_new") for c in values])
+    fields = F.col("fields") if "fields" in checked.columns else F.lit(None).cast("array<string>")
+    changed = good.select(F.col(key).alias("_key"), F.col("op").alias("_op"), fields.alias("_fields"), *[F.col(c).alias(f"_{c}_new") for c in values])
     joined = current.join(changed, F.col(key) == F.col("_key"), "full_outer").where("_op is null or _op <> 'delete'")
     touched = F.col("_op").isNotNull()
     return joined.select(
         F.coalesce(key, "_key").alias(key),
-        *[F.coalesce(f"_{c}_new", c).alias(c) for c in values],
+        *[F.when(F.array_contains("_fields", c), F.col(f"_{c}_new")).when((F.col("_op") == "update") & F.col("_fields").isNotNull(), F.col(c)).otherwise(F.coalesce(f"_{c}_new", c)).alias(c) for c in values],
         F.when(touched, now).otherwise(F.col("modified")).alias("modified"),
         F.when(touched, actor).otherwise(F.col("modified_by")).alias("modified_by"),
     ).select(*current.columns)
@@ -62,36 +73,47 @@ def dirty(before: DataFrame, checked: DataFrame, key: str = "id") -> DataFrame:
     return checked.where(F.col("outcome") == APPLIED).join(old, F.col(key) == F.col("_k"), "left").select(key, "op", "old_row")
 
 
+class VersionConflict(RuntimeError):
+    """The version was published by another writer."""
+
+
 class VersionedTable:
-    """Snapshots of one table below a folder, one per version, with a log that makes a version visible.
+    """Snapshots of one table below a folder, and a log of small files that make versions visible.
 
-    A batch that is written again (a retry after a failure) replaces its own
-    version; a version without its log entry is never read.
+    Every attempt writes its rows to a folder of its own; what has no log entry is
+    never read.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _entry(self, version: int) -> str:
+        return f"{self.folder}/log/{version:012d}.json"
+
     def versions(self) -> list[int]:
-        try:
-            log = self.spark.read.schema("version int").parquet(f"{self.folder}/log")
-        except AnalysisException:
-            return []
-        return sorted(r["version"] for r in log.distinct().collect())  # one row per commit
+        return [int(n.removesuffix(".json")) for n in shared.names(self.spark, f"{self.folder}/log") if n.endswith(".json")]
 
     def read(self, version: int | None = None) -> DataFrame:
-        last = version or self.versions()[-1]
-        return self.spark.read.parquet(f"{self.folder}/v{last}")
+        """The rows of a version, of the newest one if none is named."""
+        last = self.versions()[-1] if version is None else version
+        entry = json.loads(shared.read(self.spark, self._entry(last)))
+        return self.spark.read.parquet(f"{self.folder}/{entry['rows']}")
 
     def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        entry = self.spark.createDataFrame([(version,)], "version int")
-        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/log/entry={version}")
+        """Publish the rows as a version; refused if there is such a version."""
+        name = f"rows-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{name}")
+        if not shared.create(self.spark, self._entry(version), json.dumps({"rows": name})):
+            raise VersionConflict(f"version {version} is there already")
 
     def commit(self, changes: DataFrame, actor: str, now: str, key: str = "id", in_use: DataFrame | None = None) -> DataFrame:
         """Apply a batch as the next version; returns the changes with their outcomes."""
-        last = self.versions()[-1]
-        current = self.read(last)
-        checked = check(current, changes, key, in_use)
-        self.write(apply(current, checked, actor, now, key), last + 1)
-        return checked
+        while True:
+            last = self.versions()[-1]
+            current = self.read(last)
+            checked = check(current, changes, key, in_use)
+            try:
+                self.write(apply(current, checked, actor, now, key), last + 1)
+                return checked
+            except VersionConflict:  # another writer was first: check again on what it wrote
+                continue

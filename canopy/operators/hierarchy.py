@@ -24,8 +24,12 @@ def is_root(parent: str = "parent_id") -> Column:
     return F.col(parent).isNull() | (F.col(parent) == "")
 
 
-def with_has_children(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    parents = tree.where(~is_root()).select(F.col("parent_id").alias("_p")).distinct()
+def with_has_children(nodes: DataFrame, tree: DataFrame, few: bool = False) -> DataFrame:
+    """The nodes with ``has_children``; of ``few`` nodes only their own children are grouped."""
+    below = tree.where(~is_root())
+    if few:
+        below = below.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    parents = below.select(F.col("parent_id").alias("_p")).distinct()
     return nodes.join(parents, nodes["id"] == parents["_p"], "left").withColumn("has_children", F.col("_p").isNotNull()).drop("_p")
 
 
@@ -39,7 +43,24 @@ def children_page(tree: DataFrame, parent: str | None = None, offset: int = 0, l
     """One page in the total order ordinal (nulls last), name, id; only the page's rows are kept by each task."""
     page = tree.where(F.col("parent_id") == parent) if parent else tree.where(is_root())
     page = page.orderBy(F.asc_nulls_last("ordinal"), "name", "id").offset(offset).limit(limit)
-    return with_has_children(page, tree)
+    return with_has_children(page, tree, few=True)
+
+
+def children_total(tree: DataFrame, parents: DataFrame) -> DataFrame:
+    """Rows (id, total): how many children each node in ``parents`` (id) has over all its pages."""
+    counts = tree.where(~is_root()).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("total"))
+    return parents.select("id").join(counts, "id", "left").na.fill(0, ["total"])
+
+
+def reveal(tree: DataFrame, pairs: DataFrame, nodes: DataFrame, limit: int = 100) -> DataFrame:
+    """The way from the root to each of ``nodes`` (id): rows (id, step, node, page), with the page of its siblings that shows each node on it."""
+    line = pairs.unionByName(tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))).join(nodes.select("id").distinct(), "id", "left_semi")
+    order = Window.partitionBy(F.coalesce("parent_id", F.lit(""))).orderBy(F.asc_nulls_last("ordinal"), "name", "id")
+    tops = line.select(F.col("ancestor").alias("node")).distinct()
+    siblings = tops.join(tree.select(F.col("id").alias("node"), F.coalesce("parent_id", F.lit("")).alias("_up")), "node").select("_up").distinct()
+    placed = tree.join(siblings, F.coalesce("parent_id", F.lit("")) == F.col("_up"), "left_semi").select(F.col("id").alias("ancestor"), F.floor((F.row_number().over(order) - 1) / limit).cast("int").alias("page"))
+    step = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("depth")))
+    return line.join(placed, "ancestor").select("id", step.alias("step"), F.col("ancestor").alias("node"), "page")
 
 
 def children_of_all(tree: DataFrame, parents: DataFrame, limit: int = 100) -> DataFrame:
@@ -49,7 +70,7 @@ def children_of_all(tree: DataFrame, parents: DataFrame, limit: int = 100) -> Da
     return with_has_children(some.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit), tree)
 
 
-def closure(tree: DataFrame, start: DataFrame | None = None, deepest: int = 1000) -> DataFrame:
+def closure(tree: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """All pairs (id, ancestor, depth) with depth from 1, for all nodes or those in ``start`` (id).
 
     One join per level on the parent; each level is materialised, so the plan
@@ -59,7 +80,7 @@ def closure(tree: DataFrame, start: DataFrame | None = None, deepest: int = 1000
     first = edges if start is None else edges.join(start.select(F.col("id").alias("_child")), "_child", "left_semi")
     front = first.where("_child <> _parent").select(F.col("_child").alias("id"), F.col("_parent").alias("ancestor"), F.lit(1).alias("depth"), F.array("_child", "_parent").alias("path"))
     made = None
-    for _ in range(deepest):
+    while True:
         front = materialise(front)
         if front.isEmpty():
             break
@@ -70,7 +91,7 @@ def closure(tree: DataFrame, start: DataFrame | None = None, deepest: int = 1000
             .select("id", F.col("_parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("_parent")).alias("path"))
         )
     if made is None:
-        return front.drop("path")
+        return front.drop("path").select("id", "ancestor", "depth")
     known = tree.select(F.col("id").alias("ancestor"))
     return made.join(known, "ancestor", "left_semi").select("id", "ancestor", "depth")  # parents that don't exist aren't ancestors
 
@@ -147,16 +168,20 @@ def cycle_nodes(tree: DataFrame) -> DataFrame:
     """Nodes that lie on a parent cycle.
 
     These are what remains of all nodes after as many steps up as there are
-    nodes.  Doubling the step needs a logarithm of that many joins.
+    nodes.  Doubling the step needs a logarithm of that many joins; nodes whose
+    walk has ended at a root drop out, and no cycle is longer than what is left.
     """
     jump = tree.where(~is_root()).select("id", F.col("parent_id").alias("to"))
+    # a node without children lies on no cycle: two rounds take most of a broad tree away
+    for _ in range(2):
+        jump = jump.join(jump.select(F.col("to").alias("id")).distinct(), "id", "left_semi")
+    jump = materialise(jump)
     n = jump.count()
     step = 1
     while step < n:
         jump = materialise(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")))
         step *= 2
-        if jump.isEmpty():
-            break
+        n = min(n, jump.count())
     return jump.select(F.col("to").alias("id")).distinct()
 
 

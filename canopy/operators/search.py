@@ -58,15 +58,25 @@ def tokens(column: Column) -> Column:
     return F.filter(F.split(F.lower(column), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length) of all texts; terms are counted before the shuffle."""
+def postings(docs: DataFrame, id_col: str, text: Column, prefixes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(term, id, tf) and (id, length) of all texts; terms are counted before the shuffle.
+
+    With ``prefixes`` only the terms that start with one of them are spread and counted; lengths are those of the whole texts.
+    """
     words = docs.select(F.col(id_col).alias("id"), tokens(text).alias("words"))
-    terms = words.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    wanted = F.col("words")
+    if prefixes is not None:
+        some = [p.lower() for p in dict.fromkeys(prefixes)]
+        wanted = F.filter("words", lambda w: F.exists(F.array(*map(F.lit, some)), lambda p: w.startswith(p)))
+    terms = words.select("id", F.explode(wanted).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
     return terms, words.select("id", F.size("words").cast("long").alias("length"))
 
 
 def bm25(terms: DataFrame, lengths: DataFrame, prefixes: list[str]) -> DataFrame:
-    """(id, score) of texts with a token for every prefix; higher is better, rounded to six digits."""
+    """(id, score) of texts with a token for every prefix; higher is better, rounded to six digits.
+
+    ``terms`` need only hold what starts with one of the prefixes.
+    """
     texts, mean = lengths.agg(F.count("*"), F.avg("length")).first()  # two numbers
     parts = F.array(*[F.lit(p.lower()) for p in dict.fromkeys(prefixes)])
     hits = terms.select("term", "id", "tf", F.explode(F.filter(parts, lambda p: F.col("term").startswith(p))).alias("prefix"))
@@ -118,7 +128,7 @@ def rerank_score(query: Column, matched: Column, is_synonym: Column, fuzzy: bool
     a, b = F.octet_length(q), F.octet_length(m)
     score = F.when(m.startswith(q), 8.0).otherwise(0.0) + shape + 4.0 * F.least(a, b) / F.greatest(a, b, F.lit(1)) - F.when(is_synonym, 2.0).otherwise(0.0)
     if authorship is not None and author is not None:
-        known = (F.coalesce(author, F.lit("")) != "") & F.coalesce(authorship, F.lit("")).startswith(author)
+        known = (F.coalesce(author, F.lit("")) != "") & F.lower(F.coalesce(authorship, F.lit(""))).startswith(F.lower(author))
         score = score + F.when(known, 3.0).otherwise(0.0)
     return score - 0.5 * F.levenshtein(q, m) if fuzzy else score
 
@@ -151,7 +161,7 @@ def search(names: DataFrame, aliases: DataFrame, query: str, mode: str = "prefix
         wanted = [w for w in query.lower().split() if w]
         if not wanted:
             return pool.limit(0).select("taxon_id", F.col("canonical").alias("matched_name"), "is_synonym", F.lit(0.0).alias("score"))
-        found = bm25(*postings(pool, "id", F.col("canonical")), wanted).select("id")
+        found = bm25(*postings(pool, "id", F.col("canonical"), wanted), wanted).select("id")
     else:
         found = fuzzy_hits(pool, spark.createDataFrame([(1, query)], "query_id int, query string")).select("id")
     hits = pool.join(found.distinct(), "id", "left_semi")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.scalars import empty, severity_name, severity_rank, text
@@ -145,11 +145,22 @@ def ancestor_missing(nodes: DataFrame, pairs: DataFrame, accepted: DataFrame) ->
     return nodes.join(ok, "id", "left_anti")
 
 
-def merge_issues(store: DataFrame, found: DataFrame, now: str) -> DataFrame:
-    """The new issue store: known issues keep first-seen time and acknowledgement, those that don't fire any more go."""
-    new = found.groupBy(*IDENTITY).agg(F.max("severity").alias("severity"), F.max("actual_value").alias("actual_value"))
+def merge_issues(store: DataFrame, found: DataFrame, now: str, scope: DataFrame | None = None) -> DataFrame:
+    """The new issue store: known issues keep first-seen time and acknowledgement, those that don't fire any more go.
+
+    Of several violations of one identity the most severe one counts with its
+    value, of equally severe ones the greatest value.  ``scope`` (table_name,
+    record_id) are the records that were validated; issues of all others stay as
+    they are.  Without it every record was.
+    """
+    first = F.struct(severity_rank(F.col("severity")).alias("r"), F.col("actual_value").alias("actual_value"), F.col("severity").alias("severity"))
+    new = found.groupBy(*IDENTITY).agg(F.max(first).alias("_v")).select(*IDENTITY, F.col("_v.severity").alias("severity"), F.col("_v.actual_value").alias("actual_value"))
     old = store.select(*IDENTITY, "created_at", "acknowledged_at")
-    return new.join(old, IDENTITY, "left").withColumn("created_at", F.coalesce("created_at", F.lit(now)))
+    merged = new.join(old, IDENTITY, "left").withColumn("created_at", F.coalesce("created_at", F.lit(now)))
+    if scope is None:
+        return merged
+    records = ["table_name", "record_id"]
+    return merged.unionByName(store.join(scope.select(*records).distinct(), records, "left_anti").select(*merged.columns))
 
 
 def is_open(acknowledged: str = "acknowledged_at") -> Column:
@@ -191,7 +202,3 @@ def rules_due(state: DataFrame, now: str, days: int = 7) -> DataFrame:
     """Time-based rules (rule_id, last_run_at) that never ran or ran at least so many days ago."""
     last = F.try_to_timestamp("last_run_at")
     return state.where(last.isNull() | (last <= F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {days} DAYS")))
-
-
-def validation_window(columns: list[str]) -> Window:
-    return Window.partitionBy(*columns)

@@ -78,7 +78,7 @@ def move(spark, sf_dir):
         status = "moved"
     except H.CycleError:
         status = "rejected"
-    return moved.where("rank <> 'CUSTOMER'").select("id", "parent_id", F.lit(status).alias("into_itself"))
+    return moved.select("id", "parent_id", F.lit(status).alias("into_itself"))
 
 
 def reparent_delete(spark, sf_dir):
@@ -95,6 +95,16 @@ def cycle_nodes(spark, sf_dir):
     return H.cycle_nodes(planted)
 
 
+def children_total(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return H.children_total(tree, tree)
+
+
+def reveal(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return H.reveal(tree, H.closure(tree), tree.where("rank = 'SUPPLIER'"), limit=20)
+
+
 def closure_stats(spark, sf_dir):
     tree = _tree(spark, sf_dir)
     return H.closure(tree).groupBy("depth").agg(F.count("*").alias("pairs"), F.countDistinct("ancestor").alias("ancestors"))
@@ -135,7 +145,7 @@ QUERIES = {
                (SELECT count(*) FROM m JOIN lineitem ON m.node = 'S' || l_suppkey WHERE m.top = n.id) AS lineitems
         FROM tree n WHERE n.rank = 'NATION'""",
     ),
-    "hier_move": (move, f"WITH {TREE} SELECT id, CASE WHEN id = 'N1' THEN 'R4' ELSE parent_id END AS parent_id, 'rejected' AS into_itself FROM tree WHERE rank <> 'CUSTOMER'"),
+    "hier_move": (move, f"WITH {TREE} SELECT id, CASE WHEN id = 'N1' THEN 'R4' ELSE parent_id END AS parent_id, 'rejected' AS into_itself FROM tree"),
     "hier_reparent_delete": (
         reparent_delete,
         f"WITH {TREE} SELECT id, CASE WHEN parent_id = 'N3' THEN (SELECT parent_id FROM tree WHERE id = 'N3') ELSE parent_id END AS parent_id FROM tree WHERE id <> 'N3'",
@@ -147,5 +157,13 @@ QUERIES = {
             UNION ALL SELECT w.start, c.parent_id, w.n + 1 FROM walk w JOIN c ON c.id = w.spot WHERE c.parent_id IS NOT NULL AND w.spot <> w.start AND w.n < 8)
             SELECT DISTINCT start AS id FROM walk WHERE spot = start""",
     ),
+    "hier_children_total": (children_total, f"WITH {TREE} SELECT t.id, count(k.id) AS total FROM tree t LEFT JOIN tree k ON k.parent_id = t.id GROUP BY t.id"),
+    "hier_reveal": (
+        reveal,
+        WITH
+        + """, line AS (SELECT p.* FROM pairs p JOIN tree t ON t.id = p.id WHERE t.rank = 'SUPPLIER' UNION ALL SELECT id, id, 0 FROM tree WHERE rank = 'SUPPLIER'),
+        placed AS (SELECT id, CAST((row_number() OVER (PARTITION BY coalesce(parent_id, '') ORDER BY ordinal NULLS LAST, name, id) - 1) // 20 AS INTEGER) AS page FROM tree)
+        SELECT l.id, CAST(row_number() OVER (PARTITION BY l.id ORDER BY l.depth DESC) AS INTEGER) AS step, l.ancestor AS node, page FROM line l JOIN placed ON placed.id = l.ancestor""",
+    ),
     "hier_closure_stats": (closure_stats, WITH + "SELECT depth, count(*) AS pairs, count(DISTINCT ancestor) AS ancestors FROM pairs GROUP BY depth"),
 }

@@ -79,7 +79,7 @@ def edit_outcomes(spark, sf_dir):
 def edit_snapshot(spark, sf_dir):
     current, batch, used = _edited(spark, sf_dir)
     store = edits.VersionedTable(spark, folder(spark, "edits"))
-    store.write(current, 1)
+    store.write(current, 0)
     store.commit(batch, ACTOR, NOW, "id", used)
     return store.read()
 
@@ -105,7 +105,7 @@ def stream_incremental_validate(spark, sf_dir):
     )
     base = folder(spark, "stream")
     stream = changes.changes(spark, f"{sf_dir}/event[s].parquet", _EVENT)  # a pattern may match a file or a folder
-    query = changes.validate_changes(stream, lambda batch: validation.row_local("event", batch, "event_id", rules), f"{base}/issues", f"{base}/checkpoint")
+    query = changes.validate_changes(stream, lambda batch: validation.row_local("event", batch, "event_id", rules), lambda batch: batch.select(F.lit("event").alias("table_name"), F.col("event_id").alias("record_id")), f"{base}/issues", f"{base}/checkpoint")
     query.awaitTermination()
     return changes.latest_violations(spark, f"{base}/issues", validation.VIOLATION).select("record_id", "rule_id", "severity")
 

@@ -40,9 +40,8 @@ def synonym_resolution(spark, sf_dir):
 
 
 def partial_tokens(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
-    text = F.coalesce("text", F.lit(""))
-    return S.bm25(*S.postings(docs.where("text is not null"), "doc_id", text), ["thea", "ing"])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return S.bm25(*S.postings(docs, "doc_id", F.col("text"), ["thea", "ing"]), ["thea", "ing"])
 
 
 def fuzzy_trigram(spark, sf_dir):
@@ -72,7 +71,7 @@ QUERIES = {
     ),
     "search_partial_tokens": (
         partial_tokens,
-        r"""WITH words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+        r"""WITH words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
             c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
             t AS (SELECT id, len(w) AS l, unnest(w) AS term FROM words),
             h AS (SELECT p.prefix, id, any_value(l) AS l, count(*) AS tf FROM t JOIN (VALUES ('thea'), ('ing')) p(prefix) ON starts_with(term, p.prefix) GROUP BY p.prefix, id),

@@ -27,9 +27,18 @@ def _run(stream: DataFrame, folder: str, each: Callable[[DataFrame], DataFrame],
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def validate_changes(stream: DataFrame, validate: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Violations of the changed rows of each batch, as ``validate`` finds them (it may join the neighbours of the changes)."""
-    return _run(stream, folder, validate, checkpoint, trigger or {"availableNow": True})
+def validate_changes(stream: DataFrame, validate: Callable[[DataFrame], DataFrame], keys: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Violations of the changed rows of each batch, as ``validate`` finds them (it may join the neighbours of the changes).
+
+    ``keys`` gives the records (table_name, record_id) that a batch validates; they
+    are written with the violations, so that a record without any is known as clean.
+    """
+
+    def each(batch: DataFrame) -> DataFrame:
+        records = keys(batch).select("table_name", F.col("record_id").cast("string").alias("record_id")).distinct()
+        return records.withColumn("validated", F.lit(True)).unionByName(validate(batch).withColumn("validated", F.lit(False)), allowMissingColumns=True)
+
+    return _run(stream, folder, each, checkpoint, trigger or {"availableNow": True})
 
 
 def index_changes(stream: DataFrame, id_col: str, text_col: str, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -53,7 +62,7 @@ def current_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_violations(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All batches' violations; a record that was validated again counts with its last batch."""
-    rows = spark.read.schema(f"{schema}, batch bigint").parquet(folder)
-    last = rows.groupBy("record_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["record_id", "batch"])
+    """The violations of each record's last validation; a record that was found clean since has none."""
+    rows = spark.read.schema(f"{schema}, validated boolean, batch bigint").parquet(folder)
+    last = rows.groupBy("table_name", "record_id").agg(F.max("batch").alias("batch"))
+    return rows.where("not validated").join(last, ["table_name", "record_id", "batch"]).drop("validated")
