@@ -23,14 +23,23 @@ ROLES = ["creator", "contact", "contributor", "editor", "publisher"]
 SPECIES_RANKS = ["SPECIES", "SUBSPECIES", "VARIETY", "SUBVARIETY", "FORM", "SUBFORM"]
 BELOW_SPECIES = ["SUBSPECIES", "VARIETY", "SUBVARIETY", "FORM", "SUBFORM"]
 GENUS_RANKS = ["GENUS", "SUBGENUS", "INFRAGENUS"]
-SUPRAGENERIC = [*RANKS["higher"], *RANKS["family"]]
 #: Ranks from the highest to the lowest per code: a parent stands before its child.
 RANK_ORDER = {
-    "ZOOLOGICAL": [*RANKS["higher"], *RANKS["family"], "GENUS", "SUBGENUS", "SPECIES", "SUBSPECIES"],
-    "BOTANICAL": [*RANKS["higher"], *RANKS["family"], *RANKS["genus"], *RANKS["species"][1:]],
-    "BACTERIAL": [*RANKS["higher"], *RANKS["family"], "GENUS", "SUBGENUS", "SPECIES", "SUBSPECIES"],
+    "BACTERIAL": ["KINGDOM", "PHYLUM", "CLASS", "SUBCLASS", "ORDER", "SUBORDER", "FAMILY", "SUBFAMILY", "TRIBE", "SUBTRIBE", "GENUS", "SUBGENUS", "SPECIES", "SUBSPECIES"],
+    "BOTANICAL": [
+        "KINGDOM", "SUBKINGDOM", "PHYLUM", "SUBPHYLUM", "CLASS", "SUBCLASS", "SUPERORDER", "ORDER", "SUBORDER", "FAMILY", "SUBFAMILY", "TRIBE", "SUBTRIBE",
+        "GENUS", "SUBGENUS", "SECTION", "SUBSECTION", "SERIES", "SUBSERIES", "SPECIES", "SUBSPECIES", "VARIETY", "SUBVARIETY", "FORM", "SUBFORM",
+    ],
     "VIRUS": ["REALM", "KINGDOM", "PHYLUM", "CLASS", "ORDER", "FAMILY", "SUBFAMILY", "GENUS", "SPECIES"],
-}
+    "ZOOLOGICAL": [
+        "SUPERKINGDOM", "KINGDOM", "SUBKINGDOM", "INFRAKINGDOM", "SUPERPHYLUM", "PHYLUM", "SUBPHYLUM", "INFRAPHYLUM", "SUPERCLASS", "CLASS", "SUBCLASS", "INFRACLASS",
+        "SUPERCOHORT", "COHORT", "MAGNORDER", "SUPERORDER", "MIRORDER", "ORDER", "SUBORDER", "INFRAORDER", "PARVORDER", "NANORDER", "SUPERFAMILY", "EPIFAMILY", "FAMILY",
+        "SUPERSUBFAMILY", "SUBFAMILY", "INFRAFAMILY", "SUPERTRIBE", "TRIBE", "SUBTRIBE", "INFRATRIBE", "SUPERGENUS", "GENUS", "SUPERSUPERSUBGENUS", "SUPERSUBGENUS",
+        "SUBGENUS", "INFRAGENUS", "SUPERSUPERSPECIES", "SUPERSPECIES", "SUBSUPERSPECIES", "SPECIES", "SUBSPECIES",
+    ],
+}
+#: Every rank above the genera of some code.
+SUPRAGENERIC = sorted({*RANKS["higher"], *RANKS["family"], *(r for order in RANK_ORDER.values() for r in order[: order.index("GENUS")])} - {"SUPERGENUS"})
 MARKER_OF = {"SUBSPECIES": ["subsp.", "ssp."], "VARIETY": ["var."], "SUBVARIETY": ["subvar."], "FORM": ["f."], "SUBFORM": ["subf."]}
 FIRST_YEAR, LAST_YEAR = 1753, 2100
 SHARED_REFERENCE = {"BASIONYM": "subsequent_combination_shares_reference", "REPLACEMENT_NAME": "replacement_name_shares_reference", "SPELLING_CORRECTION": "spelling_correction_shares_reference"}
