@@ -4,7 +4,7 @@ Each word is the sum of a learned vector of the word and the mean of learned
 vectors of its character n-grams (3 to 5, with word borders), both by hashing.
 Every pre-token but white space is a word: letters, numbers, marks and signs.
 One of more than 24 bytes is a word for each of its overlapping pieces.
-Windows of 32 words, each overlapping the next by 8, cover the whole text; a
+Windows of 40 words, each overlapping the next by 10, cover the whole text; a
 window's states in both directions are pooled by attention to one logit, and the highest
 logits of all windows give the text's probability.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from canopy.llm import learn, pretokens
 from canopy.llm.common import blank_null, chunks, release, table
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 40, 30
 SIZE, STATE = 8, 8
 SIZES = (3, 4, 5)
 #: Buckets that n-grams are hashed to; training texts that a word and an n-gram must be in to get a vector.
