@@ -12,6 +12,7 @@ encoded as texts of their own.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 
@@ -49,20 +50,20 @@ def encode_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     """
     tokenizer, sizes = _library(path)
     texts = [w.decode() for w in words]
-    joins = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
-    alone = sorted(set(range(len(texts))) - set(joins))
+    joined = np.fromiter((t[0] == " " and t[1:].isalpha() for t in texts), bool, len(texts))
+    length = np.fromiter(map(len, words), np.int64, len(words))
     counts = np.zeros(len(words), np.int64)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    groups = [joins[k : k + JOINED] for k in range(0, len(joins), JOINED)] + [[i] for i in alone]
-    for some in (groups[k : k + 2000] for k in range(0, len(groups), 2000)):
-        encoded = tokenizer.encode_batch_fast(["".join([texts[i] for i in g]) for g in some], add_special_tokens=False)
-        ids = np.array([i for e in encoded for i in e.ids], np.int32)
-        index = np.array([i for g in some for i in g], np.int64)
-        upto = np.cumsum([len(words[i]) for i in index])
-        # a token belongs to the word in which its last byte lies
-        owner = np.searchsorted(upto, np.cumsum(sizes[ids]), side="left")
-        counts[index] = np.bincount(owner, minlength=len(index))
-        parts.append((index, ids))
+    for index, together in ((np.flatnonzero(joined), JOINED), (np.flatnonzero(~joined), 1)):
+        for a in range(0, len(index), 2000 * together):
+            some = index[a : a + 2000 * together]
+            spelled = [texts[i] for i in some.tolist()]
+            encoded = tokenizer.encode_batch_fast(["".join(spelled[k : k + together]) for k in range(0, len(spelled), together)], add_special_tokens=False)
+            ids = np.fromiter(itertools.chain.from_iterable([e.ids for e in encoded]), np.int32)
+            # a token belongs to the word in which its last byte lies
+            owner = np.searchsorted(np.cumsum(length[some]), np.cumsum(sizes[ids]), side="left")
+            counts[some] = np.bincount(owner, minlength=len(some))
+            parts.append((some, ids))
     start = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros(int(start[-1]), np.int32)
     for index, ids in parts:

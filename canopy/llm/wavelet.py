@@ -157,7 +157,7 @@ class Shard:
         """Tokens at the given positions; for many positions a whole plane is looked at after the other."""
         every = np.asarray(at, np.int64)
         if DENSE * len(every) > self.size:
-            return self._access_many(every.astype(np.uint32))
+            return self._access_many(every)
         out = np.zeros(every.shape, np.int64)
         for a in range(0, len(every), AT_ONCE):
             at = every[a : a + AT_ONCE]
@@ -170,22 +170,23 @@ class Shard:
         return out
 
     def _access_many(self, at: np.ndarray) -> np.ndarray:
+        at = at.astype(np.intp)
         value = np.zeros(len(at), np.uint32)
-        index = np.arange(self.size, dtype=np.uint32)
+        goes = np.empty(self.size, np.uint32)  # where each position of a plane goes
         for plane, zeros in enumerate(self.zeros):
             words = [np.frombuffer(self._section(1 + plane * self.per + b), "<u8") for b in range(self.per)]
-            bits = np.unpackbits(np.concatenate(words or [np.zeros(0, "<u8")]).view(np.uint8), count=self.size, bitorder="little")
-            ones = np.cumsum(bits, dtype=np.uint32)  # with the bit itself
-            if not np.array_equal(ones[self.block - 1 :: self.block], self.before[plane, 1 : 1 + self.size // self.block]):
+            ones = np.array([np.bitwise_count(w).sum() for w in words], np.int64).cumsum()
+            if not np.array_equal(ones, self.before[plane, 1:]):
                 raise ValueError("a block differs from its stored rank")
-            # where each position goes: after all zeros, or among them
-            goes = np.where(bits, ones + np.uint32(zeros) - np.uint32(1), index - ones)
+            bits = np.unpackbits(np.concatenate(words or [np.zeros(0, "<u8")]).view(np.uint8), count=self.size, bitorder="little").view(bool)
+            goes[~bits] = np.arange(zeros, dtype=np.uint32)
+            goes[bits] = np.arange(zeros, self.size, dtype=np.uint32)
             for a in range(0, len(at), AT_ONCE):
                 some = slice(a, a + AT_ONCE)
-                at[some] = goes[at[some]]
-                value[some] <<= np.uint32(1)
-                value[some] |= at[some] >= zeros
-        return value.astype(np.int64)
+                new = goes[at[some]]
+                at[some] = new
+                value[some] = (value[some] << np.uint32(1)) | (new >= zeros)
+        return value
 
     def _range(self, token: int, upto: int) -> tuple[int, int]:
         """The token's place in the order below the last plane, for its occurrences before ``upto``."""
