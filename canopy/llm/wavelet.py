@@ -169,16 +169,31 @@ class Shard:
             out[a : a + AT_ONCE] = value
         return out
 
+    def _plane(self, plane: int) -> np.ndarray:
+        """All bits of a plane, checked against its stored ranks."""
+        words = [np.frombuffer(self._section(1 + plane * self.per + b), "<u8") for b in range(self.per)]
+        ones = np.array([np.bitwise_count(w).sum() for w in words], np.int64).cumsum()
+        if not np.array_equal(ones, self.before[plane, 1:]):
+            raise ValueError("a block differs from its stored rank")
+        return np.unpackbits(np.concatenate(words or [np.zeros(0, "<u8")]).view(np.uint8), count=self.size, bitorder="little").view(bool)
+
+    def tokens(self) -> np.ndarray:
+        """All tokens in order: the planes' sorting undone from the last one up, in two bytes a token where ids fit."""
+        now = np.zeros(self.size, np.uint16 if len(self.zeros) <= 16 else np.uint32)
+        for plane in range(len(self.zeros) - 1, -1, -1):
+            bits, zeros = self._plane(plane), self.zeros[plane]
+            above = np.empty_like(now)
+            above[~bits] = now[:zeros]
+            above[bits] = now[zeros:] | now.dtype.type(1 << (len(self.zeros) - 1 - plane))
+            now = above
+        return now
+
     def _access_many(self, at: np.ndarray) -> np.ndarray:
         at = at.astype(np.intp)
         value = np.zeros(len(at), np.uint32)
         goes = np.empty(self.size, np.uint32)  # where each position of a plane goes
         for plane, zeros in enumerate(self.zeros):
-            words = [np.frombuffer(self._section(1 + plane * self.per + b), "<u8") for b in range(self.per)]
-            ones = np.array([np.bitwise_count(w).sum() for w in words], np.int64).cumsum()
-            if not np.array_equal(ones, self.before[plane, 1:]):
-                raise ValueError("a block differs from its stored rank")
-            bits = np.unpackbits(np.concatenate(words or [np.zeros(0, "<u8")]).view(np.uint8), count=self.size, bitorder="little").view(bool)
+            bits = self._plane(plane)
             goes[~bits] = np.arange(zeros, dtype=np.uint32)
             goes[bits] = np.arange(zeros, self.size, dtype=np.uint32)
             for a in range(0, len(at), AT_ONCE):
@@ -291,7 +306,7 @@ def read_shards(shards: DataFrame, folder: str, id_col: str = "doc_id", kind: st
                     docs = shard.documents()
                     lengths = docs.column("length").to_numpy()
                     ends = np.cumsum(lengths)
-                    ids = shard.access(np.arange(shard.size)).astype("<u4")
+                    ids = shard.tokens().astype("<u4")
                 crc = [zlib.crc32(memoryview(ids[b - n : b])) for b, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.record_batch([docs.column("id"), pa.array(before + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names)
 
