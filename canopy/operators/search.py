@@ -7,6 +7,9 @@ constant or a DataFrame of many (query_id, query), which share the postings.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,30 @@ def strip_authorship(query: str) -> str:
     return " ".join(words) if len(words) >= 2 else query
 
 
+def authorship_of(query: str) -> str:
+    """What follows the name in a query whose authorship can be told apart, else ''."""
+    import regex
+
+    found = regex.match(NAME, query)
+    return query[found.end(1) :].strip() if found and strip_authorship(query) != query else ""
+
+
+def unaccented(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Accented Latin letters and what is left of each without its accents."""
+    pairs = [(chr(n), unaccented(chr(n))) for n in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def fold(column: Column) -> Column:
+    """The text without accents, written as one letter or as marks of their own."""
+    return F.regexp_replace(F.translate(column, *_plain_letters()), "\\p{M}+", "")
+
+
 def prefix_hits(names: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """Names whose canonical form starts with the query, wildcards ignored, without regard to case."""
     plain = query.replace("%", "").replace("_", "").lower()
@@ -77,16 +104,30 @@ def bm25(terms: DataFrame, lengths: DataFrame, prefixes: list[str]) -> DataFrame
 
     ``terms`` need only hold what starts with one of the prefixes.
     """
-    texts, mean = lengths.agg(F.count("*"), F.avg("length")).first()  # two numbers
-    parts = F.array(*[F.lit(p.lower()) for p in dict.fromkeys(prefixes)])
+    some = [p.lower() for p in dict.fromkeys(prefixes)]
+    parts = F.array(*map(F.lit, some))
     hits = terms.select("term", "id", "tf", F.explode(F.filter(parts, lambda p: F.col("term").startswith(p))).alias("prefix"))
-    per = hits.groupBy("prefix", "id").agg(F.sum("tf").alias("tf"))
+    return _weighed(hits.groupBy("prefix", "id").agg(F.sum("tf").alias("tf")), lengths, len(some))
+
+
+def trigram_bm25(docs: DataFrame, id_col: str, text: Column, query: Column) -> DataFrame:
+    """(id, score) of texts that share a trigram with a constant query, by the BM25 of what they share."""
+    lower = F.lower(text)
+    windows = F.when(F.char_length(lower) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(lower) - 2), lambda i: F.substring(lower, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.col(id_col).alias("id"), windows.alias("grams"))
+    shared = rows.select("id", F.explode(F.filter("grams", lambda g: F.array_contains(query_trigrams(query), g))).alias("prefix"))
+    return _weighed(shared.groupBy("prefix", "id").agg(F.count("*").alias("tf")), rows.select("id", F.size("grams").cast("long").alias("length")), 1)
+
+
+def _weighed(per: DataFrame, lengths: DataFrame, least: int) -> DataFrame:
+    """BM25 of texts from (prefix, id, tf), for those with ``least`` of the prefixes or more."""
+    texts, mean = lengths.agg(F.count("*"), F.avg("length")).first()  # two numbers
     df = per.groupBy("prefix").agg(F.count("*").alias("df"))  # one row per prefix
     full = per.join(F.broadcast(df), "prefix").join(lengths, "id")
     idf = F.log(F.lit(1.0) + (texts - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
     score = full.groupBy("id").agg(F.count("*").alias("_found"), F.sum(idf * weight).alias("score"))
-    return score.where(F.col("_found") == F.size(parts)).select("id", F.round("score", 6).alias("score"))
+    return score.where(F.col("_found") >= least).select("id", F.round("score", 6).alias("score"))
 
 
 def trigrams(column: Column) -> Column:
@@ -142,30 +183,40 @@ def with_context(hits: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def search(names: DataFrame, aliases: DataFrame, query: str, mode: str = "prefix", include_synonyms: bool = True, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Rows (taxon_id, matched_name, is_synonym, score), best first."""
+    """Rows (taxon_id, matched_name, is_synonym, score), best first.
+
+    Partial and fuzzy hits are found by BM25 over the whole pool, one per taxon; the
+    best of them, ten times the limit or 100, are ranked again by ``rerank_score``.
+    Partial tokens may stand in the canonical or the scientific name or the
+    authorship, in any order and with or without accents.
+    """
+    given = query
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     if mode == "fuzzy" and len(query) < 3:
         mode = "prefix"
-    spark = names.sparkSession
     if mode != "prefix":
         query = strip_authorship(query)
     if mode == "prefix":
         hits = resolve(names, aliases if include_synonyms else aliases.limit(0), query, limit)
         return hits.withColumn("score", F.lit(0.0))
-    pool = names.select(F.col("id").alias("taxon_id"), "canonical", F.lit(False).alias("is_synonym"))
+    written = [c for c in ("scientific_name", "authorship") if c in names.columns]
+    pool = names.select(F.col("id").alias("taxon_id"), "canonical", *written, F.lit(False).alias("is_synonym"))
     if include_synonyms:
-        pool = pool.unionByName(aliases.select("taxon_id", "canonical", F.lit(True).alias("is_synonym")))
-    pool = pool.withColumn("id", F.xxhash64("taxon_id", "canonical", "is_synonym"))
+        others = aliases.select("taxon_id", "canonical", *[c for c in written if c in aliases.columns], F.lit(True).alias("is_synonym"))
+        pool = pool.unionByName(others, allowMissingColumns=True)
+    pool = pool.distinct().withColumn("id", F.struct("taxon_id", "canonical", *written, "is_synonym"))
     if mode == "partial":
-        wanted = [w for w in query.lower().split() if w]
+        wanted = [w for w in re.split(r"[^\w]+|_", unaccented(query).lower()) if w]
         if not wanted:
             return pool.limit(0).select("taxon_id", F.col("canonical").alias("matched_name"), "is_synonym", F.lit(0.0).alias("score"))
-        found = bm25(*postings(pool, "id", F.col("canonical"), wanted), wanted).select("id")
+        found = bm25(*postings(pool, "id", fold(F.concat_ws(" ", "canonical", *written)), wanted), wanted)
     else:
-        found = fuzzy_hits(pool, spark.createDataFrame([(1, query)], "query_id int, query string")).select("id")
-    hits = pool.join(found.distinct(), "id", "left_semi")
-    hits = hits.withColumn("score", rerank_score(F.lit(query), F.col("canonical"), F.col("is_synonym"), mode == "fuzzy"))
-    best = Window.partitionBy("taxon_id").orderBy("is_synonym", F.desc("score"), "canonical")
+        found = trigram_bm25(pool, "id", F.col("canonical"), F.lit(query))
+    hits = found.select("id.*", F.col("score").alias("_bm25"))
+    best = Window.partitionBy("taxon_id").orderBy("is_synonym", F.desc("_bm25"), "canonical")
     hits = hits.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return hits.select("taxon_id", F.col("canonical").alias("matched_name"), "is_synonym", "score").orderBy(F.desc("score"), "matched_name", "taxon_id").limit(limit)
+    hits = hits.orderBy(F.desc("_bm25"), "canonical", "taxon_id").limit(max(10 * limit, 100))
+    author = F.lit(authorship_of(given)) if "authorship" in written else None
+    score = rerank_score(F.lit(query), F.col("canonical"), F.col("is_synonym"), mode == "fuzzy", F.col("authorship") if author is not None else None, author)
+    return hits.select("taxon_id", F.col("canonical").alias("matched_name"), "is_synonym", score.alias("score")).orderBy(F.desc("score"), "matched_name", "taxon_id").limit(limit)

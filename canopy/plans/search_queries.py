@@ -59,7 +59,41 @@ def rerank(spark, sf_dir):
     return names.select("id", "canonical", F.round(score, 6).alias("score"))
 
 
+def _composite(query, mode):
+    """The whole search over parts as taxa and suppliers as their aliases, of which some name several taxa."""
+
+    def run(spark, sf_dir):
+        part = spark.read.parquet(f"{sf_dir}/part.parquet")
+        supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+        names = part.select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("canonical"), F.col("p_brand").alias("authorship"))
+        alias = supplier.select(F.concat(F.lit("A"), "s_suppkey").alias("alias_id"), F.explode(F.array("s_suppkey", F.col("s_suppkey") + 7)).alias("_key"), F.concat(F.lit("old "), F.col("s_name")).alias("canonical"))
+        alias = alias.select("alias_id", F.concat(F.lit("P"), "_key").alias("taxon_id"), "canonical")
+        return S.search(names, alias, query, mode).withColumn("score", F.round("score", 6))
+
+    wanted = mode == "partial"
+    terms = query.split() if wanted else list(dict.fromkeys(query[i : i + 3] for i in range(len(query) - 2)))
+    units = r"list_filter(regexp_split_to_array(lower(concat_ws(' ', canonical, authorship)), '[^\p{L}\p{N}]+'), lambda x: x <> '')" if wanted else "[substr(lower(canonical), CAST(i AS INTEGER), 3) FOR i IN range(1, length(canonical) - 1)]"
+    match = "starts_with(term, t)" if wanted else "term = t"
+    far = "" if wanted else f" - 0.5::DOUBLE * levenshtein('{query}', m)"
+    sql = f"""WITH pool AS (SELECT DISTINCT 'P' || p_partkey AS taxon_id, p_name AS canonical, p_brand AS authorship, false AS syn FROM part
+          UNION SELECT 'P' || (s_suppkey + k), 'old ' || s_name, NULL, true FROM supplier, (VALUES (0), (7)) AS x(k)),
+        w AS (SELECT *, {units} AS w FROM pool), c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+        u AS (SELECT taxon_id, canonical, syn, len(w) AS l, unnest(w) AS term FROM w),
+        h AS (SELECT t, taxon_id, canonical, syn, l, count(*) AS tf FROM u JOIN (VALUES {', '.join(f"('{t}')" for t in terms)}) AS q(t) ON {match} GROUP BY ALL),
+        d AS (SELECT t, count(*) AS df FROM h GROUP BY t),
+        b AS (SELECT taxon_id, canonical, syn, round(sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 6) AS bm
+          FROM h JOIN d USING (t), c GROUP BY ALL HAVING count(*) >= {len(terms) if wanted else 1}),
+        one AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY taxon_id ORDER BY syn, bm DESC, canonical) = 1),
+        few AS (SELECT *, lower(canonical) AS m, list_last(string_split(lower(canonical), ' ')) AS last FROM one ORDER BY bm DESC, canonical, taxon_id LIMIT 500)
+        SELECT taxon_id, canonical AS matched_name, syn AS is_synonym, round(CASE WHEN starts_with(m, '{query}') THEN 8.0::DOUBLE ELSE 0 END + CASE WHEN last = '{query}' THEN 9.0::DOUBLE WHEN starts_with(last, '{query}') THEN 6.0::DOUBLE ELSE 0 END
+          + 4.0::DOUBLE * least({len(query)}, strlen(m)) / greatest({len(query)}, strlen(m)) - CASE WHEN syn THEN 2.0::DOUBLE ELSE 0 END{far}, 6) AS score FROM few ORDER BY score DESC, matched_name, taxon_id LIMIT 50"""
+    return run, sql
+
+
 QUERIES = {
+    "search_taxa_partial": _composite("old s", "partial"),
+    "search_taxa_one_token": _composite("old", "partial"),
+    "search_taxa_fuzzy": _composite("old plte", "fuzzy"),
     "search_prefix": (prefix, f"WITH {NAMES} SELECT id, canonical FROM names WHERE starts_with(lower(canonical), 'sma')"),
     "search_names_substring": (substring, f"WITH {NAMES} SELECT id, canonical FROM names WHERE contains(lower(canonical), 'in')"),
     "search_synonym_resolution": (
