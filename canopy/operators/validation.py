@@ -81,6 +81,39 @@ def override(rules: list[Rule], config: dict[str, tuple[bool, str | None]], rule
     return out
 
 
+def set_config(config: DataFrame, changes: DataFrame, key: str = "rule_id") -> DataFrame:
+    """The configuration (key, enabled, severity) after ``changes`` of the same columns.
+
+    A change takes the place of what was known of its key, and one with neither value
+    clears it.  Changes without key, of a severity that isn't known or of a key that
+    is changed twice aren't made.
+    """
+    values = [c for c in config.columns if c != key]
+    once = changes.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in values]).where(F.col(key).isNotNull() & (F.col("_n") == 1))
+    if "severity" in values:
+        once = once.where(F.col("severity").isNull() | (severity_rank(F.col("severity")) >= 0))
+    some = once.where(F.coalesce(*[F.col(c).cast("string") for c in values]).isNotNull())
+    return config.join(once.select(key), key, "left_anti").select(*config.columns).unionByName(some.select(*config.columns))
+
+
+def list_config(rules: DataFrame, config: DataFrame, rulesets: DataFrame) -> DataFrame:
+    """All ``rules`` (rule_id, ruleset, severity) with what counts for each: ``enabled`` and ``severity``, and its ``default_severity``.
+
+    A rule is enabled if neither it nor its set (``rulesets``: ruleset, enabled) is switched off.
+    """
+    own = config.select("rule_id", F.col("enabled").alias("_own"), F.col("severity").alias("_severity"))
+    sets = rulesets.select("ruleset", F.col("enabled").alias("_set"))
+    joined = rules.join(own, "rule_id", "left").join(sets, "ruleset", "left")
+    on = F.coalesce("_own", F.lit(True)) & F.coalesce("_set", F.lit(True))
+    return joined.select("rule_id", "ruleset", on.alias("enabled"), F.coalesce("_severity", "severity").alias("severity"), F.col("severity").alias("default_severity"))
+
+
+def warnings_of(issues: DataFrame, rules: DataFrame, table: str, ids: DataFrame) -> DataFrame:
+    """Open issues of the records ``ids`` (record_id) of a table, of enabled ``rules`` (as listed), with the severity that counts."""
+    some = issues.where((F.col("table_name") == table) & is_open()).drop("severity").join(ids.select("record_id").distinct(), "record_id", "left_semi")
+    return some.join(rules.where("enabled").select("rule_id", "severity"), "rule_id").select(*IDENTITY, "severity", "actual_value")
+
+
 def row_local(table: str, rows: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     """All violations of row-local rules from one scan of the table."""
     if not rules:

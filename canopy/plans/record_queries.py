@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from canopy.functions import parsers as P
 from canopy.operators import edits, validation
 from canopy.plans.materialise import folder
+from canopy.sources.archive import evolve, logical
 from canopy.streaming import changes
 
 NOW, ACTOR = "2026-01-01T00:00:00Z", "bench"
@@ -110,7 +111,14 @@ def stream_incremental_validate(spark, sf_dir):
     return changes.latest_violations(spark, f"{base}/issues", validation.VIOLATION).select("record_id", "rule_id", "severity")
 
 
+def archive_columns(spark, sf_dir):
+    """Customers as an older archive holds them, under the names and types of today."""
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("rowid"), F.col("c_name").alias("col__name"), F.col("c_nationkey").cast("string").alias("col__nation"), F.col("c_mktsegment").alias("col__segment"))
+    return evolve(logical(old, {"rowid": "id"}), "id string, name string, nation_id int, remarks string", {"nation": "nation_id"})
+
+
 QUERIES = {
+    "archive_columns": (archive_columns, "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(c_nationkey AS INTEGER) AS nation_id, CAST(NULL AS VARCHAR) AS remarks, c_mktsegment AS segment FROM customer"),
     "parse_json_source": (parse_json, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "parse_work": (
         parse_work,

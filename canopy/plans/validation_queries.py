@@ -159,6 +159,10 @@ _MERGED = f"""WITH {ALL}, merged AS (SELECT table_name, record_id, rule_id, fiel
   CASE WHEN right(record_id, 1) = '2' THEN '2025-07-01T00:00:00Z' WHEN right(record_id, 1) IN ('1', '3') THEN '' END AS acknowledged_at FROM found) """
 
 
+_CONFIG = """config AS (SELECT * FROM (VALUES ('brand_missing', 'part', true, 'error', 'error'), ('promo_has_brand', 'part', true, 'warn', 'info'), ('one_word', 'core', true, 'error', 'warn'),
+  ('name_length', 'core', false, 'debug', 'debug'), ('size_range', 'core', true, 'warn', 'warn')) x(rule_id, ruleset, enabled, severity, default_severity))"""
+
+
 def issue_merge(spark, sf_dir):
     found = _found(spark, sf_dir)
     return V.merge_issues(_store(found), found, NOW)
@@ -181,6 +185,26 @@ def rule_overrides(spark, sf_dir):
     return V.issue_summary(V.row_local("part", _parts(spark, sf_dir), "id", rules))
 
 
+def _configured(spark):
+    rules = spark.createDataFrame([(r.rule_id, "part" if r.field == "brand" else r.ruleset, r.severity) for r in V.load_rules(PART_RULES)], "rule_id string, ruleset string, severity string")
+    kind = "rule_id string, enabled boolean, severity string"
+    before = spark.createDataFrame([("one_word", True, "error"), ("size_range", False, None)], kind)
+    changes = spark.createDataFrame([("name_length", False, None), ("size_range", None, None), ("brand_missing", True, "odd"), ("promo_has_brand", True, "warn")], kind)
+    return V.list_config(rules, V.set_config(before, changes), spark.createDataFrame([("part", True), ("none", False)], "ruleset string, enabled boolean"))
+
+
+def rule_config(spark, sf_dir):
+    """Every rule as configured, with the number of its violations."""
+    fired = V.row_local("part", _parts(spark, sf_dir), "id", V.load_rules(PART_RULES)).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return _configured(spark).join(fired, "rule_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def issue_warnings(spark, sf_dir):
+    """Open warnings of all parts of code PROMO and of large ones."""
+    ids = _parts(spark, sf_dir).where("code = 'PROMO' OR size > 40").select(F.col("id").cast("string").alias("record_id"))
+    return V.warnings_of(issue_merge(spark, sf_dir), _configured(spark), "part", ids)
+
+
 def incremental_neighbours(spark, sf_dir):
     part = _tables(spark, sf_dir)["part"].select("p_partkey", "p_name")
     before = part.where("p_partkey < 4")
@@ -227,6 +251,13 @@ QUERIES = {
         + "SELECT table_name, record_id, rule_id, field_name, severity FROM merged WHERE severity IN ('warn', 'error') AND coalesce(acknowledged_at, '') = '' ORDER BY list_position(['debug', 'info', 'warn', 'error'], severity) DESC, rule_id, created_at DESC, table_name, record_id, field_name LIMIT 40 OFFSET 10",
     ),
     "rule_overrides": (rule_overrides, f"WITH {PART}, {_LOCAL} SELECT table_name, rule_id, CASE rule_id WHEN 'one_word' THEN 'error' ELSE severity END AS severity, count(*) AS n FROM local WHERE rule_id <> 'name_length' GROUP BY ALL"),
+    "rule_config": (rule_config, f"WITH {PART}, {_LOCAL}, {_CONFIG} SELECT rule_id, ruleset, enabled, k.severity, default_severity, count(record_id) AS n FROM config k LEFT JOIN local USING (rule_id) GROUP BY ALL"),
+    "issue_warnings": (
+        issue_warnings,
+        _MERGED
+        + f""", {_CONFIG} SELECT table_name, record_id, rule_id, field_name, k.severity, actual_value FROM merged JOIN config k USING (rule_id)
+           WHERE table_name = 'part' AND enabled AND coalesce(acknowledged_at, '') = '' AND record_id IN (SELECT CAST(id AS VARCHAR) FROM part_rows WHERE code = 'PROMO' OR size > 40)""",
+    ),
     "incremental_neighbours": (
         incremental_neighbours,
         "WITH v AS (SELECT p_name FROM part WHERE p_partkey < 4 UNION SELECT split_part(p_name, ' ', 1) || ' anvil' FROM part WHERE p_partkey < 4) SELECT p_partkey FROM part WHERE p_name IN (SELECT p_name FROM v) UNION SELECT p_partkey FROM part WHERE p_partkey < 4",

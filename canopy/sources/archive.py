@@ -10,6 +10,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from canopy.sources import shared
 
 #: Columns of the relations that operators rely on; more columns may be there.
 SCHEMAS = {
@@ -19,13 +22,63 @@ SCHEMAS = {
     "name_relation": "name_id string, related_name_id string, type_id string",
     "reference": "id string, author string, issued string, title string, citation string, type_id string",
 }
+#: Tables that an archive may lack; they are empty until something is written.
+SIDE_TABLES = {
+    "issue": "table_name string, record_id string, rule_id string, field_name string, severity string, actual_value string, created_at string, acknowledged_at string",
+    "rule_config": "rule_id string, enabled boolean, severity string",
+    "ruleset_config": "ruleset string, enabled boolean",
+    "rule_state": "rule_id string, last_run_at string",
+}
 VERSION = "1"
+#: What stored columns are called, before their logical names.
+PREFIX = "col__"
 
 
 class ArchiveExists(Exception):
     """A new archive would replace one that is there."""
 
 
+class UnknownVersion(Exception):
+    """An archive was written by a later version of the library."""
+
+
+def logical(df: DataFrame, names: dict[str, str] | None = None, prefix: str = PREFIX) -> DataFrame:
+    """The columns under their logical names: by ``names`` (stored to logical), all others without the prefix.
+
+    Two columns of one logical name are refused; names differ by more than case.
+    """
+    made = [(names or {}).get(c, c.removeprefix(prefix)) for c in df.columns]
+    twice = {c for c in made if [m.lower() for m in made].count(c.lower()) > 1}
+    if twice:
+        raise ValueError(f"columns of one name: {sorted(twice)}")
+    return df.toDF(*made)
+
+
+def evolve(df: DataFrame, schema: str, renamed: dict[str, str] | None = None) -> DataFrame:
+    """The rows under the columns and types of ``schema``; what is so already stays as it is.
+
+    ``renamed`` (old to new) counts where only the old name is there.  Missing columns
+    are null, values that don't fit a type too, and columns that the schema doesn't
+    name come last.  It is one projection, so a scan reads what is asked for only.
+    """
+    there = {c.lower(): c for c in df.columns}
+    for old, new in (renamed or {}).items():
+        if old.lower() in there and new.lower() not in there:
+            df = df.withColumnRenamed(there.pop(old.lower()), new)
+            there[new.lower()] = new
+    wanted = StructType.fromDDL(schema)
+    known = {f.name.lower() for f in wanted}
+
+    def column(f):
+        kind = f.dataType.simpleString()
+        if f.name.lower() not in there:
+            return F.lit(None).cast(kind).alias(f.name)
+        held = F.col(f"`{there[f.name.lower()]}`")
+        return (held if df.schema[there[f.name.lower()]].dataType == f.dataType else held.try_cast(kind)).alias(f.name)
+
+    return df.select(*map(column, wanted), *[F.col(f"`{c}`") for k, c in there.items() if k not in known])
+
+
 @dataclass
 class Archive:
     spark: SparkSession
@@ -35,14 +88,31 @@ class Archive:
         return self.tables[name]
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str, names: list[str] | None = None) -> Archive:
-        """A snapshot of the relations below ``folder``; reading alone never changes it."""
-        return cls(spark, {n: spark.read.parquet(f"{folder}/{n}") for n in names or SCHEMAS})
+    def load(cls, spark: SparkSession, folder: str, names: list[str] | None = None, renamed: dict[str, dict[str, str]] | None = None) -> Archive:
+        """A snapshot of the relations below ``folder``; reading alone never changes it.
+
+        Columns get their logical names and the schema of today (``renamed``: old to
+        new column names by table); side tables that aren't there are empty.
+        """
+        stored = shared.names(spark, folder)
+        if "metadata" in stored:
+            found = evolve(logical(spark.read.parquet(f"{folder}/metadata")), "version string").first()
+            if found and (found["version"] or VERSION).zfill(9) > VERSION.zfill(9):
+                raise UnknownVersion(f"{folder}: {found['version']}")
+        schemas = SCHEMAS | SIDE_TABLES
+        made = {}
+        for n in [*(names or SCHEMAS), *SIDE_TABLES]:
+            if n in SIDE_TABLES and n not in stored:
+                made[n] = spark.createDataFrame([], schemas[n])
+                continue
+            df = logical(spark.read.parquet(f"{folder}/{n}"))
+            made[n] = evolve(df, schemas[n], (renamed or {}).get(n)) if n in schemas else df
+        return cls(spark, made)
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, title: str = "") -> Archive:
         """Empty relations and one metadata row in a new folder."""
-        made = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+        made = {n: spark.createDataFrame([], s) for n, s in (SCHEMAS | SIDE_TABLES).items()}
         made["metadata"] = spark.createDataFrame([(1, title, VERSION)], "id int, title string, version string")
         archive = cls(spark, made)
         archive.save(folder)

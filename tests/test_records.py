@@ -8,8 +8,9 @@ from canopy.functions import scalars as X
 from canopy.operators import edits
 from canopy.operators import entities as E
 from canopy.operators import history as N
+from canopy.operators import validation as V
 from canopy.sources import formats
-from canopy.sources.archive import Archive, ArchiveExists
+from canopy.sources.archive import SIDE_TABLES, Archive, ArchiveExists, UnknownVersion, evolve, logical
 from canopy.streaming import changes
 
 
@@ -82,6 +83,38 @@ def test_archive(spark, tmp_path):
         Archive.create(spark, f"file://{tmp_path}/a")
 
 
+def test_old_archives(spark, tmp_path):
+    folder = f"file://{tmp_path}/old"
+    spark.createDataFrame([(1, "a", "x1", "7"), (2, None, None, "many")], "rowid int, col__author string, col__year string, col__pages string").write.parquet(f"{folder}/reference")
+    spark.createDataFrame([(1, "t", "1")], "id int, title string, version string").write.parquet(f"{folder}/metadata")
+    archive = Archive.load(spark, folder, ["reference"], {"reference": {"year": "issued", "rowid": "id"}})
+    rows = archive["reference"].orderBy("id").collect()
+    assert [(r["id"], r["author"], r["issued"], r["title"], r["pages"]) for r in rows] == [("1", "a", "x1", None, "7"), ("2", None, None, None, "many")]
+    assert all(archive[n].count() == 0 for n in SIDE_TABLES)
+    assert evolve(archive["reference"], "pages int").orderBy("id").first()["pages"] == 7
+    assert evolve(archive["reference"], "pages int").where("pages is null").count() == 1
+    both = spark.createDataFrame([("old", "new")], "year string, issued string")
+    assert evolve(both, "issued string", {"year": "issued"}).first().asDict() == {"issued": "new", "year": "old"}
+    with pytest.raises(ValueError):
+        logical(spark.createDataFrame([(1, 2)], "id int, col__ID int"))
+    later = f"file://{tmp_path}/later"
+    spark.createDataFrame([(1, "t", "10")], "id int, title string, version string").write.parquet(f"{later}/metadata")
+    with pytest.raises(UnknownVersion):
+        Archive.load(spark, later, [])
+
+
+def test_rule_configuration(spark):
+    kind = "rule_id string, enabled boolean, severity string"
+    before = spark.createDataFrame([("a", False, None), ("b", True, "error")], kind)
+    changes = [("a", None, None), ("b", True, "odd"), ("c", True, "info"), ("d", True, None), ("d", False, None), (None, True, None)]
+    after = V.set_config(before, spark.createDataFrame(changes, kind))
+    assert sorted(tuple(r) for r in after.collect()) == [("b", True, "error"), ("c", True, "info")]
+    assert V.set_config(before.limit(0), spark.createDataFrame([], kind)).count() == 0
+    rules = spark.createDataFrame([("b", "x", "warn"), ("c", "y", "warn"), ("e", None, "warn")], "rule_id string, ruleset string, severity string")
+    listed = V.list_config(rules, after, spark.createDataFrame([("y", False)], "ruleset string, enabled boolean"))
+    assert sorted((r["rule_id"], r["enabled"], r["severity"]) for r in listed.collect()) == [("b", True, "error"), ("c", False, "info"), ("e", True, "warn")]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "o.owl").write_text(
         '<?xml version="1.0"?><rdf:RDF xmlns:rdf="r" xmlns:owl="o" xmlns:rdfs="s">'
