@@ -167,21 +167,23 @@ def cascade_delete(tree: DataFrame, top: str) -> DataFrame:
 def cycle_nodes(tree: DataFrame) -> DataFrame:
     """Nodes that lie on a parent cycle.
 
-    These are what remains of all nodes after as many steps up as there are
-    nodes.  Doubling the step needs a logarithm of that many joins; nodes whose
-    walk has ended at a root drop out, and no cycle is longer than what is left.
+    Every step is doubled: a row leads from a node to the one ``step`` above it, and
+    nodes whose walk has ended at a root drop out.  An acyclic chain that is still
+    walked has a node that drops out in the next round, so a round without a drop
+    leaves only nodes that lead into a cycle.  From then on no tail and no cycle is
+    longer than what is left, and after as many steps all rows end on cycles.
     """
     jump = tree.where(~is_root()).select("id", F.col("parent_id").alias("to"))
     # a node without children lies on no cycle: two rounds take most of a broad tree away
     for _ in range(2):
         jump = jump.join(jump.select(F.col("to").alias("id")).distinct(), "id", "left_semi")
     jump = materialise(jump)
-    n = jump.count()
-    step = 1
-    while step < n:
+    n, step, dropped = jump.count(), 1, True
+    while n and (dropped or step < n):
         jump = materialise(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")))
         step *= 2
-        n = min(n, jump.count())
+        before, n = n, jump.count()
+        dropped = n < before
     return jump.select(F.col("to").alias("id")).distinct()
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from canopy.functions import scalars as X
 from canopy.functions.parsers import MARKERS, parse_name
-from canopy.functions.vocabulary import RANKS
 from canopy.operators import hierarchy as H
 from canopy.operators import validation as V
 
@@ -38,8 +37,11 @@ RANK_ORDER = {
         "SUBGENUS", "INFRAGENUS", "SUPERSUPERSPECIES", "SUPERSPECIES", "SUBSUPERSPECIES", "SPECIES", "SUBSPECIES",
     ],
 }
-#: Every rank above the genera of some code.
-SUPRAGENERIC = sorted({*RANKS["higher"], *RANKS["family"], *(r for order in RANK_ORDER.values() for r in order[: order.index("GENUS")])} - {"SUPERGENUS"})
+#: Ranks above the genera that a name of one word is asked for.
+SUPRAGENERIC = [
+    "FAMILY", "SUPERFAMILY", "SUBFAMILY", "ORDER", "SUPERORDER", "SUBORDER", "INFRAORDER", "CLASS", "SUPERCLASS", "SUBCLASS", "PHYLUM", "SUPERPHYLUM", "SUBPHYLUM",
+    "KINGDOM", "SUBKINGDOM", "SUPERKINGDOM", "DOMAIN",
+]
 MARKER_OF = {"SUBSPECIES": ["subsp.", "ssp."], "VARIETY": ["var."], "SUBVARIETY": ["subvar."], "FORM": ["f."], "SUBFORM": ["subf."]}
 FIRST_YEAR, LAST_YEAR = 1753, 2100
 SHARED_REFERENCE = {"BASIONYM": "subsequent_combination_shares_reference", "REPLACEMENT_NAME": "replacement_name_shares_reference", "SPELLING_CORRECTION": "spelling_correction_shares_reference"}

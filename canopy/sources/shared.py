@@ -47,16 +47,34 @@ def folder(spark: SparkSession, purpose: str) -> str:
 
 
 def create(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a small file that isn't there yet; False, and nothing is changed, if it is."""
+    """Write a small file that isn't there yet; False, and nothing is changed, if it is.
+
+    The text is written to a draft beside it and published in one step that doesn't
+    replace: a hard link on local file systems, else a rename.  So a reader sees the
+    whole file or none, and a writer that dies leaves only a draft, which no reader
+    looks at.  HDFS renames so; plain object stores don't, they need a connector whose
+    rename is atomic and refuses a name that exists.
+    """
     system, made = _file(spark, path)
+    jvm, folder, name = spark._jvm, *path.rsplit("/", 1)
+    draft = system.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}.{uuid.uuid4().hex}"))
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
     try:
-        out = system.create(made, False)
+        if system.getScheme() == "file":
+            ends = [jvm.java.io.File(system.makeQualified(x).toUri().getPath()).toPath() for x in (made, draft)]
+            jvm.java.nio.file.Files.createLink(*ends)
+        else:
+            keep = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, system.makeQualified(made), keep)
     except Py4JJavaError as error:
         if system.exists(made):
             return False
         raise error
-    out.write(bytearray(text.encode()))
-    out.close()
+    finally:
+        if system.exists(draft):
+            system.delete(draft, False)
     return True
 
 
@@ -70,6 +88,7 @@ def read(spark: SparkSession, path: str) -> str:
 
 
 def names(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder, ascending; none if there is no folder."""
+    """Names in a folder, ascending, without drafts; none if there is no folder."""
     system, made = _file(spark, path)
-    return sorted(s.getPath().getName() for s in system.listStatus(made)) if system.exists(made) else []
+    found = sorted(s.getPath().getName() for s in system.listStatus(made)) if system.exists(made) else []
+    return [n for n in found if not n.startswith(".")]

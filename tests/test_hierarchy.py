@@ -1,6 +1,7 @@
 """The demonstration tree: order, ancestors, moves, deletes, cycles."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from canopy.operators import hierarchy as H
 
@@ -60,6 +61,20 @@ def test_cyclic_data_ends(spark):
     assert {(r["id"], r["ancestor"]) for r in H.closure(tree).collect()} == {("a", "c"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "a"), ("d", "a"), ("d", "c"), ("d", "b")}
 
 
+def chain(name, n, top=None):
+    return [(f"{name}{i}", f"{name}{i + 1}" if i + 1 < n else top) for i in range(n)]
+
+
+def test_only_cycles_are_cycles(spark):
+    """Chains of any length lie on none, and tails into a cycle don't either."""
+    edges = [e for n in range(1, 41) for e in chain(f"c{n}_", n)]
+    edges += chain("ring", 7, "ring0") + chain("pair", 2, "pair0") + [("self", "self")] + chain("tail", 23, "ring3") + chain("twig", 5, "tail9") + chain("to_self", 9, "self") + chain("lost", 12, "nowhere")
+    tree = spark.createDataFrame([(i, p, None, i, "") for i, p in edges], TREE)
+    assert set(ids(H.cycle_nodes(tree))) == {*(f"ring{i}" for i in range(7)), "pair0", "pair1", "self"}
+    for n in (1, 2, 3, 4, 5, 10, 40):
+        assert ids(H.cycle_nodes(tree.where(F.col("id").startswith(f"c{n}_")))) == []
+
+
 def test_empty_tree(spark):
     tree = spark.createDataFrame([], TREE)
     assert H.closure(tree).collect() == H.cycle_nodes(tree).collect() == H.children(tree).collect() == []

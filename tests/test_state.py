@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.operators import edits
 from canopy.operators import validation as V
+from canopy.sources import shared
 from canopy.streaming import changes
 
 
@@ -97,3 +98,23 @@ def test_a_field_can_be_emptied(spark, tmp_path):
     store.commit(change(spark, 1, None).withColumn("fields", F.array(F.lit("name"))), "me", "2")
     store.commit(change(spark, 2, None), "me", "3")
     assert {r["id"]: r["name"] for r in store.read().collect()} == {1: None, 2: "b"}
+
+
+def test_a_begun_file_blocks_nobody(spark, tmp_path):
+    """A writer that dies before it publishes leaves a draft; readers and writers go on."""
+    store = table(spark, tmp_path)
+    (tmp_path / "t" / "log" / ".000000000001.json.dead").write_text("")
+    assert store.versions() == [0]
+    assert {r["outcome"] for r in store.commit(spark.createDataFrame([(1, "update", "z", "1")], "id int, op string, name string, expected string"), "me", "2").collect()} == {"applied"}
+    assert store.versions() == [0, 1] and store.read().where("id = 1").first()["name"] == "z"
+
+
+def test_one_of_many_writers_creates_a_file(spark, tmp_path):
+    won, path = [], f"file://{tmp_path}/one/file.json"
+    writers = [threading.Thread(target=lambda i=i: won.append((shared.create(spark, path, str(i)), i))) for i in range(8)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert [str(i) for ok, i in won if ok] == [shared.read(spark, path)]
+    assert [x.name for x in (tmp_path / "one").iterdir()] == ["file.json"]
