@@ -10,6 +10,7 @@ from canopy.llm.quality import op5_quality_cnn
 from canopy.llm.rollup import op7_token_rollup
 from canopy.llm.simhash import op1_simhash_groups
 from canopy.llm.sketch import op4_scaled_sketch
+from canopy.llm.spelling import op11_spelling_variants
 from canopy.llm.toxicity import op10_toxicity_bigru
 from canopy.llm.urls import op9_url_association_rules
 from canopy.llm.wavelet import op8_wavelet_shards
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_url_association_rules": op9_url_association_rules,
     "op10_toxicity_bigru": op10_toxicity_bigru,
+    "op11_spelling_variants": op11_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
