@@ -6,7 +6,9 @@ import corpus_pipeline
 from canopy.llm.bpe import op2_bpe_roundtrip
 from canopy.llm.media import op3_iso_media
 from canopy.llm.packing import op6_cost_balanced_packing
+from canopy.llm.pii import op13_pii_spans
 from canopy.llm.quality import op5_quality_cnn
+from canopy.llm.repair import op12_conversation_repair
 from canopy.llm.rollup import op7_token_rollup
 from canopy.llm.simhash import op1_simhash_groups
 from canopy.llm.sketch import op4_scaled_sketch
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_url_association_rules": op9_url_association_rules,
     "op10_toxicity_bigru": op10_toxicity_bigru,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_pii_spans": op13_pii_spans,
     "pipeline": corpus_pipeline.run,
 }
 
