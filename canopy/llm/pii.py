@@ -300,13 +300,17 @@ def lesson(dice: np.random.Generator, pieces: list[str], n: int) -> tuple[np.nda
 
 
 def sample(docs: DataFrame, pieces: int = PIECES) -> list[str]:
-    """Distinct pieces of texts, chosen by a hash; only this bounded sample comes to the driver."""
-    rows = docs.where("text <> ''").select("text", F.xxhash64("doc_id", "text").alias("h"), F.char_length("text").alias("n"))
-    anywhere = rows.select("h", F.substr("text", (F.pmod("h", "n") + 1).cast("int"), F.lit(LENGTH)).alias("piece"))
-    sign = F.regexp_instr("text", F.lit("[0-9@]"))
-    around = rows.where("text rlike '[0-9@]'").select("h", F.substr("text", F.greatest(F.lit(1), sign - LENGTH // 2), F.lit(LENGTH)).alias("piece"))
-    found = [r["piece"] for df in (anywhere, around) for r in df.orderBy("h", "piece").limit(pieces).collect()]
-    return sorted(set(found))
+    """Distinct pieces of texts, about ``pieces`` from anywhere and as many around a digit or an at sign (all, if there are fewer).
+
+    Rows are taken by a hash below the share that is wanted, so only this bounded sample comes to the driver.
+    """
+    rows = docs.where("text <> ''").select("text", F.xxhash64("doc_id", "text").alias("h"), F.char_length("text").alias("n"), F.expr("text rlike '[0-9@]'").alias("signed"))
+    counts = rows.agg(F.count("*").alias("all"), F.count_if("signed").alias("signed")).first()
+    chance = F.pmod(F.col("h"), F.lit(1_000_003)) / 1_000_003
+    anywhere = rows.where(chance < pieces / max(1, counts["all"])).select(F.substr("text", (F.pmod("h", "n") + 1).cast("int"), F.lit(LENGTH)).alias("piece"))
+    at = F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9@]")) - LENGTH // 2)
+    around = rows.where("signed").where(chance < pieces / max(1, counts["signed"])).select(F.substr("text", at, F.lit(LENGTH)).alias("piece"))
+    return sorted({r["piece"] for r in anywhere.union(around).collect()})
 
 
 def train(pieces: list[str], steps: int = STEPS, seed: int = 13) -> Network:
