@@ -110,22 +110,39 @@ def bm25(terms: DataFrame, lengths: DataFrame, prefixes: list[str]) -> DataFrame
     return _weighed(hits.groupBy("prefix", "id").agg(F.sum("tf").alias("tf")), lengths, len(some))
 
 
+def all_trigrams(text: Column) -> Column:
+    """Every trigram of a lower-cased text, repeats included."""
+    lower = F.lower(text)
+    windows = F.transform(F.sequence(F.lit(1), F.char_length(lower) - 2), lambda i: F.substring(lower, i, F.lit(3)))
+    return F.when(F.char_length(lower) >= 3, windows).otherwise(F.array().cast("array<string>"))
+
+
+def grams_of(query: str) -> list[str]:
+    """``query_trigrams`` of a constant query."""
+    lower = query.lower()
+    grams = list(dict.fromkeys(lower[i : i + 3] for i in range(len(lower) - 2)))
+    return grams if len(grams) <= HEAD + TAIL else list(dict.fromkeys(grams[:HEAD] + grams[-TAIL:]))
+
+
 def trigram_bm25(docs: DataFrame, id_col: str, text: Column, query: Column) -> DataFrame:
     """(id, score) of texts that share a trigram with a constant query, by the BM25 of what they share."""
-    lower = F.lower(text)
-    windows = F.when(F.char_length(lower) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(lower) - 2), lambda i: F.substring(lower, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.col(id_col).alias("id"), windows.alias("grams"))
+    rows = docs.select(F.col(id_col).alias("id"), all_trigrams(text).alias("grams"))
     shared = rows.select("id", F.explode(F.filter("grams", lambda g: F.array_contains(query_trigrams(query), g))).alias("prefix"))
     return _weighed(shared.groupBy("prefix", "id").agg(F.count("*").alias("tf")), rows.select("id", F.size("grams").cast("long").alias("length")), 1)
 
 
 def _weighed(per: DataFrame, lengths: DataFrame, least: int) -> DataFrame:
     """BM25 of texts from (prefix, id, tf), for those with ``least`` of the prefixes or more."""
-    texts, mean = lengths.agg(F.count("*"), F.avg("length")).first()  # two numbers
-    df = per.groupBy("prefix").agg(F.count("*").alias("df"))  # one row per prefix
-    full = per.join(F.broadcast(df), "prefix").join(lengths, "id")
+    stats = lengths.agg(F.struct(F.count("*").alias("texts"), F.avg("length").alias("mean"))).scalar()
+    return bm25_score(per.join(lengths, "id"), stats["texts"], F.coalesce(stats["mean"], F.lit(1.0)), least)
+
+
+def bm25_score(hits: DataFrame, texts: Column, mean: Column, least: int) -> DataFrame:
+    """(id, score), higher is better and rounded to six digits, of hits (prefix, id, tf, length) with ``least`` of the prefixes or more."""
+    df = hits.groupBy("prefix").agg(F.count("*").alias("df"))  # one row per prefix
+    full = hits.join(F.broadcast(df), "prefix")
     idf = F.log(F.lit(1.0) + (texts - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     score = full.groupBy("id").agg(F.count("*").alias("_found"), F.sum(idf * weight).alias("score"))
     return score.where(F.col("_found") >= least).select("id", F.round("score", 6).alias("score"))
 
@@ -155,16 +172,21 @@ def fuzzy_hits(names: DataFrame, queries: DataFrame, least: int = 1) -> DataFram
 
 
 def rerank_score(query: Column, matched: Column, is_synonym: Column, fuzzy: bool, authorship: Column | None = None, author: Column | None = None) -> Column:
-    """Composite score of a hit, as double; case of the query decides which of the two shape bonuses applies.
+    """Composite score of a hit, as double.
 
-    A hit whose ``authorship`` starts with the ``author`` asked for gets a bonus.
+    A query that begins with a capital prefers hits with the same first letter, one
+    without any capital those whose last word it begins; a query with capitals further
+    on prefers neither.  A hit whose ``authorship`` starts with the ``author`` asked for
+    gets a bonus.
     """
     q, m = F.lower(query), F.lower(matched)
     first = F.substring(query, 1, 1)
-    last = F.element_at(F.split(m, " "), -1)
-    upper = (first != F.lower(first)) & F.substring(matched, 1, 1).eqNullSafe(first)
-    shape = F.when(first != F.lower(first), F.when(upper, 4.0).otherwise(0.0)).otherwise(
-        F.when(last == q, 9.0).when(last.startswith(q), 6.0).otherwise(0.0)
+    last = F.element_at(F.split(F.trim(m), "\\s+"), -1)
+    capital = first.rlike("^\\p{Lu}")
+    shape = (
+        F.when(capital, F.when(F.substring(matched, 1, 1).eqNullSafe(first), 4.0).otherwise(0.0))
+        .when(query == q, F.when(last == q, 9.0).when(last.startswith(q), 6.0).otherwise(0.0))
+        .otherwise(0.0)
     )
     a, b = F.octet_length(q), F.octet_length(m)
     score = F.when(m.startswith(q), 8.0).otherwise(0.0) + shape + 4.0 * F.least(a, b) / F.greatest(a, b, F.lit(1)) - F.when(is_synonym, 2.0).otherwise(0.0)
@@ -182,13 +204,34 @@ def with_context(hits: DataFrame, tree: DataFrame) -> DataFrame:
     return named.join(parents, F.col("taxon_id") == F.col("_p"), "left").withColumn("has_children", F.col("_p").isNotNull()).drop("_p")
 
 
-def search(names: DataFrame, aliases: DataFrame, query: str, mode: str = "prefix", include_synonyms: bool = True, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def search_pool(names: DataFrame, aliases: DataFrame, include_synonyms: bool = True) -> DataFrame:
+    """What partial and fuzzy searches look through: distinct rows (taxon_id, canonical, …, is_synonym), and all of them as ``id``."""
+    written = [c for c in ("scientific_name", "authorship") if c in names.columns]
+    pool = names.select(F.col("id").alias("taxon_id"), "canonical", *written, F.lit(False).alias("is_synonym"))
+    if include_synonyms:
+        others = aliases.select("taxon_id", "canonical", *[c for c in written if c in aliases.columns], F.lit(True).alias("is_synonym"))
+        pool = pool.unionByName(others, allowMissingColumns=True)
+    return pool.distinct().withColumn("id", F.struct("taxon_id", "canonical", *written, "is_synonym"))
+
+
+def pool_text(pool: DataFrame, mode: str) -> Column:
+    """The text that a mode searches: names and authorships without accents, or the canonical name."""
+    if mode == "fuzzy":
+        return F.col("canonical")
+    return fold(F.concat_ws(" ", "canonical", *[c for c in ("scientific_name", "authorship") if c in pool.columns]))
+
+
+def search(names: DataFrame, aliases: DataFrame, query: str, mode: str = "prefix", include_synonyms: bool = True, limit: int = DEFAULT_LIMIT, index=None, tree: DataFrame | None = None) -> DataFrame:
     """Rows (taxon_id, matched_name, is_synonym, score), best first.
 
     Partial and fuzzy hits are found by BM25 over the whole pool, one per taxon; the
-    best of them, ten times the limit or 100, are ranked again by ``rerank_score``.
-    Partial tokens may stand in the canonical or the scientific name or the
-    authorship, in any order and with or without accents.
+    best of them, ten times the limit or 100, are ranked again by ``rerank_score``; a
+    single hit isn't scored.  Partial tokens may stand in the canonical or the
+    scientific name or the authorship, in any order and with or without accents.
+
+    With ``index``, a ``TextIndex`` of the pool's ``id`` and ``pool_text`` (of trigrams in
+    the fuzzy mode), only its postings are read; the index of a pool with aliases serves
+    searches with aliases.  With ``tree`` the hits of the final cut get their context.
     """
     given = query
     if mode not in MODES:
@@ -198,25 +241,23 @@ def search(names: DataFrame, aliases: DataFrame, query: str, mode: str = "prefix
     if mode != "prefix":
         query = strip_authorship(query)
     if mode == "prefix":
-        hits = resolve(names, aliases if include_synonyms else aliases.limit(0), query, limit)
-        return hits.withColumn("score", F.lit(0.0))
-    written = [c for c in ("scientific_name", "authorship") if c in names.columns]
-    pool = names.select(F.col("id").alias("taxon_id"), "canonical", *written, F.lit(False).alias("is_synonym"))
-    if include_synonyms:
-        others = aliases.select("taxon_id", "canonical", *[c for c in written if c in aliases.columns], F.lit(True).alias("is_synonym"))
-        pool = pool.unionByName(others, allowMissingColumns=True)
-    pool = pool.distinct().withColumn("id", F.struct("taxon_id", "canonical", *written, "is_synonym"))
+        hits = resolve(names, aliases if include_synonyms else aliases.limit(0), query, limit).withColumn("score", F.lit(0.0))
+        return hits if tree is None else with_context(hits, tree)
+    pool = search_pool(names, aliases, include_synonyms)
     if mode == "partial":
         wanted = [w for w in re.split(r"[^\w]+|_", unaccented(query).lower()) if w]
         if not wanted:
             return pool.limit(0).select("taxon_id", F.col("canonical").alias("matched_name"), "is_synonym", F.lit(0.0).alias("score"))
-        found = bm25(*postings(pool, "id", fold(F.concat_ws(" ", "canonical", *written)), wanted), wanted)
+        found = index.bm25(wanted) if index else bm25(*postings(pool, "id", pool_text(pool, mode), wanted), wanted)
     else:
-        found = trigram_bm25(pool, "id", F.col("canonical"), F.lit(query))
+        found = index.search_grams(query) if index else trigram_bm25(pool, "id", pool_text(pool, mode), F.lit(query))
     hits = found.select("id.*", F.col("score").alias("_bm25"))
     best = Window.partitionBy("taxon_id").orderBy("is_synonym", F.desc("_bm25"), "canonical")
     hits = hits.withColumn("_n", F.row_number().over(best)).where("_n = 1")
     hits = hits.orderBy(F.desc("_bm25"), "canonical", "taxon_id").limit(max(10 * limit, 100))
-    author = F.lit(authorship_of(given)) if "authorship" in written else None
+    author = F.lit(authorship_of(given)) if "authorship" in pool.columns else None
     score = rerank_score(F.lit(query), F.col("canonical"), F.col("is_synonym"), mode == "fuzzy", F.col("authorship") if author is not None else None, author)
-    return hits.select("taxon_id", F.col("canonical").alias("matched_name"), "is_synonym", score.alias("score")).orderBy(F.desc("score"), "matched_name", "taxon_id").limit(limit)
+    several = F.count("*").over(Window.partitionBy(F.lit(0))) > 1  # over the few rows of the cut
+    hits = hits.select("taxon_id", F.col("canonical").alias("matched_name"), "is_synonym", F.when(several, score).otherwise(0.0).alias("score"))
+    hits = hits.orderBy(F.desc("score"), "matched_name", "taxon_id").limit(limit)
+    return hits if tree is None else with_context(hits, tree)

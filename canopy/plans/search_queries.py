@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopy.operators import search as S
+from canopy.operators.text_index import TextIndex
+from canopy.sources import shared
 from canopy.sources.archive import Archive
 
 NAMES = "names AS (SELECT 'P' || p_partkey AS id, p_name AS canonical, p_brand AS authorship FROM part)"
@@ -40,8 +42,23 @@ def synonym_resolution(spark, sf_dir):
 
 
 def partial_tokens(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    return S.bm25(*S.postings(docs, "doc_id", F.col("text"), ["thea", "ing"]), ["thea", "ing"])
+    """From the stored index of all texts, which the first search builds."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return TextIndex.stored(spark, "documents", docs, "doc_id", F.col("text")).bm25(["thea", "ing"])
+
+
+def index_edits(spark, sf_dir):
+    """A stored index after batches of edits: texts deleted, replaced by those of customers' comments and added, merged between them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    comments = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
+    index = TextIndex.build(spark, shared.folder(spark, "index"), docs, "doc_id", F.col("text"))
+    gone = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text"))
+    index.apply(gone, "edits", 1)
+    index.apply(docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" customer thing")).alias("text")), "edits", 2)
+    index.merge()
+    index.apply(comments.select((-1 - F.col("id")).alias("id"), "text"), "edits", 3)
+    index.apply(gone, "edits", 3)  # a replay: nothing changes
+    return index.bm25(["cust", "thing"], least=1)
 
 
 def fuzzy_trigram(spark, sf_dir):
@@ -68,7 +85,9 @@ def _composite(query, mode):
         names = part.select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("canonical"), F.col("p_brand").alias("authorship"))
         alias = supplier.select(F.concat(F.lit("A"), "s_suppkey").alias("alias_id"), F.explode(F.array("s_suppkey", F.col("s_suppkey") + 7)).alias("_key"), F.concat(F.lit("old "), F.col("s_name")).alias("canonical"))
         alias = alias.select("alias_id", F.concat(F.lit("P"), "_key").alias("taxon_id"), "canonical")
-        return S.search(names, alias, query, mode).withColumn("score", F.round("score", 6))
+        pool = S.search_pool(names, alias)
+        index = TextIndex.stored(spark, f"parts-{mode}", pool, "id", S.pool_text(pool, mode), "words" if mode == "partial" else "grams")
+        return S.search(names, alias, query, mode, index=index).withColumn("score", F.round("score", 6))
 
     wanted = mode == "partial"
     terms = query.split() if wanted else list(dict.fromkeys(query[i : i + 3] for i in range(len(query) - 2)))
@@ -113,6 +132,17 @@ QUERIES = {
             SELECT id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 6) AS score
             FROM h JOIN d USING (prefix), c GROUP BY id HAVING count(*) = 2""",
     ),
+    "search_index_edits": (
+        index_edits,
+        r"""WITH texts AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN text || ' customer thing' ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 = 0
+              UNION ALL SELECT -1 - c_custkey, c_name || ' ' || c_mktsegment FROM customer),
+            words AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM texts WHERE text IS NOT NULL),
+            c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words), t AS (SELECT id, len(w) AS l, unnest(w) AS term FROM words),
+            h AS (SELECT p.prefix, id, any_value(l) AS l, count(*) AS tf FROM t JOIN (VALUES ('cust'), ('thing')) p(prefix) ON starts_with(term, p.prefix) GROUP BY p.prefix, id),
+            d AS (SELECT prefix, count(*) AS df FROM h GROUP BY prefix)
+            SELECT id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 6) AS score
+            FROM h JOIN d USING (prefix), c GROUP BY id""",
+    ),
     "search_fuzzy_trigram": (
         fuzzy_trigram,
         f"""WITH {NAMES}, g AS (SELECT id, canonical, unnest({GRAMS.format('canonical')}) AS gram FROM names),

@@ -92,3 +92,10 @@ def names(spark: SparkSession, path: str) -> list[str]:
     system, made = _file(spark, path)
     found = sorted(s.getPath().getName() for s in system.listStatus(made)) if system.exists(made) else []
     return [n for n in found if not n.startswith(".")]
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Length and time of change of a file."""
+    system, made = _file(spark, path)
+    status = system.getFileStatus(made)
+    return status.getLen(), status.getModificationTime()

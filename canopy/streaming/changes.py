@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from canopy.operators.search import tokens
+from canopy.operators.text_index import TextIndex
 
 
 def changes(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -55,6 +56,15 @@ def index_changes(stream: DataFrame, id_col: str, text_col: str, folder: str, ch
     return _run(stream, folder, postings, checkpoint, trigger or {"availableNow": True})
 
 
+def index_texts(stream: DataFrame, index: TextIndex, id_col: str, text_col: str, name: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Add each batch of new texts (null: deleted) to a stored index; a batch that is replayed counts once."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        index.apply(batch.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), name, number)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def current_postings(spark: SparkSession, folder: str) -> DataFrame:
     """The postings after all batches."""
     rows = spark.read.schema("term string, id bigint, tf bigint, batch bigint").parquet(folder)
