@@ -1,7 +1,7 @@
 """Hierarchy queries over an adjacency list (id, parent_id, ...).
 
 All operators take whole trees.  A parent that is null or empty marks a root.
-Walks stop at a node that is on their path already, so cyclic data terminates.
+Cyclic data terminates; no node is its own ancestor.
 """
 
 from __future__ import annotations
@@ -70,30 +70,61 @@ def children_of_all(tree: DataFrame, parents: DataFrame, limit: int = 100) -> Da
     return with_has_children(some.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit), tree)
 
 
+def _edges(tree: DataFrame) -> DataFrame:
+    """Rows (id, to) from each node to its parent, if that is there and another one."""
+    known = tree.select(F.col("id").alias("to"))
+    return tree.where(~is_root() & (F.col("id") != F.col("parent_id"))).select("id", F.col("parent_id").alias("to")).join(known, "to", "left_semi").select("id", "to")
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    return jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"))
+
+
 def closure(tree: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """All pairs (id, ancestor, depth) with depth from 1, for all nodes or those in ``start`` (id).
 
-    One join per level on the parent; each level is materialised, so the plan
-    doesn't grow.  An ancestor that is on the path already ends the walk.
+    Steps are doubled: pairs of up to 2**k levels and the step of 2**k levels give those
+    of up to 2**(k + 1), each once, so a tree of depth d takes some log2(d) joins.  Only
+    rows that lead into a cycle can come again; they are told by a round in which no
+    step ends, and from then on each pair is kept with its least depth.  A node is no
+    ancestor of its own.
     """
-    edges = tree.where(~is_root()).select(F.col("id").alias("_child"), F.col("parent_id").alias("_parent"))
-    first = edges if start is None else edges.join(start.select(F.col("id").alias("_child")), "_child", "left_semi")
-    front = first.where("_child <> _parent").select(F.col("_child").alias("id"), F.col("_parent").alias("ancestor"), F.lit(1).alias("depth"), F.array("_child", "_parent").alias("path"))
-    made = None
-    while True:
-        front = materialise(front)
-        if front.isEmpty():
+    jump = materialise(_edges(tree))
+    if start is not None:
+        return _lines(jump, start)
+    pairs, step, left, cyclic = jump.select("id", F.col("to").alias("ancestor"), F.lit(1).alias("depth")), 1, jump.count(), False
+    known = 0
+    while left:
+        ahead = jump.join(pairs.select(F.col("id").alias("to"), "ancestor", (F.col("depth") + step).alias("depth")), "to").select("id", "ancestor", "depth")
+        pairs = pairs.union(jump.select("id", F.col("to").alias("ancestor"), F.lit(step).alias("depth"))) if step > 1 and cyclic else pairs
+        pairs = pairs.union(ahead)
+        if cyclic:
+            pairs = pairs.where("id <> ancestor").groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
+        pairs, jump, step = materialise(pairs), materialise(_doubled(jump)), step * 2
+        before, left = left, jump.count()
+        if left == before and left:
+            now = pairs.join(jump.select("id"), "id", "left_semi").select("id", "ancestor").distinct().count()
+            if cyclic and now == known:
+                break
+            cyclic, known = True, now
+    return pairs.select("id", "ancestor", "depth")
+
+
+def _lines(jump: DataFrame, start: DataFrame) -> DataFrame:
+    """Pairs of the nodes of ``start`` alone: steps of all lengths, the longest taken first."""
+    jumps, left = [], jump.count()
+    while left:
+        jumps.append(jump)
+        jump = materialise(_doubled(jump))
+        before, left = left, jump.count()
+        if left == before and 2 ** len(jumps) > left:  # all that is left leads into a cycle and has been around it
             break
-        made = front.drop("path") if made is None else made.union(front.drop("path"))
-        front = (
-            front.join(edges, front["ancestor"] == edges["_child"])
-            .where(~F.array_contains("path", F.col("_parent")))
-            .select("id", F.col("_parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("_parent")).alias("path"))
-        )
-    if made is None:
-        return front.drop("path").select("id", "ancestor", "depth")
-    known = tree.select(F.col("id").alias("ancestor"))
-    return made.join(known, "ancestor", "left_semi").select("id", "ancestor", "depth")  # parents that don't exist aren't ancestors
+    some = start.select("id").distinct()
+    pairs = some.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    for k in reversed(range(len(jumps))):
+        ahead = pairs.join(jumps[k].select(F.col("id").alias("ancestor"), "to"), "ancestor").select("id", F.col("to").alias("ancestor"), (F.col("depth") + 2**k).alias("depth"))
+        pairs = materialise(pairs.union(ahead))
+    return pairs.where("id <> ancestor").groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def classification(tree: DataFrame, pairs: DataFrame) -> DataFrame:
