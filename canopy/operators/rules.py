@@ -124,31 +124,39 @@ def _named(taxon: DataFrame, name: DataFrame) -> DataFrame:
     return taxon.select("id", "parent_id", "name_id").join(facts, "name_id", "left")
 
 
-def taxon_violations(taxon: DataFrame, name: DataFrame) -> DataFrame:
-    """All rules about a taxon's place in the tree; one closure serves them all."""
-    nodes = _named(taxon, name)
-    pairs = H.closure(taxon)
+def taxon_violations(taxon: DataFrame, name: DataFrame, pairs: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """All rules about a taxon's place in the tree; one closure (``pairs``, if it is kept) serves them all.
+
+    With ``only`` (id) just these taxa are validated, against the whole tree.
+    """
+    everything, whole = taxon, _named(taxon, name)
+    pairs = H.closure(taxon) if pairs is None else pairs
+    some = (lambda df: df) if only is None else (lambda df: df.join(only, "id", "left_semi"))
+    taxon, nodes, pairs_of = some(taxon), some(whole), pairs
+    pairs = some(pairs)
     hit = lambda rows, rule, field="parent_id", severity="warn": V.violation(rows, "taxon", "id", rule, field, severity)
-    up = nodes.select(F.col("id").alias("parent_id"), F.col("rank").alias("parent_rank"))
+    up = whole.select(F.col("id").alias("parent_id"), F.col("rank").alias("parent_rank"))
     with_parent = nodes.join(up, "parent_id")
     low = high = F.lit(0)
     for code, order in RANK_ORDER.items():
         ranks = F.array(*map(F.lit, order))
         low = F.when(F.col("code") == code, F.array_position(ranks, F.col("rank"))).otherwise(low)
         high = F.when(F.col("code") == code, F.array_position(ranks, F.col("parent_rank"))).otherwise(high)
-    genera = nodes.where(F.col("rank").isin(GENUS_RANKS))
+    genera = whole.where(F.col("rank").isin(GENUS_RANKS))
     species = nodes.where("rank = 'SPECIES'")
-    near = H.nearest_ancestor(pairs, nodes.where("rank = 'GENUS'").select(F.col("id").alias("ancestor"), F.col("year").alias("genus_year")))
+    near = H.nearest_ancestor(pairs, whole.where("rank = 'GENUS'").select(F.col("id").alias("ancestor"), F.col("year").alias("genus_year")))
     early = species.join(near, "id").where("try_cast(year AS int) < try_cast(genus_year AS int)")
     incertae = with_parent.where((F.col("code") == "ZOOLOGICAL") & (F.col("rank") == "SPECIES") & ~X.text(F.col("parent_rank")).isin(GENUS_RANKS))
-    cyclic = taxon.join(H.cycle_nodes(taxon), "id", "left_semi")
+    # a node on a cycle is an ancestor of its parent, or its own parent
+    around = pairs_of.select(F.col("id").alias("parent_id"), F.col("ancestor").alias("id"))
+    cyclic = taxon.join(around, ["parent_id", "id"], "left_semi").select(*taxon.columns).unionByName(taxon.where("id = parent_id"))
     return (
         hit(V.ancestor_missing(species, pairs, genera), "parent_genus_missing")
-        .unionByName(hit(V.ancestor_missing(nodes.where(F.col("rank").isin(BELOW_SPECIES)), pairs, species), "parent_species_missing"))
+        .unionByName(hit(V.ancestor_missing(nodes.where(F.col("rank").isin(BELOW_SPECIES)), pairs, whole.where("rank = 'SPECIES'")), "parent_species_missing"))
         .unionByName(hit(with_parent.where((low > 0) & (high > 0) & (high >= low)), "classification_rank_order_invalid"))
         .unionByName(hit(early, "published_before_genus", "year"))
         .unionByName(hit(incertae, "probable_incertae_sedis", severity="info"))
-        .unionByName(hit(V.foreign_key(taxon, "parent_id", taxon, "id"), "taxon_parent_exists", severity="error"))
+        .unionByName(hit(V.foreign_key(taxon, "parent_id", everything, "id"), "taxon_parent_exists", severity="error"))
         .unionByName(hit(cyclic, "taxon_parent_cycle", severity="error"))
     )
 
