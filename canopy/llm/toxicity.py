@@ -5,8 +5,10 @@ vectors of its character n-grams (3 to 5, with word borders), both by hashing.
 Every pre-token but white space is a word: letters, numbers, marks and signs.
 One of more than 24 bytes is a word for each of its overlapping pieces.
 Windows of 32 words, each overlapping the next by 8, cover the whole text; a
-window's states in both directions are pooled by attention to one logit, and the highest
-logits of all windows give the text's probability.
+window's states in both directions are pooled by attention to one logit.  The highest
+logits of all windows, and past the recurrent layers the highest log odds of a single
+word, give the text's probability; their weights are fitted on texts that the network
+hasn't learned from, so where few labels are known the words' odds count for more.
 
 Null texts and texts without words get the score of an empty window.  Without
 labelled rows every score is 0.
@@ -27,9 +29,9 @@ from canopy.llm.common import blank_null, chunks, release, table
 WINDOW, STRIDE = 32, 24
 SIZE, STATE = 8, 8
 SIZES = (3, 4, 5)
-#: Buckets that n-grams are hashed to; training texts that a word and an n-gram must be in to get a vector.
+#: Buckets that n-grams are hashed to; the share of the rarer label's training texts that a word and an n-gram must be in to get a vector (two texts at least).
 BUCKETS = 1 << 20
-WORD_TEXTS, GRAM_TEXTS = 12, 15
+WORD_SHARE, GRAM_SHARE = 0.03, 0.04
 #: Bytes of a word at most, and from one piece of a longer pre-token to the next: any 13 bytes of it are in one piece.
 WORD_BYTES, PIECE_STEP = 24, 12
 #: Texts of average toxicity that are added to the counts of each word and n-gram.
@@ -94,7 +96,8 @@ class Features:
         total = np.bincount(pairs[:, 0], minlength=len(words))
         bad = np.bincount(pairs[toxic, 0], minlength=len(words))
         rate = shrunk(bad, total - bad)
-        kept = np.flatnonzero(total >= WORD_TEXTS)
+        rarer = min(labels.sum(), len(labels) - labels.sum())
+        kept = np.flatnonzero(total >= max(2, round(WORD_SHARE * rarer)))
         table_ = {words[k]: n + 1 for n, k in enumerate(kept)}
         pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
         counts = np.zeros((2, BUCKETS), np.int64)
@@ -105,7 +108,7 @@ class Features:
             for y in (0, 1):
                 counts[y] += np.bincount(both[labels[both // BUCKETS] == y] % BUCKETS, minlength=BUCKETS)
         gram_total, gram_rate = counts.sum(axis=0), shrunk(counts[1], counts[0])
-        good = np.flatnonzero(gram_total >= GRAM_TEXTS)
+        good = np.flatnonzero(gram_total >= max(2, round(GRAM_SHARE * rarer)))
         grams = np.zeros(BUCKETS, np.int32)
         grams[good] = np.arange(1, len(good) + 1)
         return cls(table_, grams), np.append(0, rate[kept]).astype(np.float32), np.append(0, gram_rate[good]).astype(np.float32)
@@ -130,6 +133,7 @@ class Recurrent:
         w = {"word": np.zeros((1, SIZE), np.float32), "gram": np.zeros((1, SIZE), np.float32)}
         for side in "fb":
             w |= {f"in_{side}": draw(SIZE, 3 * STATE, scale=SIZE**-0.5), f"bias_{side}": np.zeros(3 * STATE, np.float32), f"state_{side}": draw(STATE, 3 * STATE, scale=STATE**-0.5)}
+        w["odds"] = np.zeros(1, np.float32)
         w |= {"look": draw(2 * STATE, 2 * STATE, scale=0.25), "pick": draw(2 * STATE, scale=0.25), "out": draw(2 * STATE, scale=0.25), "out_b": np.zeros(1, np.float32)}
         return cls(w, Features({}, np.zeros(BUCKETS, np.int32)))
 
@@ -239,29 +243,38 @@ class Recurrent:
         ``prior`` is the share of toxic texts where the sample comes from.
         """
         if len(labels) < 8 or labels.min() == labels.max():
-            self.w["text"] = np.array([0, 0, 0, -40], np.float32)
+            self.w["text"] = np.array([0] * (TOP + 1) + [-40], np.float32)
             return self
         rest = np.arange(len(labels)) % 4 == 3
         self._fit_windows([t for t, r in zip(texts, rest) if not r], labels[~rest], seed)
         data, ends = pretokens.text_buffers(pa.array([t for t, r in zip(texts, rest) if r]))
         words, index, doc = text_words(data, ends)
         windows, owner = windows_of(index, doc, int(rest.sum()))
-        x = np.append(top_logits(self.logits(self.gates(self.word_vectors(words)), windows), owner, int(rest.sum())), np.ones((int(rest.sum()), 1)), axis=1)
+        top = top_logits(self.logits(self.gates(self.word_vectors(words)), windows), owner, int(rest.sum()))
+        x = np.column_stack([top, self.strongest(words, index, doc, int(rest.sum())), np.ones(int(rest.sum()))])
         y = labels[rest]
         weight = np.where(y == 1, prior / max(y.mean(), 1e-6), (1 - prior) / max(1 - y.mean(), 1e-6))
-        a = np.zeros(TOP + 1)
+        a = np.zeros(TOP + 2)
         for _ in range(50):  # Newton steps of a logistic regression, slightly shrunk
             p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
             slope = x.T @ (weight * (p - y)) + 0.1 * a
-            curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(TOP + 1)
+            curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(TOP + 2)
             a -= np.clip(np.linalg.solve(curve, slope), -2, 2)
         self.w["text"] = a.astype(np.float32)
         return self
 
+    def strongest(self, words: list[bytes], index: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+        """Each text's highest log odds of a word, past the recurrent layers; 0 without any."""
+        row = np.fromiter((self.features.words.get(w, 0) for w in words), np.int64, len(words))
+        out = np.zeros(texts, np.float32)
+        np.maximum.at(out, doc, self.w["odds"][row[index]])
+        return out
+
     def _fit_windows(self, texts: list[str], labels: np.ndarray, seed: int) -> None:
         data, ends = pretokens.text_buffers(pa.array(texts))
         words, index, doc = text_words(data, ends)
         self.features, word_odds, gram_odds = Features.learn(words, index, doc, labels)
+        self.w["odds"] = word_odds.copy()
         random = np.random.default_rng(seed)
         for channel, (name, odds) in enumerate((("word", word_odds), ("gram", gram_odds))):
             self.w[name] = (random.standard_normal((len(odds), SIZE)) * 0.05).astype(np.float32)
@@ -371,7 +384,8 @@ class Scorer:
         windows, owner = windows_of(index, doc, texts)
         top = top_logits(self.model.logits(gates, windows), owner, texts)
         weights = self.model.w["text"]
-        return learn.sigmoid((top * weights[:TOP]).sum(axis=1) + weights[TOP])
+        strongest = self.model.strongest(words, index, doc, texts)
+        return learn.sigmoid((top * weights[:TOP]).sum(axis=1) + weights[TOP] * strongest + weights[TOP + 1])
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = MODULUS, held: int = HELD) -> Recurrent:
