@@ -156,8 +156,13 @@ def _spread(values: np.ndarray, times: np.ndarray, most: int) -> np.ndarray:
     return np.repeat(values, np.diff(upto, prepend=0))
 
 
-def tracks(data: bytes) -> list[Track]:
-    """All tracks of a container with their samples' byte offsets, sizes and times; 0-based key frames."""
+def tracks(data: bytes) -> Iterator[Track]:
+    """The tracks of a container one by one, with their samples' byte offsets, sizes and times; 0-based key frames.
+
+    All tracks together have no more samples than the file has bytes (or ``FEW_SAMPLES``),
+    so a file with many tracks costs no more memory than one with one.  Sample tables
+    in compact form and those of movie fragments aren't read: such tracks have no samples.
+    """
     found: list[dict] = []
     for path, at, stop in boxes(data):
         kind = path[-1]
@@ -165,7 +170,7 @@ def tracks(data: bytes) -> list[Track]:
             found.append({})
         elif found and path[:2] == (b"moov", b"trak"):
             found[-1][kind] = (at, stop)
-    out = []
+    left = max(len(data), FEW_SAMPLES)
     for parts in found:
         track = Track()
         if b"mdhd" in parts:
@@ -180,12 +185,13 @@ def tracks(data: bytes) -> list[Track]:
             if stop >= at + 44:
                 track.width, track.height = struct.unpack_from(">HH", data, at + 40)
         if not all(k in parts for k in (b"stsz", b"stsc", b"stts")) or not (b"stco" in parts or b"co64" in parts):
-            out.append(track)
+            yield track
             continue
         at, stop = parts[b"stsz"]
         one, n = struct.unpack_from(">II", data, at + 4)
-        if n > max(len(data), FEW_SAMPLES):
+        if n > left:
             raise ValueError("more samples than bytes")
+        left -= n
         sizes = np.full(n, one, np.int64) if one else _numbers(data, at + 8, stop, 1)[:, 0]
         at, stop = parts[b"stsc"]
         runs = _numbers(data, at + 4, stop, 3)
@@ -210,13 +216,12 @@ def tracks(data: bytes) -> list[Track]:
             track.keys = keys[(keys >= 0) & (keys < len(sizes))]
         else:
             track.keys = np.arange(len(sizes))
-        out.append(track)
-    return out
+        yield track
 
 
 def read_back(data: bytes) -> bytes:
     """The samples of the first track, in order."""
-    track = tracks(data)[0]
+    track = next(tracks(data))
     joins = np.flatnonzero(track.offsets[1:] != track.offsets[:-1] + track.sizes[:-1]) + 1
     first = np.concatenate([[0], joins]).astype(int)
     last = np.concatenate([joins, [len(track.sizes)]]).astype(int) - 1
@@ -238,7 +243,7 @@ def describe(media: DataFrame, media_col: str = "media") -> DataFrame:
                 got = None
                 if value.is_valid:
                     try:
-                        got = next(iter(tracks(value.as_buffer().to_pybytes())), None)
+                        got = next(tracks(value.as_buffer().to_pybytes()), None)
                     except (struct.error, ValueError, IndexError, OverflowError):
                         got = None
                 rows.append((got.codec, got.width, got.height, got.timescale, got.duration, len(got.sizes)) if got else (None,) * 6)

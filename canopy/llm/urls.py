@@ -111,20 +111,20 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
 
 def prune(rules: DataFrame) -> DataFrame:
-    """Rules without a more general rule of the same verdict that is at least as confident.
+    """Rules without a more general rule (of fewer tokens, all of them its own) of the same verdict that is at least as confident.
 
-    A rule's subsets are looked up by the text of their tokens, so no two rules are compared that don't contain each other.
+    A rule is listed at its rarest token and looked up at all tokens of the others, so
+    rules without a common token are never compared.
     """
-    parts = rules.select("*", F.concat_ws("\x01", "rule_tokens").alias("key"))
-    smaller = parts.select(
-        "key",
-        "verdict",
-        "confidence",
-        F.explode(F.transform("rule_tokens", lambda t: F.concat_ws("\x01", F.array_except("rule_tokens", F.array(t))))).alias("sub"),
-    )
-    general = parts.select(F.col("key").alias("sub"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    worse = smaller.join(general, (smaller.sub == general.sub) & (smaller.verdict == general.v) & (general.c >= smaller.confidence), "left_semi")
-    return parts.join(worse.select("key", "verdict").distinct(), ["key", "verdict"], "left_anti").drop("key")
+    numbered = rules.withColumn("key", F.concat_ws("\x01", "rule_tokens"))
+    tokens = numbered.select("key", "verdict", F.explode("rule_tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    entry = tokens.join(often, "token").groupBy("key", "verdict").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
+    general = entry.join(numbered.select("key", "verdict", F.col("rule_tokens").alias("few"), F.col("confidence").alias("c")), ["key", "verdict"]).drop("key")
+    longer = tokens.join(numbered.select("key", "verdict", F.col("rule_tokens").alias("many"), "confidence"), ["key", "verdict"])
+    within = (F.size("few") < F.size("many")) & (F.size(F.array_except("few", "many")) == 0)
+    worse = longer.join(general, ["token", "verdict"]).where((F.col("c") >= F.col("confidence")) & within)
+    return numbered.join(worse.select("key", "verdict").distinct(), ["key", "verdict"], "left_anti").drop("key")
 
 
 def match(urls: DataFrame, rules: DataFrame, default: str = ALLOW, names: DataFrame | None = None) -> DataFrame:

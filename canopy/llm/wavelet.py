@@ -280,6 +280,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
         parts, tokens = [], 0
         for part in chunks(batches, "text"):
             ids, ends = library_tokens.encode_texts(part.column("text"), path)
+            if max(int(ids.max(initial=0)), end_id) >> BITS:
+                raise ValueError(f"the vocabulary has ids of more than {BITS} bits")
             parts.append((part.column("id"), np.insert(ids, ends[1:], end_id).astype(np.uint16), np.diff(ends) + 1))
             tokens += len(parts[-1][1])
             if tokens >= SHARD_TOKENS:

@@ -32,7 +32,7 @@ def test_round_trip(raw):
     payload = media.padded(raw)
     stored = media.mux(payload)
     assert media.read_back(stored) == payload
-    track = media.tracks(stored)[0]
+    track = next(media.tracks(stored))
     assert (track.duration, track.timescale, len(track.sizes)) == (len(payload) // 192, 25, len(payload) // 192)
     assert track.keys.tolist() == list(range(0, len(payload) // 192, 12))
     for k in track.keys:
@@ -91,6 +91,12 @@ def hostile(**tables):
 BIG = 2**32 - 1
 
 
+def many_tracks(n):
+    """Tracks of some 250 bytes that promise a million samples each."""
+    one = hostile(stsz=struct.pack(">II", 1, 1_000_000), stsc=struct.pack(">IIII", 1, 1, 1_000_000, 1), stts=struct.pack(">III", 1, 1_000_000, 1))
+    return box(b"moov", one[8:] * n)
+
+
 @pytest.mark.parametrize(
     "value",
     [
@@ -104,6 +110,7 @@ BIG = 2**32 - 1
         hostile(stsz=b"", stco=b""),
         hostile(stsc=struct.pack(">I", BIG)),
         hostile(co64=struct.pack(">IQ", 1, 2**64 - 1)),
+        many_tracks(150),
     ],
 )
 def test_hostile_media_costs_little_memory(value):
@@ -112,7 +119,7 @@ def test_hostile_media_costs_little_memory(value):
 
     tracemalloc.start()
     try:
-        media.tracks(value)
+        list(media.tracks(value))
     except (struct.error, ValueError, IndexError, OverflowError):  # what ``describe`` makes a null codec of
         pass
     most = tracemalloc.get_traced_memory()[1]
@@ -127,7 +134,7 @@ def test_damaged_media_never_crash(noise, at, byte):
     whole[at : at + len(noise)] = noise
     whole[-at - 1] = byte
     try:
-        media.tracks(bytes(whole))
+        list(media.tracks(bytes(whole)))
     except (struct.error, ValueError, IndexError, OverflowError):
         pass
 
@@ -137,7 +144,9 @@ def test_hostile_rows_are_described(spark):
     place = bytes(unknown).index(b"mdhd") + 4 + 16
     unknown[place : place + 4] = b"\xff" * 4
     df = spark.createDataFrame([(1, bytearray(nested(3000))), (2, bytearray(hostile(stsz=struct.pack(">II", 1, BIG)))), (3, unknown)], "id int, media binary")
+    df = df.union(spark.createDataFrame([(4, bytearray(many_tracks(150)))], "id int, media binary"))
     rows = {r["id"]: r for r in media.describe(df).collect()}
+    assert rows[4]["n_samples"] == 1_000_000  # the first track alone is read
     assert rows[1]["codec"] is None and rows[2]["codec"] is None and rows[2]["keyframes"] == []
     assert rows[3]["codec"] == "raw " and rows[3]["duration"] is None
 

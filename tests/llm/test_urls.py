@@ -51,7 +51,7 @@ def brute(rows, support, confidence):
 
 def pruned(found):
     def worse(c, v):
-        return any(found.get((c[:i] + c[i + 1 :], v), -1) >= found[c, v] for i in range(len(c)) if len(c) > 1)
+        return any(set(d) < set(c) and w == v and found[d, w] >= found[c, v] for d, w in found)
 
     return {k for k in found if not worse(*k)}
 
@@ -167,3 +167,9 @@ def test_query_verdicts_equal_brute_force(spark, sf_dir):
             fired = [(*found[k], len(k[0]), k[1], " ".join(k[0])) for k in left if set(k[0]) <= items]
             best = max(fired, default=(0, 0, 0, "allow", None))
             assert (got[i]["verdict"], got[i]["mined_rule"]) == best[3:]
+
+
+def test_prune_looks_at_all_subsets(spark):
+    rules = [(["a"], "block", 0.95, 0.5), (["a", "b", "c"], "block", 0.91, 0.1), (["a", "b", "d"], "block", 0.97, 0.1), (["b", "c"], "allow", 1.0, 0.1), (["e"], "allow", 0.9, 0.1), (["e", "f"], "block", 0.9, 0.1)]
+    got = urls.prune(spark.createDataFrame(rules, "rule_tokens array<string>, verdict string, confidence double, support double")).collect()
+    assert {"".join(r["rule_tokens"]) for r in got} == {"a", "abd", "bc", "e", "ef"}

@@ -107,3 +107,10 @@ def test_odd_rows(odd, nothing, tmp_path):
     assert sorted(tuple(r)[1:] for r in rows) == sorted(want.values())
     empty = f"file://{tmp_path}/empty"
     assert wavelet.read_shards(wavelet.write_shards(nothing, PATH, empty), empty).collect() == []
+
+
+def test_wide_ids_are_refused(spark, tmp_path):
+    """An id that doesn't fit the planes is an error and never another id."""
+    docs = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
+    with pytest.raises(Exception, match="more than"):
+        wavelet.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/wide", end_id=70_000).collect()
