@@ -56,6 +56,12 @@ RELATIONS = {
           CASE WHEN c_custkey % 11 = 0 THEN '@BAD' WHEN c_custkey % 11 = 1 THEN '' ELSE '@GOOD' END AS rorid, CASE WHEN c_custkey % 13 = 0 THEN 'no address' WHEN c_custkey % 13 = 1 THEN '' ELSE 'a@b.org' END AS email
         FROM {customer}""",
 }
+#: The other roles have every fourth customer each, with their own places of the faults.
+for _k, _role in enumerate(["contact", "contributor", "editor", "publisher"]):
+    RELATIONS[_role] = f"""
+        SELECT 'C' || c_custkey AS id, CASE WHEN c_custkey % 5 = {_k} THEN '0000-0002-1825-009X' WHEN c_custkey % 5 = 4 THEN '' ELSE 'https://orcid.org/0000-0002-1825-0097' END AS orcid,
+          CASE WHEN c_custkey % 9 = {_k} THEN '@BAD' WHEN c_custkey % 9 = 8 THEN '' ELSE 'https://ror.org/@GOOD' END AS rorid, CASE WHEN c_custkey % 11 = {_k} THEN 'a@b' WHEN c_custkey % 11 = 10 THEN '' ELSE 'first.last@b.co.uk' END AS email
+        FROM {{customer}} WHERE c_custkey % 4 = {_k}"""
 TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem"]
 
 _LOCAL = [
@@ -86,6 +92,11 @@ _LOCAL = [
     ("creator", "creator_orcid_check_digit", "orcid", "warn", "orcid = '0000-0002-1852-0097'"),
     ("creator", "creator_rorid_check_digit", "rorid", "warn", "rorid = '@BAD'"),
     ("creator", "creator_email_format", "email", "warn", "email = 'no address'"),
+    *[
+        (role, f"{role}_{rule}", field, "warn", where)
+        for role in ("contact", "contributor", "editor", "publisher")
+        for rule, field, where in (("orcid_check_digit", "orcid", "orcid = '0000-0002-1825-009X'"), ("rorid_check_digit", "rorid", "rorid = '@BAD'"), ("email_format", "email", "email = 'a@b'"))
+    ],
     ("reference", "reference_uncited", "id", "info", "id NOT IN (SELECT trim(unnest(string_split(reference_id, ','))) FROM name)"),
     ("name", "duplicate_name", "canonical_simple", "info", "canonical_simple IN (SELECT canonical_simple FROM name GROUP BY canonical_simple HAVING count(*) > 1)"),
     ("name", "reference_id_invalid", "reference_id", "error", "reference_id <> '' AND split_part(reference_id, ',', 1) NOT IN (SELECT id FROM reference)"),
@@ -152,12 +163,25 @@ def parent_rank(spark, sf_dir):
     return rules.taxon_violations(tables["taxon"], tables["name"]).where("rule_id = 'classification_rank_order_invalid'")
 
 
+def stale_metadata(spark, sf_dir):
+    """Orders as metadata records that were last touched on their day, some never or at no time that can be read."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    touched = orders.where("o_orderkey % 13 <> 0").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 17 = 0 THEN 'some day' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS touched_at")
+    return rules.stale(orders.selectExpr("o_orderkey AS id"), touched, "1998-06-01 00:00:00")
+
+
 def _some(*wanted):
     return f"SELECT * FROM ({_oracle()}) WHERE rule_id IN ({', '.join(map(repr, wanted))})"
 
 
 QUERIES = {
     "rules_reindex": (reindex, _oracle()),
+    "rules_stale_metadata": (
+        stale_metadata,
+        """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 'some day' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS touched_at FROM orders)
+           SELECT 'metadata' AS table_name, CAST(id AS VARCHAR) AS record_id, 'stale_metadata' AS rule_id, 'touched_at' AS field_name, 'info' AS severity, coalesce(touched_at, '') AS actual_value
+           FROM t WHERE touched_at IS NULL OR touched_at = 'some day' OR touched_at < '1997-06-01'""",
+    ),
     "val_parent_rank": (parent_rank, _some("classification_rank_order_invalid")),
     "val_combination_basionym": _rows("name", rules.name_rules, "combination_matches_basionym"),
     "val_marker_missing": _rows("name", rules.name_rules, "infraspecific_marker_missing"),
