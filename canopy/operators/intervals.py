@@ -61,11 +61,12 @@ def number(tree: DataFrame) -> DataFrame:
     linked = materialise(_linked(tree))
     # sizes: how many nodes are less than ``step`` levels below, itself included
     state = linked.select("id", F.col("up").alias("to"), F.lit(1).cast("long").alias("size"))
-    left, dropped = None, True
+    left, rounds = None, 0
     while True:
         below = state.where("to is not null").groupBy(F.col("to").alias("id")).agg(F.sum("size").alias("more"))
         far = state.select(F.col("id").alias("to"), F.col("to").alias("far"))
         state = materialise(state.join(below, "id", "left").join(far, "to", "left").select("id", F.col("far").alias("to"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        rounds += 1
         before, left = left, state.where("to is not null").count()
         if left == 0 or left == before:  # a round without an end: what is left leads into a cycle
             break
@@ -73,7 +74,7 @@ def number(tree: DataFrame) -> DataFrame:
     offsets = sibling_sums(placed, "size").select("id", "up", "size", (F.col("offset") + 1).alias("sum"))
     # places: sums of the offsets along the line of ancestors
     walk = materialise(offsets.select("id", "up", "size", F.col("up").alias("to"), "sum", F.col("up").isNotNull().cast("long").alias("depth")))
-    while not walk.where("to is not null").isEmpty():
+    for _ in range(rounds):  # as many rounds as it took to reach all roots
         far = walk.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("sum").alias("far_sum"), F.col("depth").alias("far_depth"))
         more = walk.join(far, "to", "left")
         going = F.col("to").isNotNull()
@@ -100,7 +101,8 @@ def subtree_sums(ranges: DataFrame, values: DataFrame, names: list[str]) -> Data
     A sum is the running sum at the subtree's last place less the one before its first.
     """
     per = values.groupBy(F.col("node").alias("id")).agg(*(F.sum(n).alias(n) for n in names))
-    rows = ranges.select("id", "first", "last").join(per, "id", "left").na.fill(0, names)
+    # kept before it is dealt by ranges, which are found by a pass of their own
+    rows = materialise(ranges.select("id", "first", "last").join(per, "id", "left").na.fill(0, names))
     summed = materialise(running(rows, [F.asc("first")], names))
     ends = summed.select(F.col("first").alias("last"), *((F.col(f"{n}_before") + F.col(n)).alias(f"_{n}") for n in names))
     return summed.join(ends, "last").select("id", *((F.col(f"_{n}") - F.col(f"{n}_before")).alias(n) for n in names))
@@ -120,14 +122,11 @@ def lowest_common(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
 
     Longest steps first, a climbs as long as it doesn't hold b; the next one up does.
     """
-    ranges = materialise(ranges)
-    jumps, step = [], ranges.select("id", F.col("up").alias("to"))
-    while True:
-        known = materialise(step.where("to is not null"))
-        if known.isEmpty():
-            break
-        jumps.append(known)
-        step = known.join(known.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"))
+    depth = ranges.agg(F.max("depth")).first()[0] or 0
+    jumps, step = [], ranges.select("id", F.col("up").alias("to")).where("to is not null")
+    while 2 ** len(jumps) <= depth:
+        step = materialise(step.join(step.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"))) if jumps else step
+        jumps.append(step)
     place = ranges.select(F.col("id").alias("b"), F.col("first").alias("_at"))
     span = ranges.select(F.col("id").alias("_top"), F.col("first").alias("_low"), F.col("last").alias("_high"))
     holds = F.col("_at").between(F.col("_low"), F.col("_high"))
@@ -152,14 +151,20 @@ def delete_preview(tree: DataFrame, ranges: DataFrame, dependents: Dependents) -
     marks = []
     names = list(dependents)
     zeros = lambda name: [F.col("n").alias(k) if k == name else F.lit(0).cast("long").alias(k) for k in ["nodes", *names]]
+    counts = ["nodes", *names]
+    both = []
     for name, (rows, columns) in dependents.items():
-        for c in columns:
-            marks.append(rows.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n")).select("node", *zeros(name)))
         if len(columns) == 2:
-            a, b = columns
-            both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-            common = lowest_common(both, ranges).where("common is not null").groupBy(F.col("common").alias("node")).agg((-F.sum("n")).alias("n"))
-            marks.append(common.select("node", *zeros(name)))
+            both.append(rows.groupBy(F.col(columns[0]).alias("a"), F.col(columns[1]).alias("b")).agg(F.count("*").alias("n")).select("a", "b", *zeros(name)))
+        else:
+            column = F.col(columns[0])
+            marks.append(rows.where(column.isNotNull()).groupBy(column.alias("node")).agg(F.count("*").alias("n")).select("node", *zeros(name)))
+    if both:  # the pairs of all tables are counted once, and climb together
+        pairs = materialise(reduce(DataFrame.unionByName, both).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in counts)))
+        marks += [pairs.where(F.col(end).isNotNull()).select(F.col(end).alias("node"), *counts) for end in ("a", "b")]
+        known = pairs.where("a is not null and b is not null")
+        common = lowest_common(known.select("a", "b"), ranges).where("common is not null")
+        marks.append(known.join(common, ["a", "b"]).select(F.col("common").alias("node"), *((-F.col(c)).alias(c) for c in counts)))
     marks.append(ranges.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("n")).select("node", *zeros("nodes")))
     sums = subtree_sums(ranges, reduce(DataFrame.unionByName, marks), ["nodes", *names])
     direct = tree.where(~is_root()).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))
