@@ -17,7 +17,7 @@ SUFFIX_RANKS = {
 #: Ranks by marker between the words of a name.
 MARKER_RANKS = [("subsp.", "SUBSPECIES"), ("ssp.", "SUBSPECIES"), ("var.", "VARIETY"), ("subvar.", "SUBVARIETY"), ("f.", "FORM"), ("subf.", "SUBFORM")]
 SEVERITIES = {"debug": 0, "info": 1, "warn": 2, "error": 3}
-DOI = r"^10\.\d{4,9}/\S+$"
+DOI = r"^(?:https?://(?:dx\.)?doi\.org/)?(?:urn:)?(?:doi:)?10\.[0-9]+(?:\.[0-9]+)*/.+$"
 EMAIL = r"^[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules whose ``QUERIES`` map a name to (query, SQL or None).
-MODULES = ["hierarchy_queries", "search_queries", "validation_queries", "entity_queries", "record_queries", "link_queries", "catalogue_queries", "version_queries"]
+MODULES = ["hierarchy_queries", "search_queries", "validation_queries", "entity_queries", "record_queries", "link_queries", "catalogue_queries", "version_queries", "bundle_queries"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
