@@ -1,8 +1,10 @@
-"""Controlled vocabularies as small DataFrames, and the ranks that may stand below another."""
+"""Controlled vocabularies as small DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.scalars import vocabulary_name
@@ -14,14 +16,19 @@ RANKS = {
     "genus": ["GENUS", "SUBGENUS", "SECTION", "SUBSECTION", "SERIES"],
     "species": ["SPECIES_AGGREGATE", "SPECIES", "SUBSPECIES", "VARIETY", "SUBVARIETY", "FORM", "SUBFORM"],
 }
-#: Ranks that a code doesn't use.
-UNUSED = {"ZOOLOGICAL": ["SECTION", "SUBSECTION", "SERIES", "VARIETY", "SUBVARIETY", "FORM", "SUBFORM"], "BOTANICAL": ["SUPERFAMILY", "INFRAORDER"], "VIRUS": ["SECTION", "SUBSECTION", "SERIES", "VARIETY", "SUBVARIETY", "FORM", "SUBFORM", "SUPERFAMILY"], "": []}
 VOCABULARIES = {
     "nom_code": ["ZOOLOGICAL", "BOTANICAL", "BACTERIAL", "VIRUS", "CULTIVARS"],
     "taxonomic_status": ["ACCEPTED", "PROVISIONALLY_ACCEPTED", "SYNONYM", "AMBIGUOUS_SYNONYM", "MISAPPLIED", "BARE_NAME"],
     "nom_status": ["ESTABLISHED", "NOT_ESTABLISHED", "ACCEPTABLE", "UNACCEPTABLE", "CONSERVED", "REJECTED", "DOUBTFUL", "MANUSCRIPT", "CHRESONYM"],
     "severity": ["debug", "info", "warn", "error"],
 }
+#: Vocabulary tables of an archive: of ids alone, and with names.
+FLAT = ["nom_code", "nom_status", "gender", "sex", "distribution_status", "nom_rel_type", "estimate_type", "name_part", "match_type", "reference_type"]
+NAMED = ["taxonomic_status", "type_status", "gazetteer", "species_interaction_type", "taxon_concept_rel_type", "rank", "geo_time"]
+#: Long ones, that are read by name.
+BY_NAME = ["rank", "geo_time"]
+#: Those without an unset term.
+REQUIRED = ["species_interaction_type"]
 
 
 def bundle(spark: SparkSession, more: dict[str, list[str]] | None = None) -> DataFrame:
@@ -32,21 +39,29 @@ def bundle(spark: SparkSession, more: dict[str, list[str]] | None = None) -> Dat
     return terms.select("vocabulary", "id", vocabulary_name(F.col("id")).alias("name"), "position")
 
 
-def child_ranks(spark: SparkSession) -> DataFrame:
-    """(code, parent_rank, child_rank): every rank of the code below the parent's; a rank that is unknown allows all."""
-    rows = []
-    order = [r for group in RANKS.values() for r in group]
-    for code, unused in UNUSED.items():
-        used = [r for r in order if r not in unused]
-        rows += [(code, parent, child) for k, parent in enumerate(used) for child in used[k + 1 :]]
-        rows += [(code, "", child) for child in used]
-    return spark.createDataFrame(rows, "code string, parent_rank string, child_rank string")
-
+def of_tables(tables: dict[str, DataFrame], licenses: list[str] | None = None) -> DataFrame:
+    """The terms (vocabulary, id, name, position) of an archive's vocabulary tables; tables that aren't there have none.
 
-def name_prefix(rank: Column, canonical: Column) -> Column:
-    """What a new child's name starts with: the canonical name and a blank below genus and species ranks, else ''."""
-    lower = [*RANKS["genus"][:2], *RANKS["species"]]
-    return F.when(rank.isin(lower), F.concat(canonical, F.lit(" "))).otherwise("")
+    Tables of ids alone get their names from the ids, others may have a name of their
+    own.  Terms are in the order of their ids, those of ``BY_NAME`` in that of their
+    names.  The unset term is left out where a value is required.  ``licenses`` are
+    suggestions, in the order given.
+    """
+    parts = []
+    for vocabulary in [*FLAT, *NAMED]:
+        if vocabulary not in tables:
+            continue
+        id_ = F.coalesce("id", F.lit(""))
+        name = vocabulary_name(id_) if vocabulary in FLAT else F.coalesce(F.col("name"), F.lit(""))
+        terms = tables[vocabulary].select(F.lit(vocabulary).alias("vocabulary"), id_.alias("id"), name.alias("name"))
+        parts.append(terms.where("id <> ''") if vocabulary in REQUIRED else terms)
+    if licenses:
+        spark = next(iter(tables.values())).sparkSession
+        given = spark.createDataFrame(list(enumerate(licenses)), "position int, id string")
+        parts.append(given.select(F.lit("license").alias("vocabulary"), "id", F.col("id").alias("name")))
+    key = F.when(F.col("vocabulary").isin(BY_NAME), F.col("name")).when(F.col("vocabulary") == "license", F.lpad(F.array_position(F.array(*map(F.lit, licenses or [""])), F.col("id")).cast("string"), 9, "0")).otherwise("")
+    place = F.row_number().over(Window.partitionBy("vocabulary").orderBy(key, "id", "name")) - 1
+    return reduce(DataFrame.unionByName, parts).withColumn("position", place)
 
 
 def provisional(status: Column) -> Column:

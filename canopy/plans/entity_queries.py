@@ -9,6 +9,8 @@ from canopy.functions import vocabulary as Voc
 from canopy.operators import entities as E
 from canopy.operators import hierarchy as H
 from canopy.operators import history as N
+from canopy.operators import ranks as Ranks
+from canopy.operators import rules as Rules
 from canopy.plans.hierarchy_queries import WITH
 from canopy.plans.validation_queries import _MERGED, issue_merge
 from canopy.sources.archive import Archive
@@ -148,13 +150,66 @@ def onto_downcast(spark, sf_dir):
     return N.downcast(tree, H.closure(tree), mapped)
 
 
+#: Vocabulary tables of a collection, by SQL that Spark and the oracle share.
+VOCABULARY_TABLES = {
+    "nom_status": "SELECT DISTINCT o_orderpriority AS id FROM {orders} UNION ALL SELECT CAST(NULL AS {string}) AS id",
+    "sex": "SELECT DISTINCT l_linestatus AS id FROM {lineitem}",
+    "reference_type": "SELECT DISTINCT p_type AS id FROM {part}",
+    "name_part": "SELECT DISTINCT upper(c_mktsegment) || '_PART' AS id FROM {customer} UNION ALL SELECT '' AS id",
+    "gazetteer": "SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE n_name END AS name FROM {nation}",
+    "species_interaction_type": "SELECT DISTINCT l_returnflag AS id, 'by ' || l_returnflag AS name FROM {lineitem} UNION ALL SELECT '' AS id, 'none' AS name",
+    "rank": "SELECT DISTINCT p_brand AS id, 'brand ' || substr(p_brand, 8) || substr(p_brand, 1, 7) AS name FROM {part}",
+    "geo_time": "SELECT 'S' || s_suppkey AS id, 'age ' || (s_suppkey % 9) AS name FROM {supplier}",
+}
+LICENSES = ["CC0-1.0", "CC-BY-4.0", "ODbL-1.0"]
+
+
 def vocab_bundle(spark, sf_dir):
-    modes = {"priority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", ""]}
-    return Voc.bundle(spark, modes).where("vocabulary in ('severity', 'nom_code', 'priority')")
+    tables = {t: _read(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "customer", "nation", "supplier")}
+    made = {v: spark.sql(sql.replace("{string}", "STRING"), **{t: rows for t, rows in tables.items() if "{" + t + "}" in sql}) for v, sql in VOCABULARY_TABLES.items()}
+    return Voc.of_tables(made, LICENSES)
+
+
+def _vocab_oracle():
+    names = {t: t for t in ("orders", "lineitem", "part", "customer", "nation", "supplier")}
+    parts = []
+    for v, sql in VOCABULARY_TABLES.items():
+        name, order = ("replace(lower(coalesce(id, '')), '_', ' ')" if v in Voc.FLAT else "coalesce(name, '')"), ("coalesce(name, ''), " if v in Voc.BY_NAME else "")
+        where = "WHERE id <> ''" if v in Voc.REQUIRED else ""
+        parts.append(f"SELECT '{v}' AS vocabulary, coalesce(id, '') AS id, {name} AS name, row_number() OVER (ORDER BY {order}coalesce(id, '')) - 1 AS position FROM ({sql.format(**names, string='VARCHAR')}) {where}")
+    parts += [f"SELECT 'license', '{x}', '{x}', {k}" for k, x in enumerate(LICENSES)]
+    return " UNION ALL ".join(parts)
+
+
+#: Parents of all codes and ranks, some of no code, of another code's rank or of none.
+_CODES = ["ZOOLOGICAL", "BOTANICAL", "BACTERIAL", "VIRUS", "CULTIVARS", ""]
+_OTHER_RANKS = ["", "SECTION_BOTANY", "SECTION_ZOOLOGY", "SUBSECTION_BOTANY", "SPECIES_AGGREGATE", "NO_RANK"]
+_ALL_RANKS = sorted({r for order in Rules.RANK_ORDER.values() for r in order}) + _OTHER_RANKS
+PARENT_NAMES = f"""SELECT 'n' || p_partkey AS id, CASE p_partkey % 6 {' '.join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CODES))} END AS code_id,
+    CASE (p_partkey * 7 + p_size) % {len(_ALL_RANKS)} {' '.join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(_ALL_RANKS))} END AS rank_id,
+    CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS canonical_full, CASE WHEN p_partkey % 22 = 0 THEN '' ELSE p_type END AS canonical_simple, CASE WHEN p_partkey % 44 = 0 THEN '' ELSE p_brand END AS scientific_name FROM {{part}}"""
+PARENTS = "SELECT 't' || p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE 'n' || p_partkey END AS name_id FROM {part}"
 
 
 def child_ranks(spark, sf_dir):
-    return Voc.child_ranks(spark).where("code = 'ZOOLOGICAL' and parent_rank in ('FAMILY', 'GENUS')")
+    part = _read(spark, sf_dir, "part")
+    found = Ranks.new_children(spark.sql(PARENTS, part=part), spark.sql(PARENT_NAMES, part=part), Ranks.table(spark))
+    ids = lambda rows: F.array_join(F.transform(rows, lambda r: r["child_rank"]), ",")
+    return found.select("id", "code", "rank", "prefix", ids(F.col("child_ranks")).alias("children"), ids(F.filter("child_ranks", lambda r: r["typical"])).alias("typical"))
+
+
+def _child_ranks_oracle():
+    """The rank table as values, and the rule told by pairs."""
+    rows = [(r.code, r.rank, Ranks.GROUPS.index(r.group), n, list(r.only_under), r.typical) for n, r in enumerate(Ranks.fixed())]
+    values = ", ".join(f"('{c}', '{r}', {g}, {n}, {u}::VARCHAR[], {t})" for c, r, g, n, u, t in rows)
+    return f"""WITH k(code, rank, g, n, only_under, typical) AS (VALUES {values}), t AS ({PARENTS.format(part='part')}), names AS ({PARENT_NAMES.format(part='part')}),
+        p AS (SELECT t.id, coalesce(code_id, '') AS code, coalesce(rank_id, '') AS rank, CASE WHEN coalesce(rank_id, '') IN ('GENUS', 'SUBGENUS', 'INFRAGENUS', 'SUPERGENUS', 'SUPERSUBGENUS', 'SUPERSUPERSUBGENUS', 'SECTION', 'SUBSECTION', 'SERIES', 'SUBSERIES', 'SPECIES', 'SPECIES_AGGREGATE', 'SUBSPECIES', 'VARIETY', 'SUBVARIETY', 'FORM', 'SUBFORM')
+            THEN coalesce(nullif(coalesce(nullif(canonical_full, ''), nullif(canonical_simple, ''), nullif(scientific_name, ''), '') || ' ', ' '), '') ELSE '' END AS prefix FROM t LEFT JOIN names n ON n.id = t.name_id),
+        own AS (SELECT p.*, coalesce((SELECT k.rank FROM k WHERE k.code = p.code AND k.rank = p.rank), (SELECT k.rank FROM k WHERE k.code = p.code AND k.rank = regexp_replace(p.rank, '_(ZOOLOGY|BOTANY)$', '')), '') AS known FROM p),
+        below AS (SELECT o.id, c.rank AS child, c.typical FROM own o JOIN k c ON c.code = o.code LEFT JOIN k u ON u.code = o.code AND u.rank = o.known
+            WHERE u.rank IS NULL OR (c.g >= u.g AND c.n > u.n AND CASE WHEN len(c.only_under) > 0 THEN list_contains(c.only_under, u.rank) ELSE c.g - u.g <= 1 END))
+        SELECT id, code, rank, prefix, CASE WHEN code IN (SELECT code FROM k) THEN coalesce((SELECT string_agg(child, ',' ORDER BY child) FROM below b WHERE b.id = p.id), '') END AS children,
+            CASE WHEN code IN (SELECT code FROM k) THEN coalesce((SELECT string_agg(child, ',' ORDER BY child) FROM below b WHERE b.id = p.id AND typical), '') END AS typical FROM p"""
 
 
 def label_build(spark, sf_dir):
@@ -263,17 +318,8 @@ QUERIES = {
         line AS (SELECT * FROM pairs UNION ALL SELECT id, id, 0 FROM tree), hit AS (SELECT line.id, arg_min(value, depth) AS value FROM line JOIN m ON m.id = line.ancestor GROUP BY line.id)
         SELECT tree.id, coalesce(value, '') AS value FROM tree LEFT JOIN hit USING (id)""",
     ),
-    "vocab_bundle": (
-        vocab_bundle,
-        """SELECT vocabulary, id, replace(lower(id), '_', ' ') AS name, position FROM (VALUES ('severity', 'debug', 0), ('severity', 'info', 1), ('severity', 'warn', 2), ('severity', 'error', 3),
-           ('nom_code', 'ZOOLOGICAL', 0), ('nom_code', 'BOTANICAL', 1), ('nom_code', 'BACTERIAL', 2), ('nom_code', 'VIRUS', 3), ('nom_code', 'CULTIVARS', 4),
-           ('priority', '1-URGENT', 0), ('priority', '2-HIGH', 1), ('priority', '3-MEDIUM', 2), ('priority', '4-NOT SPECIFIED', 3), ('priority', '5-LOW', 4)) v(vocabulary, id, position)""",
-    ),
-    "child_ranks": (
-        child_ranks,
-        """SELECT 'ZOOLOGICAL' AS code, parent_rank, child_rank FROM (VALUES ('FAMILY', 'SUBFAMILY'), ('FAMILY', 'TRIBE'), ('FAMILY', 'SUBTRIBE'), ('FAMILY', 'GENUS'), ('FAMILY', 'SUBGENUS'), ('FAMILY', 'SPECIES_AGGREGATE'), ('FAMILY', 'SPECIES'), ('FAMILY', 'SUBSPECIES'),
-           ('GENUS', 'SUBGENUS'), ('GENUS', 'SPECIES_AGGREGATE'), ('GENUS', 'SPECIES'), ('GENUS', 'SUBSPECIES')) v(parent_rank, child_rank)""",
-    ),
+    "vocab_bundle": (vocab_bundle, _vocab_oracle()),
+    "child_ranks": (child_ranks, _child_ranks_oracle()),
     "label_build": (
         label_build,
         """WITH l AS (SELECT p_partkey, p_size, CASE WHEN p_size < 10 THEN '†' ELSE '' END AS d, p_name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_brand END AS a FROM part)
