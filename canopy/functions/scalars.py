@@ -6,16 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the domain.
-#: Ranks whose names are set in italics.
-ITALIC_RANKS = ["GENUS", "SUBGENUS", "SPECIES", "SUBSPECIES", "VARIETY", "FORM"]
-#: Ranks by suffix of a one-word name, per nomenclatural code, first match wins.
+#: Ranks whose names are set in italics: the genus group, sections and series, species and what is below them.
+ITALIC_RANKS = [
+    "SUPERGENUS", "GENUS", "SUBGENUS", "INFRAGENUS", "INFRAGENERIC_NAME", "SUPERSECTION_BOTANY", "SECTION_BOTANY", "SUBSECTION_BOTANY", "SUPERSERIES", "SERIES", "SUBSERIES",
+    "SPECIES_AGGREGATE", "SPECIES", "SUBSPECIES", "INFRASPECIFIC_NAME", "INFRASUBSPECIFIC_NAME", "SUPERVARIETY", "VARIETY", "SUBVARIETY", "SUPERFORM", "FORM", "SUBFORM",
+    "NATIO", "ABERRATION", "LUSUS", "PROLES", "MORPH", "KLEPTON", "GREX", "MUTATIO", "CONVARIETY",
+    "STRAIN", "PATHOVAR", "BIOVAR", "CHEMOVAR", "MORPHOVAR", "PHAGOVAR", "SEROVAR", "CHEMOFORM", "FORMA_SPECIALIS",
+]
+_BOTANICAL_SUFFIXES = [("oideae", "SUBFAMILY"), ("aceae", "FAMILY"), ("phyta", "PHYLUM"), ("opsida", "CLASS"), ("ales", "ORDER"), ("inae", "SUBTRIBE"), ("eae", "TRIBE")]
+#: Ranks by suffix of a name's last word, per nomenclatural code, first match wins.
 SUFFIX_RANKS = {
-    "ZOOLOGICAL": [("oidea", "SUPERFAMILY"), ("idae", "FAMILY"), ("inae", "SUBFAMILY"), ("ini", "TRIBE")],
-    "BOTANICAL": [("aceae", "FAMILY"), ("oideae", "SUBFAMILY"), ("eae", "TRIBE"), ("ales", "ORDER")],
+    "ZOOLOGICAL": [("oidea", "SUPERFAMILY"), ("idae", "FAMILY"), ("inae", "SUBFAMILY"), ("ini", "TRIBE"), ("ina", "SUBTRIBE")],
+    "BOTANICAL": _BOTANICAL_SUFFIXES,
+    "PHYTOSOCIOLOGICAL": _BOTANICAL_SUFFIXES,
+    "BACTERIAL": [("aceae", "FAMILY"), ("oideae", "SUBFAMILY"), ("ales", "ORDER"), ("eae", "TRIBE")],
     "VIRUS": [("virales", "ORDER"), ("viridae", "FAMILY"), ("virinae", "SUBFAMILY"), ("virus", "GENUS")],
 }
 #: Ranks by marker between the words of a name.
-MARKER_RANKS = [("subsp.", "SUBSPECIES"), ("ssp.", "SUBSPECIES"), ("var.", "VARIETY"), ("subvar.", "SUBVARIETY"), ("f.", "FORM"), ("subf.", "SUBFORM")]
+MARKER_RANKS = {
+    "sp.": "SPECIES", "subsp.": "SUBSPECIES", "ssp.": "SUBSPECIES", "var.": "VARIETY", "subvar.": "SUBVARIETY", "f.": "FORM", "forma": "FORM", "subf.": "SUBFORM", "cv.": "CULTIVAR",
+    "sect.": "SECTION_BOTANY", "subsect.": "SUBSECTION_BOTANY", "ser.": "SERIES", "subgen.": "SUBGENUS", "grex": "GREX", "morph": "MORPH", "prol.": "PROLES", "proles": "PROLES", "aberr.": "ABERRATION", "ab.": "ABERRATION",
+}
 SEVERITIES = {"debug": 0, "info": 1, "warn": 2, "error": 3}
 DOI = r"^(?:https?://(?:dx\.)?doi\.org/)?(?:urn:)?(?:doi:)?10\.[0-9]+(?:\.[0-9]+)*/.+$"
 EMAIL = r"^[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
@@ -119,16 +130,16 @@ def luhn_ok(c: Column) -> Column:
 
 
 def guess_rank(code: Column, name: Column) -> Column:
-    """Rank by a marker, else by the suffix of a one-word name under its code, else by the number of words."""
-    words = F.size(F.split(name, " "))
-    by_count = F.when(words == 1, "GENUS").when(words == 2, "SPECIES").when(words == 3, "SUBSPECIES").otherwise("")
-    out = by_count
+    """Rank by the last marker after the first word, else by the suffix of the last word under the code, else by the number of words; empty if nothing tells it."""
+    words = F.filter(F.split(F.lower(text(name)), " "), lambda w: w != "")
+    marker = F.try_element_at(F.filter(words, lambda w, n: (n > 0) & w.isin(list(MARKER_RANKS))), F.lit(-1))
+    last, count = text(F.try_element_at(words, F.lit(-1))), F.size(words)
+    out = F.when(count == 1, "GENUS").when(count == 2, "SPECIES").when(count == 3, "SUBSPECIES").otherwise("")
     for c, rules in SUFFIX_RANKS.items():
         for suffix, rank in reversed(rules):
-            out = F.when((code == c) & (words == 1) & name.endswith(suffix), rank).otherwise(out)
-    for marker, rank in reversed(MARKER_RANKS):
-        out = F.when(F.contains(name, F.lit(f" {marker} ")), rank).otherwise(out)
-    return out
+            out = F.when((code == c) & last.endswith(suffix), rank).otherwise(out)
+    by_marker = F.create_map(*[F.lit(x) for pair in MARKER_RANKS.items() for x in pair])
+    return F.coalesce(F.try_element_at(by_marker, marker), out)
 
 
 def backfill_years(own: Column, basionym: Column, parenthetical: Column) -> tuple[Column, Column]:

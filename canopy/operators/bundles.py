@@ -537,9 +537,3 @@ def admit(rows: DataFrame, violations: DataFrame, table: str, key: str = "id") -
     """The rows of a table that no hard violation blocks."""
     keys = blocked(violations).where(F.col("table_name") == table).select(F.col("record_id").alias("_record"))
     return rows.join(keys, F.col(key).cast("string") == F.col("_record"), "left_anti")
-
-
-def summary(violations: DataFrame) -> DataFrame:
-    """(table_name, rule_id, rule_name, severity, n), the most frequent first, then by the names."""
-    counts = violations.groupBy("table_name", "rule_id", "rule_name", "severity").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "table_name", "rule_id", "severity")

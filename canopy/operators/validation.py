@@ -184,12 +184,16 @@ def merge_issues(store: DataFrame, found: DataFrame, now: str, scope: DataFrame
     Of several violations of one identity the most severe one counts with its
     value, of equally severe ones the greatest value.  ``scope`` (table_name,
     record_id) are the records that were validated; issues of all others stay as
-    they are.  Without it every record was.
+    they are.  Without it every record was.  A store with a ``result_id`` keeps those of
+    known issues; a new issue's one is made of its identity and ``now``, so it is the
+    same when a lost task runs again.
     """
+    kept = [*IDENTITY, *(["result_id"] if "result_id" in store.columns else []), "created_at", "acknowledged_at"]
     first = F.struct(severity_rank(F.col("severity")).alias("r"), F.col("actual_value").alias("actual_value"), F.col("severity").alias("severity"))
     new = found.groupBy(*IDENTITY).agg(F.max(first).alias("_v")).select(*IDENTITY, F.col("_v.severity").alias("severity"), F.col("_v.actual_value").alias("actual_value"))
-    old = store.select(*IDENTITY, "created_at", "acknowledged_at")
-    merged = new.join(old, IDENTITY, "left").withColumn("created_at", F.coalesce("created_at", F.lit(now)))
+    merged = new.join(store.select(*kept), IDENTITY, "left").withColumn("created_at", F.coalesce("created_at", F.lit(now)))
+    if "result_id" in kept:
+        merged = merged.withColumn("result_id", F.coalesce("result_id", F.sha2(F.to_json(F.array(*IDENTITY, F.lit(now))), 256)))
     if scope is None:
         return merged
     records = ["table_name", "record_id"]
@@ -201,7 +205,9 @@ def is_open(acknowledged: str = "acknowledged_at") -> Column:
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("table_name", "rule_id", "severity").agg(F.count("*").alias("n"))
+    """(table_name, rule_id, rule_name if it is known, severity, n), the most frequent first, then by the names."""
+    by = ["table_name", "rule_id", *(["rule_name"] if "rule_name" in issues.columns else []), "severity"]
+    return issues.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "table_name", "rule_id", "severity")
 
 
 def record_summary(issues: DataFrame) -> DataFrame:

@@ -219,12 +219,30 @@ def label_build(spark, sf_dir):
     return p.select("p_partkey", plain.alias("label"), html.alias("html"))
 
 
+#: What names of parts end with, and the rank that this tells under each code (zoological, botanical, bacterial, virus, none).
+_ENDINGS = {
+    "idae": ("FAMILY", "GENUS", "GENUS", "GENUS", "GENUS"), "inae": ("SUBFAMILY", "SUBTRIBE", "GENUS", "GENUS", "GENUS"), "oidea": ("SUPERFAMILY", "GENUS", "GENUS", "GENUS", "GENUS"), "ini": ("TRIBE", "GENUS", "GENUS", "GENUS", "GENUS"), "ina": ("SUBTRIBE", "GENUS", "GENUS", "GENUS", "GENUS"),
+    "oideae": ("GENUS", "SUBFAMILY", "SUBFAMILY", "GENUS", "GENUS"), "aceae": ("GENUS", "FAMILY", "FAMILY", "GENUS", "GENUS"), "phyta": ("GENUS", "PHYLUM", "GENUS", "GENUS", "GENUS"), "opsida": ("GENUS", "CLASS", "GENUS", "GENUS", "GENUS"), "ales": ("GENUS", "ORDER", "ORDER", "GENUS", "GENUS"), "ieae": ("GENUS", "TRIBE", "TRIBE", "GENUS", "GENUS"),
+    "virales": ("GENUS", "ORDER", "ORDER", "ORDER", "GENUS"), "viridae": ("FAMILY", "GENUS", "GENUS", "FAMILY", "GENUS"), "virinae": ("SUBFAMILY", "SUBTRIBE", "GENUS", "SUBFAMILY", "GENUS"), "virus": ("GENUS", "GENUS", "GENUS", "GENUS", "GENUS"),
+    "": ("GENUS",) * 5, " minor": ("SPECIES",) * 5, " minor albus": ("SUBSPECIES",) * 5, " minor albus niger magnus": ("",) * 5, " subsp. minor": ("SUBSPECIES",) * 5, " minor subsp. albus VAR. niger": ("VARIETY",) * 5, " sect. Minor": ("SECTION_BOTANY",) * 5, " minor f. albus": ("FORM",) * 5, " cv. minor": ("CULTIVAR",) * 5,
+    " marina": ("SUBTRIBE", "SPECIES", "SPECIES", "SPECIES", "SPECIES"),
+}
+_GUESS_CODES = ["ZOOLOGICAL", "BOTANICAL", "BACTERIAL", "VIRUS", ""]
+
+
 def rank_guess(spark, sf_dir):
     p = _read(spark, sf_dir, "part")
-    endings = ["idae", "inae", "oidea", "ini", "", " minor", " subsp. minor", " minor var. alba"]
-    ending = F.get(F.array(*map(F.lit, endings)), (F.col("p_partkey") % 8).cast("int"))
-    name = F.concat(F.initcap(F.substring_index("p_name", " ", 1)), ending)
-    return p.select("p_partkey", name.alias("name"), X.guess_rank(F.lit("ZOOLOGICAL"), name).alias("rank"))
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+    name = F.concat(F.initcap(F.substring_index("p_name", " ", 1)), pick(list(_ENDINGS), F.col("p_partkey")))
+    code = pick(_GUESS_CODES, F.floor(F.col("p_partkey") / len(_ENDINGS)))
+    return p.select("p_partkey", code.alias("code"), name.alias("name"), X.guess_rank(code, name).alias("rank"))
+
+
+def _rank_guess_oracle():
+    n, ranks = len(_ENDINGS), [list(r) for r in _ENDINGS.values()]
+    ending, code = f"CAST(p_partkey % {n} + 1 AS INTEGER)", f"CAST((p_partkey // {n}) % {len(_GUESS_CODES)} + 1 AS INTEGER)"
+    return f"""SELECT p_partkey, list_extract({_GUESS_CODES}, {code}) AS code, upper(substr(w, 1, 1)) || substr(w, 2) || list_extract({list(_ENDINGS)}, {ending}) AS name,
+        list_extract(list_extract({ranks}, {ending}), {code}) AS rank FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part)"""
 
 
 def year_extract(spark, sf_dir):
@@ -325,11 +343,7 @@ QUERIES = {
         """WITH l AS (SELECT p_partkey, p_size, CASE WHEN p_size < 10 THEN '†' ELSE '' END AS d, p_name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_brand END AS a FROM part)
            SELECT p_partkey, d || p_name || ' & <x>' || a AS label, d || CASE WHEN p_size > 25 THEN '<i>' || p_name || ' &amp; &lt;x&gt;</i>' ELSE p_name || ' &amp; &lt;x&gt;' END || replace(a, '''', '&#39;') AS html FROM l""",
     ),
-    "rank_guess": (
-        rank_guess,
-        """SELECT p_partkey, upper(substr(w, 1, 1)) || substr(w, 2) || list_extract(['idae', 'inae', 'oidea', 'ini', '', ' minor', ' subsp. minor', ' minor var. alba'], CAST(p_partkey % 8 + 1 AS INTEGER)) AS name,
-           list_extract(['FAMILY', 'SUBFAMILY', 'SUPERFAMILY', 'TRIBE', 'GENUS', 'SPECIES', 'SUBSPECIES', 'VARIETY'], CAST(p_partkey % 8 + 1 AS INTEGER)) AS rank FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part)""",
-    ),
+    "rank_guess": (rank_guess, _rank_guess_oracle()),
     "year_extract": (year_extract, "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE strftime(o_orderdate, '%Y') END AS year FROM orders"),
     "reference_label": (
         reference_label,

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from canopy.operators import bundles as B
+from canopy.operators import validation as V
 from canopy.sources.archive import logical
 
 RELATIONS = {
@@ -191,4 +192,4 @@ def test_hard_rules_block(tables):
     found = B.validate(catalogue, tables)
     assert {(r["table_name"], r["record_id"]) for r in B.blocked(found).collect()} == {("name", "n3"), ("name", "n4")}
     assert {r["id"] for r in B.admit(tables["name"], found, "name").collect()} == {"n1", "n2", "n5"}
-    assert [(r["rule_id"], r["n"]) for r in B.summary(found).collect()] == [("soft", 3), ("hard", 2)]
+    assert [(r["rule_id"], r["n"]) for r in V.issue_summary(found).collect()] == [("soft", 3), ("hard", 2)]

@@ -58,7 +58,7 @@ def test_json_records(spark):
 
 
 def test_rank_guess(spark):
-    cases = [("ZOOLOGICAL", "Panthera onca subsp. goldmani", "SUBSPECIES"), ("BOTANICAL", "Rosa gallica var. officinalis", "VARIETY"), ("BOTANICAL", "Rosa gallica f. alba", "FORM"), ("ZOOLOGICAL", "Felidae", "FAMILY"), ("ZOOLOGICAL", "Felinae", "SUBFAMILY"), ("ZOOLOGICAL", "Feloidea", "SUPERFAMILY"), ("ZOOLOGICAL", "Pantherini", "TRIBE"), ("BOTANICAL", "Rosaceae", "FAMILY"), ("BOTANICAL", "Rosoideae", "SUBFAMILY"), ("BOTANICAL", "Roseae", "TRIBE"), ("BOTANICAL", "Rosales", "ORDER"), ("VIRUS", "Coronaviridae", "FAMILY"), ("VIRUS", "Nidovirales", "ORDER"), ("ZOOLOGICAL", "Panthera", "GENUS"), ("ZOOLOGICAL", "Panthera onca", "SPECIES"), ("ZOOLOGICAL", "Panthera onca goldmani", "SUBSPECIES"), ("ZOOLOGICAL", "Rosaceae", "GENUS")]
+    cases = [("ZOOLOGICAL", "Panthera onca subsp. goldmani", "SUBSPECIES"), ("BOTANICAL", "Rosa gallica var. officinalis", "VARIETY"), ("BOTANICAL", "Rosa gallica f. alba", "FORM"), ("ZOOLOGICAL", "Felidae", "FAMILY"), ("ZOOLOGICAL", "Felinae", "SUBFAMILY"), ("ZOOLOGICAL", "Feloidea", "SUPERFAMILY"), ("ZOOLOGICAL", "Pantherini", "TRIBE"), ("BOTANICAL", "Rosaceae", "FAMILY"), ("BOTANICAL", "Rosoideae", "SUBFAMILY"), ("BOTANICAL", "Roseae", "TRIBE"), ("BOTANICAL", "Rosales", "ORDER"), ("VIRUS", "Coronaviridae", "FAMILY"), ("VIRUS", "Nidovirales", "ORDER"), ("ZOOLOGICAL", "Panthera", "GENUS"), ("ZOOLOGICAL", "Panthera onca", "SPECIES"), ("ZOOLOGICAL", "Panthera onca goldmani", "SUBSPECIES"), ("ZOOLOGICAL", "Rosaceae", "GENUS"), ("ZOOLOGICAL", "Panthera marina", "SUBTRIBE"), ("PHYTOSOCIOLOGICAL", "Rosopsida", "CLASS"), ("BACTERIAL", "Bacilloideae", "SUBFAMILY"), ("VIRUS", "Betavirus", "GENUS"), ("BOTANICAL", "Rosa gallica subsp. x var. Alba", "VARIETY"), ("BOTANICAL", "var. alba", "SPECIES"), ("BOTANICAL", "Rosa Sect. Caninae", "SECTION_BOTANY"), ("ZOOLOGICAL", "a b c d", ""), ("ZOOLOGICAL", "", ""), ("ZOOLOGICAL", None, ""), (None, " Felis  catus ", "SPECIES")]
     rows = spark.createDataFrame(cases, "code string, name string, want string").select("name", "want", X.guess_rank(F.col("code"), F.col("name")).alias("got")).collect()
     assert [(r["name"], r["got"]) for r in rows if r["got"] != r["want"]] == []
 

@@ -118,3 +118,15 @@ def test_one_of_many_writers_creates_a_file(spark, tmp_path):
         w.join()
     assert [str(i) for ok, i in won if ok] == [shared.read(spark, path)]
     assert [x.name for x in (tmp_path / "one").iterdir()] == ["file.json"]
+
+
+def test_result_ids_are_kept(spark):
+    """Known issues keep their id, new ones get one that is the same when it is made again, another at another time."""
+    rows = found(spark, [("t", "1", "r", "f", "warn", "a"), ("t", "2", "r", "f", "warn", "b")])
+    first = V.merge_issues(spark.createDataFrame([], V.VIOLATION + ", result_id string, created_at string, acknowledged_at string"), rows, "then")
+    ids = {r["record_id"]: r["result_id"] for r in first.collect()}
+    assert len(set(ids.values())) == 2 and ids == {r["record_id"]: r["result_id"] for r in first.collect()}
+    later = {r["record_id"]: r["result_id"] for r in V.merge_issues(first.where("record_id = '1'"), rows, "now").collect()}
+    assert later["1"] == ids["1"] and later["2"] not in ids.values()
+    scope = spark.createDataFrame([("t", "2")], "table_name string, record_id string")
+    assert {r["result_id"] for r in V.merge_issues(first, rows.where("record_id = '2'"), "now", scope).collect()} == set(ids.values())
