@@ -35,6 +35,8 @@ RATE, KEY_EVERY = 25, 12
 #: Samples of a chunk in the media data.
 PER_CHUNK = 64
 PAD = b" "
+#: Last bytes of a payload that have a checksum of their own.
+TAIL = 16
 
 #: Levels of nested boxes (the format's own tables need six), and samples that any file may have.
 DEEPEST, FEW_SAMPLES = 64, 1 << 20
@@ -269,14 +271,15 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            raw = [x.encode() for x in part.column("text").to_pylist()]
+            raw = part.column("text").to_pylist()
             media = [mux(padded(x)) for x in raw]
             yield pa.record_batch(
                 [part.column("id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), pa.array([read_back(m) for m in media], pa.binary())],
                 ["id", "n_bytes", "media", "payload"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), blank_null(text_col).alias("text"))
+    # as bytes: a text is stored as it is, whether or not it is valid UTF-8
+    rows = docs.select(F.col(id_col).alias("id"), blank_null(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_bytes bigint, media binary, payload binary").withColumnRenamed("id", id_col)
 
 
@@ -284,7 +287,7 @@ def op3_iso_media(spark, sf_dir: str) -> DataFrame:
     rows = describe(store(table(spark, sf_dir, "documents")))
     key = F.concat_ws(",", F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"], k["size"])))
     feature = F.concat_ws(":", F.trim("codec"), "width", "height", "timescale", "duration", "n_samples", F.size("keyframes"), F.lower(F.hex(F.crc32(key))))
-    tail = F.expr("substring(payload, -192, 192)")
+    tail = F.expr(f"substring(payload, -{TAIL}, {TAIL})")
     return rows.select(
         "doc_id",
         "n_bytes",

@@ -155,3 +155,16 @@ def test_odd_rows(odd, nothing):
     rows = media.store(odd).collect()
     assert sorted(bytes(r["payload"]) for r in rows) == sorted(media.padded((r["text"] or "").encode()) for r in odd.collect())
     assert media.describe(media.store(nothing)).collect() == []
+
+
+def test_contract_columns_of_odd_rows(spark, tmp_path):
+    """Exact columns by the contract: the tail is the last 16 bytes that are read back; bytes that are no UTF-8 stay as they are."""
+    raw = [b"", b"short", b"a" * 191, b"b" * 192, b"c" * 193, bytes(range(65, 91)) * 50, "\u00fcn\u00efc\u00f6de \U0001f600".encode(), b"bad \xff\xc3 bytes", b"nul \0 end"]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)] + [(len(raw), None)], "doc_id bigint, text binary")
+    df.selectExpr("doc_id", "cast(text as string) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in media.op3_iso_media(spark, str(tmp_path)).collect()}
+    assert len(got) == len(raw) + 1
+    for i, text in enumerate([*raw, b""]):
+        payload = text + b" " * (-len(text) % 192 or (0 if text else 192))
+        row = got[i]
+        assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
