@@ -152,3 +152,24 @@ def test_overrides_and_stale_metadata(spark):
     meta = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
     touched = spark.createDataFrame([("1", "2025-12-01T00:00:00Z"), ("2", "2020-01-01T00:00:00Z")], "id string, touched_at string")
     assert fired(R.stale(meta, touched, "2026-01-01T00:00:00Z")) == {"stale_metadata": {"2", "3"}}
+
+
+@pytest.mark.parametrize("kind", ["luhn", "isbn10", "isbn13", "issn", "orcid"])
+def test_check_digits_of_large_keys(spark, tmp_path, kind):
+    """A number of more digits than its kind has keeps the first of them, as in the query's SQL."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from canopy import registry
+    from oracle import spark_rows, sql_rows
+
+    for name in os.listdir("/root/testdata/sf0.001"):
+        if name != "customer.parquet":
+            os.symlink(f"/root/testdata/sf0.001/{name}", tmp_path / name)
+    customer = pq.read_table("/root/testdata/sf0.001/customer.parquet").slice(0, 60)
+    keys = pa.array([12_620 + k if k < 20 else 1_262_780 + k if k < 40 else 10**12 + 37 * k for k in range(60)], pa.int64())
+    pq.write_table(customer.set_column(customer.schema.get_field_index("c_custkey"), "c_custkey", keys), f"{tmp_path}/customer.parquet")
+    query = f"val_check_digit_{kind}"
+    assert spark_rows(registry.QUERIES[query](spark, str(tmp_path))) == sql_rows(registry.ORACLE_SQL[query], str(tmp_path))
