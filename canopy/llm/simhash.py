@@ -30,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import blank_null, chunks, cut, table, unused
@@ -209,23 +209,24 @@ def links(nodes: DataFrame, apart: int = BITS_APART) -> DataFrame:
     share = POSITIONS - apart  # equal positional bytes of a linked pair at least
     width = min(KEY_BYTES, share - 1)
     least = comb(share, width)  # lists that such a pair has in common at least
-    keys = []
-    for number, places in enumerate(combinations(range(POSITIONS), width)):
-        key = F.lit(number).cast("long")
+    lists = list(combinations(range(POSITIONS), width))
+
+    def key(number: int, places: tuple[int, ...]) -> Column:
+        made = F.lit(number).cast("long")
         for k in places:
-            key = F.shiftleft(key, 8).bitwiseOR(_byte(k))
-        keys.append(key)
-    found = cut(tallied(nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")))
+            made = F.shiftleft(made, 8).bitwiseOR(_byte(k))
+        return made
+
+    found = cut(tallied(nodes.select(F.explode(F.array(*[key(n, p) for n, p in enumerate(lists)])).alias("key"), "fp")))
     pairs = found.where("key is null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
     counted = pairs.where((F.col("n") >= least) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= apart)).select("a", "b")
-    # entries of long lists, by each further positional byte
-    number = F.shiftright("key", 8 * width).cast("int")
-    free = F.array(*[F.array(*[F.lit(p) for p in range(POSITIONS) if p not in places]) for places in combinations(range(POSITIONS), width)])
-    bytes_ = F.array(*[_byte(k) for k in range(POSITIONS)])
-    more = found.where("key is not null").select("key", F.col("a").alias("fp"))
-    more = more.select("key", "fp", F.explode(F.get(free, number)).alias("place")).withColumn("byte", F.get(bytes_, F.col("place")))
-    finer = F.shiftleft("key", 11).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 8)).bitwiseOR(F.col("byte"))
-    return counted.union(_forests(more.select(finer.alias("key"), "fp"), apart))
+    # entries of long lists by one more byte: one row for each set of places that a long list of the entry is part of
+    long = found.where("key is not null").groupBy(F.col("a").alias("fp")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftright(key, {8 * width}) as int)))").alias("long"))
+    finer = []
+    for number, places in enumerate(combinations(range(POSITIONS), width + 1)):
+        parts = sum(1 << lists.index(p) for p in combinations(places, width))
+        finer.append(F.when(F.col("long").bitwiseAND(F.lit(parts).cast("long")) != 0, key(number, places)))
+    return counted.union(_forests(long.select(F.explode(F.array_compact(F.array(*finer))).alias("key"), "fp"), apart))
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, apart: int = BITS_APART) -> DataFrame:

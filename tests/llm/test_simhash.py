@@ -211,3 +211,19 @@ def test_index_covers_every_near_copy():
         shared, i, j = np.intersect1d(np.where(doc == 0, key, 0), np.where(doc == 1, key, 0), return_indices=True)
         real = shared > 0
         assert real.any() and simhash._possible(size, place, i[real], j[real]).any()
+
+
+def test_long_lists_are_listed_once_by_four_bytes(spark, monkeypatch):
+    """However many of a fingerprint's lists are long, it has one row for each four of its bytes, and no link is lost."""
+    base = 0x0102030405060708
+    crowd = [base ^ (x % 20 << 8 * (x // 20)) for x in range(160) if x % 20 or not x]
+    held = []
+    monkeypatch.setattr(simhash, "_forests", lambda postings, apart, real=simhash._forests: held.append(postings) or real(postings, apart))
+    nodes = spark.createDataFrame([(x,) for x in crowd], "fp bigint")
+    linked = {frozenset(r) for r in simhash.links(nodes).collect()}
+    rows = [tuple(r) for r in held[0].select("key", "fp").collect()]
+    assert len(rows) == len(set(rows)) <= 70 * len(crowd)
+    group = {base}
+    while more := {x for pair in linked if pair & group for x in pair} - group:
+        group |= more
+    assert group == set(crowd)
