@@ -403,10 +403,10 @@ class _Members:
         ok[wide] = np.bitwise_count(self.words[others[wide]] ^ self.words[at]).sum(axis=1) <= apart
         return ok
 
-    def forest(self) -> tuple[list[int], list[int]]:
-        """Spanning forest of the alike members, the closest joined first."""
+    def forest(self, component: np.ndarray) -> tuple[list[int], list[int]]:
+        """Pairs of alike members that span what isn't in one component yet, the closest joined first."""
         left, right = [], []
-        label = np.arange(len(self.size))
+        label = np.unique(component, return_inverse=True)[1]
         order = self.central()
         for apart in LEVELS:
             open_ = order
@@ -440,8 +440,8 @@ class _Members:
 def long_list_pairs(members: DataFrame, spanning: bool) -> DataFrame:
     """Pairs (a, b) of nodes that may be near copies, from long lists of ``members`` (key, node, place, component, size, w0.., shingles).
 
-    A list gives a spanning forest of its alike members (``spanning``), or all
-    alike pairs that are in no component together.
+    A list gives a spanning forest of its alike members over the components that are
+    known (``spanning``), or all alike pairs that are in no component together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,10 +451,10 @@ def long_list_pairs(members: DataFrame, spanning: bool) -> DataFrame:
             column = rows.column("shingles").combine_chunks()
             for start, many in zip(*_runs(key)):
                 part = slice(start, start + many)
-                if (component[part] == component[start]).all() and not spanning:
+                if (component[part] == component[start]).all():
                     continue
                 some = _Members(size[part], place[part], words[part], column.slice(start, many))
-                left, right = some.forest() if spanning else some.between(component[part])
+                left, right = some.forest(component[part]) if spanning else some.between(component[part])
                 if left:
                     a, b = node[part][left], node[part][right]
                     yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -545,8 +545,28 @@ def frequent_shingles(texts: DataFrame, count: int) -> np.ndarray:
     return np.sort(np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64))
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (node, text) by the inverted index of their SimHashes' positional bytes and its count filter.
+
+    Texts of one fingerprint are paired with the least of them, and linked fingerprints by their least texts.
+    """
+    prints = cut(add_fingerprint(texts, "node").groupBy("node").agg(F.first("fp").alias("fp")))
+    entries = cut(prints.groupBy("fp").agg(F.min("node").alias("least")))
+    same = prints.join(entries, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda name: entries.select(F.col("fp").alias(name), F.col("least").alias(f"_{name}"))
+    linked = links(entries.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return same.union(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copy_links(texts: DataFrame, count: int) -> DataFrame:
-    """Edges (a, b) that join all ``texts`` (node, text; ``count`` nodes) with a shingle similarity of 0.8 or more."""
+    """Edges (a, b) that join the ``texts`` (node, text; ``count`` nodes) with a shingle similarity of 0.8 or more.
+
+    First come the pairs of the byte-position index, compared by their shingles.  The
+    index of shingles then joins what these links leave apart: near copies whose
+    SimHashes differ in more bits than that index reaches.
+    """
+    close = cut(verified(cut(fingerprint_pairs(texts)), texts))
+    joined = cut(connected_components(close))
     frequent = frequent_shingles(texts, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,15 +579,20 @@ def near_copy_links(texts: DataFrame, count: int) -> DataFrame:
             key, doc, size, place = prefixes(hashes, doc, len(new), frequent)
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(nodes[doc]), pa.array(size), pa.array(place)], ["key", "node", "size", "place"])
 
+    def placed(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
+        known = parts.select(F.col("node").alias(node), F.col("component").alias(name))
+        return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
+
     made = cut(first_pairs(texts.mapInArrow(run, "key bigint, node bigint, size bigint, place bigint")))
     long = made.where("key is not null").select("key", F.col("a").alias("node"), "place")
-    marked = cut(long.join(marks(texts, long.select("node").distinct()), "node").withColumn("component", F.col("node")))
-    pairs = likely(made.where("key is null").select("a", "b").distinct(), texts)
+    marked = cut(placed(long.join(marks(texts, long.select("node").distinct()), "node"), joined, "node", "component"))
+    short = placed(placed(made.where("key is null").select("a", "b").distinct(), joined, "a", "_a"), joined, "b", "_b")
+    pairs = likely(cut(short.where("_a <> _b").select("a", "b")), texts)
     first = cut(pairs.union(long_list_pairs(marked, True)).distinct())
-    edges = cut(verified(first, texts))
+    edges = cut(close.union(verified(first, texts)))
     if marked.isEmpty():
         return edges
-    named = marked.drop("component").join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = placed(marked.drop("component"), connected_components(edges), "node", "component")
     more = cut(long_list_pairs(named, False).distinct().join(first, ["a", "b"], "left_anti"))
     return edges if more.isEmpty() else edges.union(verified(more, texts))
 
@@ -576,8 +601,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` without near copies: of each group the row of the least id stays.
 
     Near copies have five-word shingles of a Jaccard similarity of 0.8 or more,
-    whatever the edit was.  Two such texts share 27 % of the bytes of a SimHash
-    on the mean, too few for an index of bytes, so candidates come from the shingles:
+    whatever the edit was.  Candidates come from the byte-position index of op1 first
+    (``fingerprint_pairs``).  But two such texts share 27 % of the bytes of a SimHash
+    on the mean, too few for that index to reach all, so others come from the shingles:
     those of every text are put into one order, frequent ones last, and the first
     n // 5 + 1 of n are indexed, of which two near copies always have one in
     common.  Candidates of which neither is short go on if their wide SimHashes

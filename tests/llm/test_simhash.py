@@ -227,3 +227,18 @@ def test_long_lists_are_listed_once_by_four_bytes(spark, monkeypatch):
     while more := {x for pair in linked if pair & group for x in pair} - group:
         group |= more
     assert group == set(crowd)
+
+
+def test_stage_goes_through_the_byte_index(spark, monkeypatch):
+    """Copies within four bits go by the byte-position index alone, and pairs that are near by bits only stay."""
+    random = np.random.default_rng(9)
+    rows = []
+    for g in range(40):
+        words = [f"w{k}" for k in random.integers(0, 3000, 400)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join([*words[:-1], "changed"]))]
+    fps = {i: fingerprint(t) for i, t in rows}
+    within = {i for i in fps if i % 10 and (fps[i] ^ fps[i - 1]).bit_count() <= 4}
+    assert len(within) > 20
+    monkeypatch.setattr(simhash, "first_pairs", lambda postings: spark.createDataFrame([], "key bigint, a bigint, b bigint, place bigint"))
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == set(fps) - within
