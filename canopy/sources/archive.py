@@ -164,5 +164,12 @@ def part_names(part: DataFrame) -> DataFrame:
 
 
 def part_synonyms(lineitem: DataFrame) -> DataFrame:
-    """Distinct part-supplier pairs: a part's name resolves to each of its suppliers (pro parte)."""
-    return lineitem.select(_id("P", "l_partkey").alias("id"), _id("S", "l_suppkey").alias("taxon_id")).distinct()
+    """Distinct part-supplier pairs: a part's name resolves to each of its suppliers (pro parte).
+
+    Nearly all pairs are distinct, so a task of the scan would hold all of its own.  The keys are
+    dealt first, and to a fixed number of tasks: they are small in a shuffle, where Spark would
+    put many partitions together, and large as the text that they become.
+    """
+    tasks = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = lineitem.select("l_partkey", "l_suppkey").repartition(tasks, "l_partkey", "l_suppkey").distinct()
+    return pairs.select(_id("P", "l_partkey").alias("id"), _id("S", "l_suppkey").alias("taxon_id"))

@@ -151,3 +151,16 @@ def test_issue_labels(spark):
     issues = spark.createDataFrame([("name", "n1"), ("name", "n2"), ("name", "n3"), ("taxon", "t3"), ("reference", "r")], "table_name string, record_id string")
     rows = {(r["table_name"], r["record_id"]): (r["label"], r["taxon_id"]) for r in E.label_issues(issues, names, taxa).collect()}
     assert rows == {("name", "n1"): ("One", "t1"), ("name", "n2"): ("Two", None), ("name", "n3"): ("Three", None), ("taxon", "t3"): ("Two", "t3"), ("reference", "r"): ("r", None)}
+
+
+def test_pairs_are_dealt_before_they_are_made_distinct(spark):
+    """A task holds its share of the distinct pairs, whatever it scans, and no repeat is lost or kept."""
+    from canopy.sources.archive import part_synonyms
+
+    items = spark.range(0, 4000, 1, 1).selectExpr("id % 1000 as l_partkey", "id % 500 as l_suppkey")
+    pairs = part_synonyms(items)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted((f"P{k}", f"S{k % 500}") for k in range(1000))
+    sizes = [r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 500
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan.split("Aggregate")[-1]  # below the aggregate
