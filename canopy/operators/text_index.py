@@ -1,11 +1,14 @@
 """A stored inverted index: searches read the postings of their own terms, edits are added as small parts.
 
-Below the index's folder are parts and a log.  A part has its postings (term, id, tf,
-length of the text), in one folder for each first character and sorted by term there, so
-that a search opens the folders of its terms and skips row groups; and its texts
-(id, length, alive).  A log entry is a whole state: the parts in order, and how many
-texts of what length the index holds, which every batch of edits changes by its
-difference.  A text counts as its last part has it; ``merge`` makes one part of all.
+Below the index's folder are parts and a log.  The texts of a part are numbered in
+segments, runs of texts that one task counts at once, so that no word is shuffled.  A
+part has a row for each term of a segment (term, segment, places of the texts, tfs), in
+one folder for each first character and sorted by term in each file, so that a search
+opens the folders of its terms and skips row groups; and, in the folder without a
+character, a row for each text (segment, place, id, length, alive).  A log entry is a
+whole state: the parts in order, and how many texts of what length the index holds,
+which every batch of edits changes by its difference.  A text counts as its last part
+has it; ``merge`` makes one part of all, whose segments keep their texts' places.
 
 An entry is published as a whole or not at all, readers of older entries go on, and of
 two writers the second takes the first one's entry into account.  Rows of a failed
@@ -19,21 +22,88 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from canopy.operators import search as S
 from canopy.sources import shared
 
 UNITS = {"words": S.tokens, "grams": S.all_trigrams}
+#: Terms that are counted at once, unless a single text has more.
+SEGMENT = 4_000_000
+#: Of a term, and of a text.
+POSTING, TEXT = ["term", "segment", "places", "tfs"], ["segment", "place", "id", "length", "alive"]
 
 
 class Superseded(RuntimeError):
     """Parts that were being merged are no longer the first ones of the index."""
 
 
+def _schema(kind: str) -> str:
+    return f"term string, segment bigint, places array<int>, tfs array<int>, place int, id {kind}, length bigint, alive boolean"
+
+
+def _rows(n: int, columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _segment(ids: pa.Array, terms: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of a run of texts, each a list of terms (null: deleted): of the texts, and of the terms."""
+    n, number = len(ids), pa.scalar(uuid.uuid4().int >> 65, pa.int64())
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = {"place": pa.array(np.arange(n, dtype=np.int32)), "id": ids, "length": pa.array(sizes), "alive": terms.is_valid()}
+    yield _rows(n, texts | {"segment": pa.repeat(number, n)}, schema)
+    coded = terms.flatten().dictionary_encode()
+    keys = coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes)
+    keys, tfs = np.unique(keys, return_counts=True)
+    words = len(coded.dictionary)
+    ends = pa.array(np.searchsorted(keys, np.arange(words + 1, dtype=np.int64) * n).astype(np.int32))
+    lists = {"places": pa.ListArray.from_arrays(ends, pa.array((keys % n).astype(np.int32))), "tfs": pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))}
+    yield _rows(words, lists | {"term": coded.dictionary, "segment": pa.repeat(number, words)}, schema)
+
+
+def _segments(schema: pa.Schema):
+    """Counts the terms of texts (id, terms) as they come, ``SEGMENT`` of them at once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, terms = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+            runs = np.cumsum(sizes, dtype=np.int64) // SEGMENT
+            cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(ids)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low:
+                    yield from _segment(ids.slice(low, high - low), terms.slice(low, high - low), schema)
+
+    return count
+
+
+def _kept(postings: pa.Table, live: pa.Table) -> pa.Table:
+    """The postings of a segment, only of the texts at the live places."""
+    if not postings.num_rows or not live.num_rows:
+        return postings.slice(0, 0)
+    postings = postings.combine_chunks()
+    places, tfs = (postings.column(c).combine_chunks() for c in ("places", "tfs"))
+    at = places.flatten().to_numpy()
+    alive = np.zeros(at.max() + 1, dtype=bool)
+    known = live.column("place").to_numpy()
+    alive[known[known < len(alive)]] = True
+    keep = alive[at]
+    before = np.concatenate([[0], np.cumsum(keep)])
+    ends = before[np.concatenate([[0], np.cumsum(pc.list_value_length(places).to_numpy())])].astype(np.int32)
+    cut = lambda lists: pa.ListArray.from_arrays(pa.array(ends), lists.flatten().filter(pa.array(keep)))
+    some = pa.table([postings.column("term"), postings.column("segment"), cut(places), cut(tfs)], schema=postings.schema)
+    return some.filter(pa.array(np.diff(ends) > 0))
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -57,36 +127,34 @@ class TextIndex:
     def _write(self, texts: DataFrame, unit: str) -> str:
         """A part of rows (id, text), null texts as deleted."""
         name = uuid.uuid4().hex
-        rows = texts.select("id", UNITS[unit](F.col("text")).alias("terms"), F.col("text").isNotNull().alias("alive"))
-        rows = rows.withColumn("length", F.when(F.col("alive"), F.size("terms")).otherwise(0).cast("long"))
-        rows.select("id", "length", "alive").write.parquet(f"{self.folder}/texts-{name}")
-        terms = rows.where("alive").select("id", "length", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-        self._store(terms, name)
+        terms = texts.select("id", UNITS[unit](F.col("text")).alias("terms"))
+        schema = StructType.fromDDL(_schema(terms.schema["id"].dataType.simpleString()))
+        self._store(terms.mapInArrow(_segments(to_arrow_schema(schema)), schema), name)
         return name
 
-    def _store(self, postings: DataFrame, name: str) -> None:
-        placed = postings.withColumn("lead", F.substring("term", 1, 1))
-        # by ranges of id too, so a frequent term is written by many tasks
-        placed = placed.repartitionByRange("lead", "term", F.xxhash64("id")).sortWithinPartitions("lead", "term")
-        placed.select("lead", "term", "id", "tf", "length").write.partitionBy("lead").parquet(f"{self.folder}/postings-{name}")
+    def _store(self, rows: DataFrame, name: str) -> None:
+        placed = rows.withColumn("lead", F.substring("term", 1, 1)).sortWithinPartitions("lead", "term")
+        placed.write.partitionBy("lead").parquet(f"{self.folder}/part-{name}")
+
+    def _part(self, part: dict) -> DataFrame:
+        return self.spark.read.schema(f"{_schema(part['id'])}, lead string").parquet(f"{self.folder}/part-{part['name']}")
 
-    def _postings(self, part: dict, wanted: Column, leads: list[str] | None) -> DataFrame:
-        rows = self.spark.read.schema(f"term string, id {part['id']}, tf bigint, length bigint, lead string").parquet(f"{self.folder}/postings-{part['name']}")
-        if leads is not None:
-            rows = rows.where(F.col("lead").isin(leads))
-        return rows.where(wanted).select("term", "id", "tf", "length", F.lit(part["batch"]).alias("batch"))
+    def _postings(self, parts: list[dict], wanted: Column, leads: list[str] | None = None) -> DataFrame:
+        """Rows (term, segment, places, tfs), of texts that may have changed since too."""
+        one = lambda p: self._part(p).where(F.col("lead").isNotNull() if leads is None else F.col("lead").isin(leads)).where(wanted).select(*POSTING)
+        return reduce(DataFrame.unionByName, map(one, parts))
 
     def _texts(self, parts: list[dict]) -> DataFrame:
-        one = lambda p: self.spark.read.schema(f"id {p['id']}, length bigint, alive boolean").parquet(f"{self.folder}/texts-{p['name']}").withColumn("batch", F.lit(p["batch"]))
+        one = lambda p: self._part(p).where("lead is null").select(*TEXT).withColumn("batch", F.lit(p["batch"]))
         return reduce(DataFrame.unionByName, map(one, parts))
 
-    def _live(self, state: dict, wanted: Column, leads: list[str] | None = None) -> DataFrame:
-        """Postings that count now."""
-        rows = reduce(DataFrame.unionByName, (self._postings(p, wanted, leads) for p in state["parts"]))
-        if len(state["parts"]) == 1:
-            return rows.drop("batch")
-        last = self._texts(state["parts"][1:]).groupBy(F.col("id").alias("_id")).agg(F.max("batch").alias("_batch"))
-        return rows.join(last, F.col("id") == F.col("_id"), "left").where("_batch is null or _batch = batch").drop("_id", "_batch", "batch")
+    def _live(self, state: dict) -> DataFrame:
+        """Texts (segment, place, id, length, alive) that count now."""
+        rows = self._texts(state["parts"]).where("alive")
+        if len(state["parts"]) > 1:
+            last = self._texts(state["parts"][1:]).groupBy(F.col("id").alias("_id")).agg(F.max("batch").alias("_batch"))
+            rows = rows.join(last, F.col("id") == F.col("_id"), "left").where("_batch is null or _batch = batch")
+        return rows.select(*TEXT)
 
     # ---- writing ------------------------------------------------------------
 
@@ -143,9 +211,9 @@ class TextIndex:
         if len(merged) == 1:
             return
         name = uuid.uuid4().hex
-        last = self._texts(merged).groupBy("id").agg(F.max_by(F.struct("length", "alive"), "batch").alias("x"))
-        last.where("x.alive").select("id", "x.length", F.lit(True).alias("alive")).write.parquet(f"{self.folder}/texts-{name}")
-        self._store(self._live(state, F.lit(True)), name)
+        live, postings = self._live(state), self._postings(merged, F.lit(True))
+        kept = postings.groupBy("segment").cogroup(live.select("segment", "place").groupBy("segment")).applyInArrow(_kept, postings.schema)
+        self._store(kept.unionByName(live, allowMissingColumns=True), name)
         part = {"name": name, "batch": merged[-1]["batch"], "id": merged[0]["id"]}
         while state["parts"][: len(merged)] == merged:
             if self._publish(state | {"version": state["version"] + 1, "parts": [part, *state["parts"][len(merged) :]]}):
@@ -161,9 +229,10 @@ class TextIndex:
         some = [t.lower() for t in dict.fromkeys(terms)]
         fits = (lambda t: F.col("term").startswith(t)) if state["unit"] == "words" else (lambda t: F.col("term") == t)
         wanted = reduce(lambda a, b: a | b, (fits(t) for t in some), F.lit(False))
-        rows = self._live(state, wanted, sorted({t[:1] for t in some}))
+        rows = self._postings(state["parts"], wanted, sorted({t[:1] for t in some}))
         found = F.filter(F.array(*map(F.lit, some)), lambda p: F.col("term").startswith(p))
-        spread = rows.select(F.explode(found).alias("prefix"), "id", "tf", "length")
+        spread = rows.select(F.explode(found).alias("prefix"), "segment", "places", "tfs").select("prefix", "segment", F.explode(F.arrays_zip("places", "tfs")).alias("x"))
+        spread = spread.select("prefix", "segment", F.col("x.places").alias("place"), F.col("x.tfs").cast("long").alias("tf")).join(self._live(state), ["segment", "place"])
         return spread.groupBy("prefix", "id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
 
     def bm25(self, terms: list[str], least: int | None = None) -> DataFrame:

@@ -1,9 +1,13 @@
 """Search modes, trigrams and ranking on literal cases; the stored index against one that is built anew."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from canopy.operators import search as S
+from canopy.operators import text_index
 from canopy.operators.text_index import Superseded, TextIndex
 from canopy.streaming import changes
 
@@ -151,3 +155,20 @@ def test_search_by_index_equals_search(spark, data, tmp_path):
         for query in ("leo", "cero rus", "Cerpolastes", "Panthera leo", "  "):
             want = S.search(names, aliases, query, mode).collect()
             assert S.search(names, aliases, query, mode, index=index).collect() == want
+
+
+def test_terms_are_counted_by_segments(spark, monkeypatch):
+    """A row for each term of a run of texts; long runs are cut, an empty or deleted text keeps its place."""
+    schema = to_arrow_schema(StructType.fromDDL(text_index._schema("bigint")))
+    lists = [["b", "a", "b"], [], None, ["b"], ["c", "c", "c", "c"], ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 16), pa.int64()), pa.array(lists, pa.list_(pa.string()))], names=["id", "terms"])
+    for most, segments in ((100, 1), (5, 2), (1, 4)):
+        monkeypatch.setattr(text_index, "SEGMENT", most)
+        rows = [r for b in text_index._segments(schema)(iter([batch])) for r in b.to_pylist()]
+        texts = {(r["segment"], r["place"]): r for r in rows if r["term"] is None}
+        assert len({s for s, _ in texts}) == segments
+        assert {r["id"]: (r["length"], r["alive"]) for r in texts.values()} == {10 + k: (len(x or []), x is not None) for k, x in enumerate(lists)}
+        terms = [r for r in rows if r["term"] is not None]
+        assert len({(r["segment"], r["term"]) for r in terms}) == len(terms)
+        got = {(texts[r["segment"], p]["id"], r["term"]): n for r in terms for p, n in zip(r["places"], r["tfs"])}
+        assert got == {(10 + k, t): x.count(t) for k, x in enumerate(lists) if x for t in x}
