@@ -139,6 +139,35 @@ def lowest_common(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
     return pairs.join(found, ["a", "b"], "left")
 
 
+def common_counts(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows (of, common, n): how many of the rows (a, b, of) have each node as the lowest that holds both ends; rows with an end that has no place are left out.
+
+    If neither end holds the other, their parents have the same lowest common node.  So
+    all ends climb one step and the rows that are alike by then are counted as one, as
+    long as that leaves half of them at most; what is left goes by doubled steps.
+    """
+    nodes = ranges.select("id", "first", "last", "up")
+    side = lambda end: nodes.select(*(F.col(c).alias(end if c == "id" else f"_{end}_{c}") for c in nodes.columns))
+    holds = lambda x, y: F.col(f"_{y}_first").between(F.col(f"_{x}_first"), F.col(f"_{x}_last"))
+    going, n, before, found = pairs, F.count("*"), None, []
+    while True:
+        ends = going.join(side("a"), "a").join(side("b"), "b")
+        done = F.when(holds("a", "b"), F.col("a")).when(holds("b", "a"), F.col("b"))
+        to = [F.when(done.isNull(), F.col(f"_{end}_up")).alias(end) for end in ("a", "b")]
+        step = materialise(ends.select("of", done.alias("common"), *to, *(["n"] if before else [])).groupBy("of", "common", "a", "b").agg(n.alias("n")))
+        found.append(step.where("common is not null").select("of", "common", "n"))
+        going, n = step.where("a is not null and b is not null").select("of", "a", "b", "n"), F.sum("n")
+        left = going.count()
+        if left == 0:
+            break
+        if before and left * 2 > before:
+            lowest = lowest_common(going.select("a", "b").distinct(), ranges).where("common is not null")
+            found.append(going.join(lowest, ["a", "b"]).select("of", "common", "n"))
+            break
+        before = left
+    return reduce(DataFrame.unionByName, found)
+
+
 #: A dependent's rows and the columns that name a node; a row of two columns counts once if either does.
 Dependents = dict[str, tuple[DataFrame, list[str]]]
 
@@ -150,22 +179,18 @@ def delete_preview(tree: DataFrame, ranges: DataFrame, dependents: Dependents) -
     """
     marks = []
     names = list(dependents)
-    zeros = lambda name: [F.col("n").alias(k) if k == name else F.lit(0).cast("long").alias(k) for k in ["nodes", *names]]
-    counts = ["nodes", *names]
+    zeros = lambda name, n: [n.alias(k) if k == name else F.lit(0).cast("long").alias(k) for k in ["nodes", *names]]
     both = []
     for name, (rows, columns) in dependents.items():
+        for column in columns:
+            marks.append(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("node")).agg(F.count("*").alias("n")).select("node", *zeros(name, F.col("n"))))
         if len(columns) == 2:
-            both.append(rows.groupBy(F.col(columns[0]).alias("a"), F.col(columns[1]).alias("b")).agg(F.count("*").alias("n")).select("a", "b", *zeros(name)))
-        else:
-            column = F.col(columns[0])
-            marks.append(rows.where(column.isNotNull()).groupBy(column.alias("node")).agg(F.count("*").alias("n")).select("node", *zeros(name)))
-    if both:  # the pairs of all tables are counted once, and climb together
-        pairs = materialise(reduce(DataFrame.unionByName, both).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in counts)))
-        marks += [pairs.where(F.col(end).isNotNull()).select(F.col(end).alias("node"), *counts) for end in ("a", "b")]
-        known = pairs.where("a is not null and b is not null")
-        common = lowest_common(known.select("a", "b"), ranges).where("common is not null")
-        marks.append(known.join(common, ["a", "b"]).select(F.col("common").alias("node"), *((-F.col(c)).alias(c) for c in counts)))
-    marks.append(ranges.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("n")).select("node", *zeros("nodes")))
+            both.append(rows.select(F.col(columns[0]).alias("a"), F.col(columns[1]).alias("b"), F.lit(names.index(name)).alias("of")))
+    if both:
+        common = common_counts(reduce(DataFrame.unionByName, both), ranges)
+        per = [F.when(F.col("of") == k, -F.col("n")).otherwise(F.lit(0).cast("long")).alias(name) for k, name in enumerate(names)]
+        marks.append(common.select(F.col("common").alias("node"), F.lit(0).cast("long").alias("nodes"), *per))
+    marks.append(ranges.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("n")).select("node", *zeros("nodes", F.col("n"))))
     sums = subtree_sums(ranges, reduce(DataFrame.unionByName, marks), ["nodes", *names])
     direct = tree.where(~is_root()).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))
     out = tree.select("id", "parent_id").join(sums, "id").join(direct, "id", "left").na.fill(0, ["children"])

@@ -139,3 +139,25 @@ def test_long_chain_in_few_rounds(spark):
     tree = spark.range(100_000).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("parent_id"))
     got = H.closure(tree, spark.createDataFrame([("n99999",), ("n3",)], "id string"))
     assert got.groupBy("id").agg(F.count("*").alias("n"), F.max("depth").alias("d")).orderBy("id").collect() == [("n3", 3, 3), ("n99999", 99_999, 99_999)]
+
+
+def test_common_nodes_are_counted_as_pairs_climb(spark, monkeypatch):
+    """Pairs of leaves with few parents climb together; lines that don't meet soon go by doubled steps; ends without a place are left out."""
+    for kind, doubled in (("star", False), ("two", True)):
+        rows = rows_of("star") if kind == "star" else [("top", None, None, "t", "")] + [(f"{s}{i}", f"{s}{i - 1}" if i else "top", None, "x", "") for s in "ab" for i in range(9)]
+        below, dice = below_of(rows), random.Random(3)
+        ids = [r[0] for r in rows]
+        holds = {x: set(members(below, x)) for x in ids}
+        pairs = [(dice.choice(ids), dice.choice([*ids, None, "gone"]), k % 2) for k in range(300)]
+        asked, lowest = [], I.lowest_common
+        monkeypatch.setattr(I, "lowest_common", lambda *a: asked.append(1) or lowest(*a))
+        got = {}
+        for r in I.common_counts(spark.createDataFrame(pairs, "a string, b string, of int"), I.number(spark.createDataFrame(rows, TREE))).collect():
+            got[r["of"], r["common"]] = got.get((r["of"], r["common"]), 0) + r["n"]
+        monkeypatch.undo()
+        want = {}
+        for a, b, of in pairs:
+            if b in holds:
+                key = of, min((x for x in ids if a in holds[x] and b in holds[x]), key=lambda x: len(holds[x]))
+                want[key] = want.get(key, 0) + 1
+        assert got == want and bool(asked) == doubled
