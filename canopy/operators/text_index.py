@@ -39,6 +39,8 @@ from canopy.sources import shared
 UNITS = {"words": S.tokens, "grams": S.all_trigrams}
 #: Terms that are counted at once, unless a single text has more.
 SEGMENT = 4_000_000
+#: Of the parts: an index of another form is built anew beside it.
+FORM = "segments"
 #: Of a term, and of a text.
 POSTING, TEXT = ["term", "segment", "places", "tfs"], ["segment", "place", "id", "length", "alive"]
 
@@ -174,7 +176,7 @@ class TextIndex:
     def stored(cls, spark: SparkSession, name: str, docs: DataFrame, id_col: str, text: Column, unit: str = "words") -> TextIndex:
         """The index of that name over these very files in the shared folder; it is built if there is none, or if a file has changed."""
         facts = [(f, *shared.stamp(spark, f)) for f in sorted(docs.inputFiles())]
-        key = hashlib.sha256(json.dumps([name, facts, unit]).encode()).hexdigest()[:32]
+        key = hashlib.sha256(json.dumps([name, facts, unit, FORM]).encode()).hexdigest()[:32]
         index = cls(spark, f"{shared.base(spark).rstrip('/')}/index-{name}-{key}")
         return index if index.versions() else cls.build(spark, index.folder, docs, id_col, text, unit)
 
