@@ -30,6 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -344,23 +345,29 @@ def _possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray)
 
 
 def first_pairs(postings: DataFrame) -> DataFrame:
-    """Rows (key, a, b, place): all pairs of nodes within short lists (key null), and the members ``a`` of long ones."""
+    """Rows (key, a, b, place) of ``postings`` (key, node, size, place, component).
+
+    They are all pairs of nodes of different components within short lists (key null), and the
+    members ``a`` of long lists of several components.  A null component is that of the node alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches):
             key, node, size, place = (rows.column(n).to_numpy() for n in ("key", "node", "size", "place"))
+            component = pc.coalesce(rows.column("component"), rows.column("node")).to_numpy()
             new = np.ones(len(key), bool)  # equal texts of several tasks
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, size, place = key[new], node[new], size[new], place[new]
+            key, node, size, place, component = key[new], node[new], size[new], place[new], component[new]
             starts, sizes = _runs(key)
-            size_at = np.repeat(sizes, sizes)
             pairs = _pairs_within(key, np.arange(len(key)), SHORT_LIST)
+            pairs = pairs[component[pairs[:, 0]] != component[pairs[:, 1]]]
             pairs = pairs[_possible(size, place, pairs[:, 0], pairs[:, 1])]
             made = np.unique(node[pairs], axis=0) if len(pairs) else pairs
             if len(made):
                 none = pa.nulls(len(made), pa.int64())
                 yield pa.record_batch([none, pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy()), none], names)
-            long = size_at > SHORT_LIST
+            several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+            long = np.repeat((sizes > SHORT_LIST) & several, sizes)
             if long.any():
                 yield pa.record_batch([pa.array(key[long]), pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(place[long])], names)
 
@@ -572,22 +579,24 @@ def near_copy_links(texts: DataFrame, count: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in chunks(batches, "text"):
-            nodes = part.column("node").to_numpy()
+            nodes, component = part.column("node").to_numpy(), part.column("component")
             new = [k for k, n in enumerate(nodes.tolist()) if not (n in seen or seen.add(n))]  # equal texts once a task
             some, nodes = part.column("text").take(pa.array(new, pa.int64())), nodes[new]
             hashes, doc = shingle_sets(some.to_pylist())
             key, doc, size, place = prefixes(hashes, doc, len(new), frequent)
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(nodes[doc]), pa.array(size), pa.array(place)], ["key", "node", "size", "place"])
+            known = component.take(pa.array(new, pa.int64())).take(pa.array(doc))
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(nodes[doc]), pa.array(size), pa.array(place), known], ["key", "node", "size", "place", "component"])
 
     def placed(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
         known = parts.select(F.col("node").alias(node), F.col("component").alias(name))
         return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
-    made = cut(first_pairs(texts.mapInArrow(run, "key bigint, node bigint, size bigint, place bigint")))
+    # lists of one component give nothing, so that a group of near copies costs no more than its postings
+    of = texts.join(F.broadcast(joined) if joined.count() <= SENT_NODES else joined, "node", "left").select("node", "text", "component")
+    made = cut(first_pairs(of.mapInArrow(run, "key bigint, node bigint, size bigint, place bigint, component bigint")))
     long = made.where("key is not null").select("key", F.col("a").alias("node"), "place")
     marked = cut(placed(long.join(marks(texts, long.select("node").distinct()), "node"), joined, "node", "component"))
-    short = placed(placed(made.where("key is null").select("a", "b").distinct(), joined, "a", "_a"), joined, "b", "_b")
-    pairs = likely(cut(short.where("_a <> _b").select("a", "b")), texts)
+    pairs = likely(cut(made.where("key is null").select("a", "b").distinct()), texts)
     first = cut(pairs.union(long_list_pairs(marked, True)).distinct())
     edges = cut(close.union(verified(first, texts)))
     if marked.isEmpty():

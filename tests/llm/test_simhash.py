@@ -242,3 +242,28 @@ def test_stage_goes_through_the_byte_index(spark, monkeypatch):
     monkeypatch.setattr(simhash, "first_pairs", lambda postings: spark.createDataFrame([], "key bigint, a bigint, b bigint, place bigint"))
     kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert kept == set(fps) - within
+
+
+def test_lists_of_one_component_give_nothing(spark):
+    """Lists whose nodes are joined already give neither pairs nor members; others give all that isn't joined."""
+    rows = [(1, n, 50, 0, 1) for n in (1, 2, 3)]
+    rows += [(2, n, 50, 0, 10) for n in range(10, 30)]
+    rows += [(3, 40, 50, 0, 40), (3, 41, 50, 0, 40), (3, 42, 50, 0, None)]
+    rows += [(4, n, 50, 0, 50) for n in range(50, 62)] + [(4, 62, 50, 0, None)]
+    postings = spark.createDataFrame(rows, "key bigint, node bigint, size bigint, place bigint, component bigint")
+    got = [tuple(r)[:3] for r in simhash.first_pairs(postings).collect()]
+    assert sorted(got, key=str) == sorted([(None, 40, 42), (None, 41, 42), *((4, n, None) for n in range(50, 63))], key=str)
+
+
+def test_groups_of_near_copies_give_no_rows_of_their_lists(spark, monkeypatch):
+    """Texts that the byte-position index joins aren't listed again by all their shingles, and one of each group stays."""
+    random = np.random.default_rng(11)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{k}" for k in random.integers(0, 3000, 600)]
+        rows += [(100 * g + k, " ".join([*words, f"copy{k}"])) for k in range(5 if g % 2 else 15)]
+    held = []
+    monkeypatch.setattr(simhash, "first_pairs", lambda postings, real=simhash.first_pairs: held.append(real(postings)) or held[-1])
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {100 * g for g in range(12)}
+    assert held[0].count() < len(rows)
